@@ -2,5 +2,5 @@
 
 
 def all_sql() -> dict[str, str]:
-    from . import memory
-    return dict(memory.SQL)
+    from . import memory, search
+    return {**memory.SQL, **search.SQL}

@@ -166,8 +166,9 @@ SELECT name, degree, recent, upcoming, mail, pinned, role, score,
 SQL["rank_people"] = with_("ranked_people", "SELECT rank, name, score, pinned FROM ranked_people")
 SQL["suggest_people"] = with_("person_signals", """
 SELECT name, score FROM person_signals WHERE NOT pinned AND score >= 8 ORDER BY score DESC, lower(name), id LIMIT 5""")
-SQL["unknown_senders"] = with_("triage", """
-SELECT sender AS name, count(*) AS mails FROM triage WHERE priority <= 3 AND sender = 'no-reply' GROUP BY 1 HAVING count(*) >= 2""")
+SQL["unknown_senders"] = with_(["triage", "pinned"], """
+SELECT sender AS name, count(*) AS mails FROM triage WHERE priority <= 3 AND sender NOT IN (SELECT name FROM pinned)
+GROUP BY 1 HAVING count(*) >= 2 ORDER BY mails DESC, name LIMIT 5""")
 ITEMS = f"""
 SELECT DISTINCT p.name, k.id, ko_type, k.date, title, statement FROM kos k JOIN pinned p ON contains(lower(k.person), lower(p.name))
 WHERE status = 'active' AND ko_type IN ('event','task','question') AND (ko_type <> 'event' OR k.date BETWEEN {AS_OF} AND {AS_OF} + 14)"""

@@ -286,7 +286,8 @@ def suggest_people(t: Tables) -> DataFrame:
 
 @query
 def unknown_senders(t: Tables) -> DataFrame:
-    return P.unknown_senders(_triaged(t), t.entities())
+    known = t.entities().join(t.pinned().select("name"), "name", "left_semi")
+    return P.unknown_senders(_triaged(t), known)
 
 
 @query
