@@ -2,5 +2,5 @@
 
 
 def all_sql() -> dict[str, str]:
-    from . import memory, search
-    return {**memory.SQL, **search.SQL}
+    from . import memory, reports, search
+    return {**memory.SQL, **search.SQL, **reports.SQL}

@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from . import memory, search  # noqa: F401
+from . import memory, reports, search  # noqa: F401

@@ -107,3 +107,14 @@ def memory_plan(intent_col: Column) -> Column:
 
 def empty_strings() -> Column:
     return F.array().cast("array<string>")
+
+
+def strip(c: Column) -> Column:
+    """Removes white space of any kind at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def last_value(names: Column, values: Column, key: str) -> Column:
+    """Value beside the last occurrence of ``key`` in two parallel arrays, NULL if absent."""
+    at = F.array_position(F.reverse(names), F.lit(key))
+    return F.when(at > 0, F.element_at(values, (-at).cast("int")))
