@@ -2,5 +2,5 @@
 
 
 def all_sql() -> dict[str, str]:
-    from . import memory, reports, search
-    return {**memory.SQL, **search.SQL, **reports.SQL}
+    from . import ingest, memory, reports, search
+    return {**memory.SQL, **search.SQL, **reports.SQL, **ingest.SQL}

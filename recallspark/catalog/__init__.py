@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from . import memory, reports, search  # noqa: F401
+from . import ingest, memory, reports, search, streams  # noqa: F401

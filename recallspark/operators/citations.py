@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -42,12 +40,17 @@ def extract_references(docs: DataFrame) -> DataFrame:
     return numbered.unionByName(loose)
 
 
-@F.pandas_udf("double")
-def title_ratio(found: pd.Series, raw: pd.Series) -> pd.Series:
-    """Matching-blocks similarity of a title with the start of a citation."""
-    return pd.Series([
-        difflib.SequenceMatcher(None, f, r[:len(f) + 40]).ratio() if isinstance(f, str) and isinstance(r, str) else None
-        for f, r in zip(found, raw)])
+def title_ratio(found: Column, raw: Column) -> Column:
+    """Matching-blocks similarity of a title with the start of a citation, on Arrow batches."""
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        import difflib
+
+        import pandas
+        return pandas.Series([
+            difflib.SequenceMatcher(None, f, r[:len(f) + 40]).ratio() if isinstance(f, str) and isinstance(r, str) else None
+            for f, r in zip(a, b)])
+
+    return F.pandas_udf(ratio, "double")(found, raw)
 
 
 def doi_join(refs: DataFrame, works: DataFrame) -> DataFrame:

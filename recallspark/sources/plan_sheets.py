@@ -27,12 +27,15 @@ def header_columns(cells: Column) -> Column:
     low = F.transform(cells, lambda c: F.lower(strip(F.coalesce(c, F.lit("")))))
     fields = []
     for key, words in fixed.PLAN_HEADER_WORDS:
-        hit = F.transform(low, lambda c, ws=words: (c != "") & F.exists(
-            F.array(*[F.lit(w) for w in ws]), lambda w: F.contains(c, w)))
-        fields.append(F.array_position(hit, True).alias(key))
+        fields.append(F.array_position(F.transform(low, _names_one_of(words)), True).alias(key))
     return F.struct(*fields)
 
 
+def _names_one_of(words: list[str]):
+    known = F.array(*[F.lit(w) for w in words])
+    return lambda c: (c != "") & F.exists(known, lambda w: F.contains(c, w))
+
+
 def is_header(cells: Column, cols: Column) -> Column:
     low = F.transform(cells, lambda c: F.lower(strip(F.coalesce(c, F.lit("")))))
     hint = F.exists(low, lambda c: F.contains(c, F.lit("activ")) | F.contains(c, F.lit("tarea")) | F.contains(c, F.lit("task")))
