@@ -131,14 +131,15 @@ SELECT 'zotero://key' || p_partkey AS path, 'El ' || p_name || ' y otros' AS tit
   CASE WHEN p_partkey % 2 = 0 THEN {NL} || 'DOI: https://doi.org/10.5/' || p_partkey ELSE '' END AS body,
   CASE WHEN p_partkey % 2 = 0 THEN '10.5/' || p_partkey END AS doi FROM part
 UNION ALL SELECT 'zotero://alt' || p_partkey, p_brand, '1900-01-01', '# ' || p_brand || {NL} || {NL} || 'Revista: Libro ()', NULL FROM part"""
-CTES["refs"] = ([], """
+CTES["refs"] = ([], r"""
+    SELECT * REPLACE (CASE WHEN pos = 0 THEN regexp_extract(raw, '\b((?:19|20)\d{2})\b', 1) END AS year) FROM (
     SELECT 'bib-' || p_partkey AS doc_id, 0 AS pos, p_partkey, p_size,
       upper(split_part(p_name, ' ', 1)[1]) || split_part(p_name, ' ', 1)[2:] || ' K, et al. Estudio de ' || p_name || ' ' || lower(p_type) || ' numero ' || p_partkey ||
       '. Revista. ' || (1990 + p_size % 30) || ';' || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE ' doi 10.1000/p' || p_partkey || '.' END AS raw,
       CASE WHEN p_partkey % 4 <> 0 THEN '10.1000/p' || p_partkey END AS doi, CAST(1990 + p_size % 30 AS VARCHAR) AS year,
       upper(split_part(p_name, ' ', 1)[1]) || split_part(p_name, ' ', 1)[2:] AS author FROM part
     UNION ALL SELECT 'bib-' || p_partkey, 1, p_partkey, p_size, '10.2000/L' || (p_partkey % 50), '10.2000/L' || (p_partkey % 50), NULL, NULL FROM part
-    UNION ALL SELECT 'bib-' || p_partkey, 2, p_partkey, p_size, '10.1000/P' || p_partkey, '10.1000/P' || p_partkey, NULL, NULL FROM part WHERE p_partkey % 4 = 0""")
+    UNION ALL SELECT 'bib-' || p_partkey, 2, p_partkey, p_size, '10.1000/P' || p_partkey, '10.1000/P' || p_partkey, NULL, NULL FROM part WHERE p_partkey % 4 = 0)""")
 SQL["extract_references"] = with_("refs", "SELECT doc_id, raw, doi, year, author FROM refs")
 SQL["distinct_rules"] = with_("refs", """
 SELECT arg_min(doc_id, (doc_id, pos)) AS doc_id, arg_min(doi, (doc_id, pos)) AS doi FROM refs WHERE doi IS NOT NULL GROUP BY lower(doi)""")

@@ -208,7 +208,7 @@ def note_area_ranking(t: Tables) -> DataFrame:
     """Notes to ranked areas: dedup, extract, classify, count and rank in one plan."""
     dim = A.load_area_dim(t.areas())
     docs = A.classify_documents(TB.dedup_documents(t.notes()).drop("body_hash"), dim)
-    kos = X.extract_marked_lines(docs).unionByName(X.extract_meeting_events(docs))
+    kos = X.extract_all(docs)
     none = dim.select(F.col("id").alias("area"), F.lit(0).cast("bigint").alias("mail"))
     signals = A.area_signals(kos, dim, none, AS_OF)
     return A.rank_areas(A.area_score(signals, t.overrides())).select(

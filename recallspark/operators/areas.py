@@ -94,19 +94,28 @@ def _best_area(rows) -> Column:
     if not by_area:
         return F.struct(F.lit(0).alias("score"), F.lit(0).alias("o"), F.lit(None).cast("string").alias("area"))
     packed = F.array(*[
-        F.struct(F.lit(-order).alias("o"), F.lit(area).alias("area"),
-                 F.array(*[F.struct(F.lit(t["kind"]).alias("kind"), F.lit(t["term"]).alias("term"),
-                                    F.lit(t["points"]).alias("points")) for t in terms]).alias("terms"))
+        F.struct(F.lit(-order).alias("o"), F.lit(area).alias("area"), *[
+            _constant([t["term"] for t in terms if t["kind"] == kind]).alias(kind) for kind in fixed.AREA_POINTS])
         for (order, area), terms in sorted(by_area.items(), key=lambda kv: kv[0][0])])
+    text, project = F.col("__text"), F.col("__project")
+
+    def named(term: Column) -> Column:
+        return F.contains(text, term) | F.exists("__people", lambda p: F.contains(p, term) | F.contains(term, p))
+
+    tests = {"keyword": lambda t: F.contains(text, t), "person": named,
+             "project": lambda t: F.contains(text, t) | F.contains(project, t)}
 
     def score(area: Column) -> Column:
-        hits = F.filter(area["terms"], lambda t: _hit(t["kind"], t["term"]))
-        return F.aggregate(hits, F.lit(0), lambda acc, t: acc + t["points"])
+        return sum((F.size(F.filter(area[kind], test)) * fixed.AREA_POINTS[kind] for kind, test in tests.items()), F.lit(0))
 
     return F.array_max(F.transform(packed, lambda a: F.struct(
         score(a).alias("score"), a["o"].alias("o"), a["area"].alias("area"))))
 
 
+def _constant(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
 def document_text(body_chars: int | None = None) -> Column:
     """Text a document is classified on: title, path and body (whole unless cut)."""
     body = F.col("body") if body_chars is None else F.substring("body", 1, body_chars)
@@ -148,7 +157,9 @@ def area_signals(kos: DataFrame, dim: DataFrame, mail_hits: DataFrame, as_of: dt
     """One conditional pass over the objects; areas without any stay with zeros."""
     today, day = F.lit(as_of), F.col("date")
     task = (F.col("ko_type") == "task") & (F.col("status") == "active")
-    counted = kos.where("area is not null").groupBy("area").agg(
+    # the label is not tested for NULL here: such a filter would be pushed below the
+    # classification and make every document be classified twice
+    counted = kos.groupBy(F.coalesce("area", F.lit(NO_AREA)).alias("area")).agg(
         F.count_if(task).alias("tasks"),
         F.count_if((F.col("ko_type") == "event") & day.between(today, F.date_add(today, 7))).alias("events"),
         F.count_if((F.col("ko_type") == "decision") & (day >= F.date_sub(today, 14))).alias("decisions"),

@@ -30,11 +30,37 @@ def mark_of(line: Column) -> Column:
     return out
 
 
+def marks_in(body: Column) -> Column:
+    """Array of (line_no, mark) of a text, each line tested once."""
+    tested = F.transform(F.split(body, r"\R"), lambda line, i: F.struct(i.alias("line_no"), mark_of(line).alias("mark")))
+    return F.filter(tested, lambda m: m["mark"].isNotNull())
+
+
 def marked_lines(docs: DataFrame) -> DataFrame:
-    """(doc columns, line_no, ko_type, text) for every marked line of the body."""
-    lines = docs.select("*", F.posexplode(F.split("body", r"\R")).alias("line_no", "line")).drop("body")
-    return (lines.withColumn("mark", mark_of(F.col("line"))).where("mark is not null")
-            .select("*", "mark.ko_type", "mark.text").drop("mark", "line"))
+    """(doc columns, line_no, ko_type, text) for every marked line of the body.
+
+    The outer explode keeps the optimizer from adding a size test that would read every
+    line a second time; documents without marks go with the NULL test behind it.
+    """
+    marks = docs.select("*", F.explode_outer(marks_in(F.col("body"))).alias("m")).drop("body")
+    return marks.where("m is not null").select("*", "m.line_no", "m.mark.ko_type", "m.mark.text").drop("m")
+
+
+def extract_all(docs: DataFrame) -> DataFrame:
+    """Marked lines and the meeting event in one pass over the documents."""
+    event = F.array(F.struct(F.lit(-1).alias("line_no"), F.struct(
+        F.lit("event").alias("ko_type"), F.concat(F.lit("Reunión registrada: "), "title").alias("text")).alias("mark")))
+    every = F.when(F.col("doc_type") == "meeting", F.concat(event, marks_in(F.col("body")))).otherwise(marks_in(F.col("body")))
+    rows = docs.select("*", F.explode_outer(every).alias("m")).drop("body").where("m is not null")
+    is_event = F.col("m.line_no") < 0
+    kind, source = F.col("m.mark.ko_type"), F.col("id")
+    return _finish(
+        rows.withColumn("ko_type", kind).withColumn("source_doc", source)
+        .withColumn("id", F.when(is_event, natural_id("ko", source, F.lit("event")))
+                    .otherwise(natural_id("ko", source, F.col("m.line_no"), kind)))
+        .withColumn("statement", F.col("m.mark.text"))
+        .withColumn("title", F.when(is_event, F.col("title")).otherwise(F.substring("statement", 1, 80)))
+        .withColumn("confidence", F.when(kind.isin("decision", "event"), "confirmed").otherwise("probable")))
 
 
 def _finish(df: DataFrame) -> DataFrame:

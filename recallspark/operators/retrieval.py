@@ -76,7 +76,7 @@ def ko_text(kos: DataFrame) -> DataFrame:
 def build_postings(texts: DataFrame) -> DataFrame:
     """(id, term, tf, dl) over the whole texts."""
     toks = texts.select("id", TX.tokens(F.col("text")).alias("toks"))
-    return (toks.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    return (toks.select("id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term")).where("term is not null")
             .groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")).select("id", "term", "tf", "dl"))
 
 
@@ -101,7 +101,7 @@ def index_for(texts: DataFrame, terms: DataFrame) -> SearchIndex:
     term carries each document's length, so the corpus is tokenised once."""
     wanted = terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
     toks = texts.select("id", TX.tokens(F.col("text")).alias("toks"))
-    rows = toks.select("id", F.size("toks").alias("dl"), F.explode(F.array_append("toks", F.lit(""))).alias("term"))
+    rows = toks.select("id", F.size("toks").alias("dl"), F.explode_outer(F.array_append("toks", F.lit(""))).alias("term"))
     kept = rows.join(broadcast_if_small(wanted), "term", "left_semi")
     postings = materialize(kept.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     figures = postings.where("term = ''").agg(F.count(F.lit(1)), F.avg("dl")).first()

@@ -90,7 +90,7 @@ def substring_hits(texts: DataFrame, needles: DataFrame) -> DataFrame:
     Such a needle lies inside one word, so the substring test runs on the distinct words
     of the corpus and the texts join to it by word.
     """
-    words = texts.select("id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    words = texts.select("id", F.explode_outer(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
     words = words.where("word <> ''")
     pairs = contains_pairs(words.select("word"), needles)
     return words.join(pairs, words["word"] == pairs["hay"]).select("id", "needle").distinct()

@@ -36,11 +36,9 @@ def _names_one_of(words: list[str]):
     return lambda c: (c != "") & F.exists(known, lambda w: F.contains(c, w))
 
 
-def is_header(cells: Column, cols: Column) -> Column:
-    low = F.transform(cells, lambda c: F.lower(strip(F.coalesce(c, F.lit("")))))
-    hint = F.exists(low, lambda c: F.contains(c, F.lit("activ")) | F.contains(c, F.lit("tarea")) | F.contains(c, F.lit("task")))
+def is_header(cols: Column) -> Column:
     found = sum((F.when(cols[k] > 0, 1).otherwise(0) for k, _ in fixed.PLAN_HEADER_WORDS), F.lit(0))
-    return hint & (cols["activity"] > 0) & (found >= 2)
+    return (cols["activity"] > 0) & (found >= 2)
 
 
 def scan_plan_rows(sheets: DataFrame, starts: DataFrame | None = None) -> DataFrame:
@@ -50,29 +48,31 @@ def scan_plan_rows(sheets: DataFrame, starts: DataFrame | None = None) -> DataFr
     phase titles are left out. A task is due on its end date, else at the end of its week
     when the plan's start (``starts``: file, plan_start) is known.
     """
-    cols = sheets.withColumn("cols", header_columns(F.col("cells")))
-    heads = (cols.where(is_header(F.col("cells"), F.col("cols"))).groupBy("file", "sheet")
+    hinted = F.lower(F.array_join("cells", " ")).rlike("|".join(fixed.PLAN_HEADER_HINTS))
+    cols = sheets.where(hinted).withColumn("cols", header_columns(F.col("cells")))
+    heads = (cols.where(is_header(F.col("cols"))).groupBy("file", "sheet")
              .agg(F.min_by("cols", "row").alias("cols"), F.min("row").alias("head_row")))
     rows = sheets.join(broadcast_if_small(heads), ["file", "sheet"]).where(F.col("row") > F.col("head_row"))
 
     def cell(key: str) -> Column:
         at = F.col("cols")[key].cast("int")
-        value = strip(F.get("cells", F.greatest(at, F.lit(1)) - 1))
-        return F.when((at > 0) & (value != ""), value)
-
-    week_text = cell("week")
-    week = F.coalesce(F.when(week_text.rlike(fixed.WEEK_PATTERN), F.regexp_extract(week_text, fixed.WEEK_PATTERN, 1)),
-                      F.when(week_text.rlike(r"\d{1,2}"), F.regexp_extract(week_text, r"(\d{1,2})", 1))).cast("int")
-    status = F.lower(F.coalesce(cell("status"), F.lit("")))
-    done = F.exists(F.array(*[F.lit(w) for w in fixed.DONE_STEMS]), lambda w: F.contains(status, w))
+        return F.nullif(strip(F.get("cells", F.when(at > 0, at - 1))), F.lit(""))
+
+    # cells become columns first, so that the rules below read each of them once
+    keys = [k for k, _ in fixed.PLAN_HEADER_WORDS]
+    rows = rows.select("file", "sheet", "row", *[cell(k).alias(f"c_{k}") for k in keys]).where("c_activity is not null")
+    wk = F.col("c_week")
+    week = F.coalesce(F.when(wk.rlike(fixed.WEEK_PATTERN), F.regexp_extract(wk, fixed.WEEK_PATTERN, 1)),
+                      F.when(wk.rlike(r"\d{1,2}"), F.regexp_extract(wk, r"(\d{1,2})", 1))).cast("int")
+    done = F.lower(F.coalesce("c_status", F.lit(""))).rlike("|".join(fixed.DONE_STEMS))
     out = rows.select(
-        "file", "sheet", "row", cell("activity").alias("activity"), cell("phase").alias("phase"), week.alias("week"),
-        parse_flexible_date(cell("start")).alias("start"), parse_flexible_date(cell("end")).alias("due"),
-        F.when(done, "done").otherwise("active").alias("status"), cell("responsible").alias("responsible"),
-        cell("deliverable").alias("deliverable"), cell("priority").alias("priority"))
+        "file", "sheet", "row", F.col("c_activity").alias("activity"), F.col("c_phase").alias("phase"), week.alias("week"),
+        parse_flexible_date(F.col("c_start")).alias("start"), parse_flexible_date(F.col("c_end")).alias("due"),
+        F.when(done, "done").otherwise("active").alias("status"), F.col("c_responsible").alias("responsible"),
+        F.col("c_deliverable").alias("deliverable"), F.col("c_priority").alias("priority"))
     a = F.col("activity")
     title_only = (F.upper(a) == a) & (F.lower(a) != a) & (F.size(F.split(a, r"\s+")) > 2)
-    out = out.where(a.isNotNull() & ~title_only)
+    out = out.where(~title_only)
     if starts is not None:
         out = out.join(broadcast_if_small(starts), "file", "left")
         by_week = F.when(F.col("week") > 0, F.date_add("plan_start", F.col("week") * 7 - 1))

@@ -9,7 +9,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.extract import extract_marked_lines, extract_meeting_events
+from ..operators.extract import extract_all
 from ..operators.mail import score_mail
 from ..operators.tables import body_hash, keep_first_by_hash
 
@@ -77,7 +77,7 @@ def stream_dedup_window(stream: DataFrame, time: str, delay: str) -> DataFrame:
 
 def stream_extract(docs: DataFrame) -> DataFrame:
     """Knowledge objects of each new document; the batch functions run unchanged."""
-    return extract_marked_lines(docs).unionByName(extract_meeting_events(docs))
+    return extract_all(docs)
 
 
 def stream_triage(mail: DataFrame, senders: DataFrame, as_of: dt.datetime) -> DataFrame:
