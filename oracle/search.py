@@ -50,7 +50,9 @@ SQL["digest_docs"] = with_("docs", "SELECT id, title, path, doc_type, CAST(date
 SQL["clean_query_terms"] = with_("bench_q", """
 SELECT query_id, array_to_string(t, '|') AS terms, len(t) AS n FROM (
   SELECT query_id, list_filter(string_split(regexp_replace(text, '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: length(x) > 2) AS t FROM bench_q)""")
-SQL["as_list"] = "SELECT page_id, len(list_filter(string_split(html, ','), lambda x: trim(x) <> '')) AS n FROM pages"
+SQL["as_list"] = """
+SELECT page_id, len(l) AS n, md5(array_to_string(l, '|')) AS digest FROM (
+  SELECT page_id, list_filter(list_transform(string_split(html, ','), lambda x: trim(x)), lambda x: x <> '') AS l FROM pages)"""
 SQL["infer_doc_type"] = with_("docs", """
 SELECT id, CASE source WHEN 'src0' THEN 'meeting' WHEN 'src1' THEN 'decision' WHEN 'src2' THEN 'paper' ELSE 'note' END AS doc_type FROM docs""")
 SQL["parse_flexible_date"] = """

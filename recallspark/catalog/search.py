@@ -54,7 +54,8 @@ def clean_query_terms(t: Tables) -> DataFrame:
 
 @query
 def as_list(t: Tables) -> DataFrame:
-    return t.read("pages").select("page_id", F.size(TX.as_list(F.col("html"))).alias("n"))
+    items = TX.as_list(F.col("html"))
+    return t.read("pages").select("page_id", F.size(items).alias("n"), F.md5(F.array_join(items, "|")).alias("digest"))
 
 
 @query

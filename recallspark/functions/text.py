@@ -31,7 +31,7 @@ def prefixes(c: Column, width: int = 6) -> Column:
 
 def as_list(c: Column) -> Column:
     """Comma separated text to a clean array; NULL gives an empty array."""
-    items = F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(items, F.array().cast("array<string>"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..functions.text import empty_strings, reason_label
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialize
 from .scale import item_blocks, scan_blocks
 
 MAX_DICTIONARY_TERMS = 400
@@ -150,21 +150,23 @@ def mail_hits_by_area(triaged: DataFrame, dim: DataFrame) -> DataFrame:
     """P1-P2 mail per area, classified on subject and sender."""
     urgent = triaged.where("priority <= 2")
     labelled = classify_area(urgent, dim, F.concat_ws(" ", "subject", "from"), empty_strings(), F.lit(""))
-    return labelled.where("area is not null").groupBy("area").agg(F.count(F.lit(1)).alias("mail"))
+    counted = labelled.groupBy("area").agg(F.count(F.lit(1)).alias("mail"))
+    return materialize(counted).where("area is not null")
 
 
 def area_signals(kos: DataFrame, dim: DataFrame, mail_hits: DataFrame, as_of: dt.date) -> DataFrame:
     """One conditional pass over the objects; areas without any stay with zeros."""
     today, day = F.lit(as_of), F.col("date")
     task = (F.col("ko_type") == "task") & (F.col("status") == "active")
-    # the label is not tested for NULL here: such a filter would be pushed below the
-    # classification and make every document be classified twice
+    # The counts (one row per area) are written before they meet the area map. Otherwise the
+    # map's filters travel through the join key into the classification of every document.
     counted = kos.groupBy(F.coalesce("area", F.lit(NO_AREA)).alias("area")).agg(
         F.count_if(task).alias("tasks"),
         F.count_if((F.col("ko_type") == "event") & day.between(today, F.date_add(today, 7))).alias("events"),
         F.count_if((F.col("ko_type") == "decision") & (day >= F.date_sub(today, 14))).alias("decisions"),
         F.count_if((F.col("ko_type") == "question") & (F.col("status") == "active")).alias("questions"),
         F.count_if(task & (F.col("valid_to") < today)).alias("overdue"))
+    counted = materialize(counted)
     out = (dim.select("map_order", F.col("id").alias("area"), "name")
            .join(counted, "area", "left").join(mail_hits, "area", "left"))
     return out.fillna(0, list(fixed.AREA_WEIGHTS))

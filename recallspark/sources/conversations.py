@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import fixed
 from ..functions.text import natural_id, strip
 from ..operators.scale import top_per_group
+from ..session import broadcast_if_small, materialize
 
 PART_LINES = 50_000
 
@@ -86,9 +87,7 @@ def parse_chat_log(lines: DataFrame) -> DataFrame:
     line = F.col("line")
     part = lambda i: F.regexp_extract("line", fixed.CHAT_LINE_PATTERN, i)
     year = F.when(F.length(part(3)) == 4, part(3)).otherwise(F.concat(F.lit("20"), part(3)))
-    system = F.lit(False)
-    for mark in fixed.CHAT_SYSTEM_MARKERS:
-        system = system | F.contains(part(6), F.lit(mark))
+    system = part(6).rlike("|".join(rf"\Q{mark}\E" for mark in fixed.CHAT_SYSTEM_MARKERS))
     ok = lines.withColumn("line", strip(line)).where(F.col("line").rlike(fixed.CHAT_LINE_PATTERN) & ~system)
     day = F.try_to_date(F.concat_ws("-", year, part(2), part(1)), "yyyy-M-d")
     return ok.select("chat", "seq", day.alias("date"), strip(part(5)).alias("author"),
@@ -139,9 +138,10 @@ def chat_days_to_docs(messages: DataFrame, kind: str, n_days: int = fixed.CHAT_M
     A day of more than ``PART_LINES`` line numbers becomes several documents (``part``), so
     no group grows without bound; an ordinary day is part 0.
     """
+    messages = materialize(messages)
     days = messages.groupBy("chat", "date").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
     kept = newest_days_per_chat(days, n_days).drop("recency")
-    rows = messages.join(kept, ["chat", "date"])
+    rows = messages.join(broadcast_if_small(kept), ["chat", "date"])
     rows = rows.withColumn("part", F.floor((F.col("seq") - F.col("first")) / PART_LINES))
     said = F.concat("author", F.lit(": "), "message")
     lines = F.transform(F.sort_array(F.collect_list(F.struct("seq", said.alias("said")))), lambda s: s["said"])

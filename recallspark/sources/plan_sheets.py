@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed
 from ..functions.text import empty_strings, parse_flexible_date, strip
 from ..schemas import KO_COLUMNS
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialize
 
 
 def load_project_dim(raw: DataFrame) -> DataFrame:
@@ -49,14 +49,16 @@ def scan_plan_rows(sheets: DataFrame, starts: DataFrame | None = None) -> DataFr
     when the plan's start (``starts``: file, plan_start) is known.
     """
     hinted = F.lower(F.array_join("cells", " ")).rlike("|".join(fixed.PLAN_HEADER_HINTS))
-    cols = sheets.where(hinted).withColumn("cols", header_columns(F.col("cells")))
+    # written once: the candidate rows are few, and the header test then reads finished columns
+    cols = materialize(sheets.where(hinted).select("file", "sheet", "row", header_columns(F.col("cells")).alias("cols")))
     heads = (cols.where(is_header(F.col("cols"))).groupBy("file", "sheet")
              .agg(F.min_by("cols", "row").alias("cols"), F.min("row").alias("head_row")))
-    rows = sheets.join(broadcast_if_small(heads), ["file", "sheet"]).where(F.col("row") > F.col("head_row"))
+    clean = sheets.withColumn("cells", F.transform("cells", strip))
+    rows = clean.join(broadcast_if_small(heads), ["file", "sheet"]).where(F.col("row") > F.col("head_row"))
 
     def cell(key: str) -> Column:
         at = F.col("cols")[key].cast("int")
-        return F.nullif(strip(F.get("cells", F.when(at > 0, at - 1))), F.lit(""))
+        return F.nullif(F.get("cells", F.when(at > 0, at - 1)), F.lit(""))
 
     # cells become columns first, so that the rules below read each of them once
     keys = [k for k, _ in fixed.PLAN_HEADER_WORDS]
