@@ -214,7 +214,7 @@ def chunk_documents(docs: DataFrame, words: int = 200) -> DataFrame:
 
 def unit(c: Column) -> Column:
     norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(c, lambda x: x / norm)
+    return F.transform(c, lambda x: F.try_divide(x, norm))
 
 
 def dot(a: Column, b: Column) -> Column:
