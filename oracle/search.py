@@ -41,6 +41,11 @@ bm25("k", "kos", "title || ' ' || statement", "questions", ["kos", "questions"])
 SQL["filter_kos"] = with_("kos", """
 SELECT id, CAST(date AS VARCHAR) AS date, project FROM kos WHERE ko_type = 'task' AND status = 'active'
 AND contains(lower(project), 'nation_1') AND contains(lower(person), 'customer#')""")
+SQL["date_windows"] = with_("kos", f"""
+SELECT ko_type, count(*) FILTER (date BETWEEN {AS_OF} AND {AS_OF} + 7) AS next_7d, count(*) FILTER (date BETWEEN {AS_OF} AND {AS_OF} + 14) AS next_14d,
+  count(*) FILTER (date BETWEEN {AS_OF} AND {AS_OF} + 3) AS horizon_3d, count(*) FILTER (date >= {AS_OF} - 7) AS last_7d,
+  count(*) FILTER (date >= {AS_OF} - 14) AS last_14d, count(*) FILTER (date >= {AS_OF} - 30) AS last_30d,
+  count(*) FILTER (date <= {AS_OF} - 30) AS older_30d, count(*) FILTER (date < {AS_OF}) AS overdue FROM kos GROUP BY ko_type""")
 SQL["list_documents"] = with_("docs", "SELECT id, CAST(date AS VARCHAR) AS date, path FROM docs ORDER BY docs.date DESC, id LIMIT 100")
 SQL["find_entities"] = with_("entities", "SELECT id, name, entity_type FROM entities WHERE contains(lower(coalesce(alias, name)), 'plan nation_1')")
 SQL["list_entities"] = with_("entities", "SELECT id, name FROM entities WHERE entity_type = 'organization'")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..adapters import Tables
+from ..adapters import AS_OF, Tables
 from ..functions import text as TX
 from ..operators import extract as X, retrieval as R
 from ..plans import packs as K
@@ -16,6 +16,12 @@ def filter_kos(t: Tables) -> DataFrame:
     return R.filter_kos(t.kos(), ko_type="task", status="active", project="nation_1", person="customer#").select("id", "date", "project")
 
 
+@query
+def date_windows(t: Tables) -> DataFrame:
+    windows = TX.date_windows(F.col("date"), AS_OF)
+    return t.kos().groupBy("ko_type").agg(*[F.count_if(c).alias(name) for name, c in windows.items()])
+
+
 @query
 def list_documents(t: Tables) -> DataFrame:
     return R.list_documents(t.docs(), 100).select("id", "date", "path")

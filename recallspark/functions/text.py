@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, functions as F
 
 from . import fixed
@@ -118,3 +120,19 @@ def last_value(names: Column, values: Column, key: str) -> Column:
     """Value beside the last occurrence of ``key`` in two parallel arrays, NULL if absent."""
     at = F.array_position(F.reverse(names), F.lit(key))
     return F.when(at > 0, F.element_at(values, (-at).cast("int")))
+
+
+def date_windows(day: Column, as_of: dt.date) -> dict[str, Column]:
+    """Named date conditions around ``as_of``. The recent ones have no upper bound, so rows
+    dated in the future count as recent."""
+    today = F.lit(as_of)
+    return {
+        "next_7d": day.between(today, F.date_add(today, 7)),
+        "next_14d": day.between(today, F.date_add(today, 14)),
+        "horizon_3d": day.between(today, F.date_add(today, 3)),
+        "last_7d": day >= F.date_sub(today, 7),
+        "last_14d": day >= F.date_sub(today, 14),
+        "last_30d": day >= F.date_sub(today, 30),
+        "older_30d": day <= F.date_sub(today, 30),
+        "overdue": day < today,
+    }

@@ -108,5 +108,5 @@ def scan_blocks(df: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
     """Pair every row with each packed block (one block for the usual query set)."""
     spread = df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     spread = spread.withColumn("block", F.col("block").cast("bigint"))
-    side = F.broadcast(blocks) if n_blocks <= 64 else blocks
+    side = F.broadcast(blocks) if n_blocks <= 8 else blocks
     return spread.join(side, "block")
