@@ -302,7 +302,7 @@ def pick_best_sheet(t: Tables) -> DataFrame:
 def _plans(t: Tables) -> DataFrame:
     files = _plan_starts(t).select("file")
     return files.select("file", F.concat(F.lit("doc-"), "file").alias("doc_id"), F.lit(AS_OF).alias("doc_date"), F.lit("tesis").alias("project_id"),
-                        F.lit("Tesis").alias("project"), F.array(F.lit("Inti")).alias("people"), F.lit("ASIA").alias("area"))
+                        F.lit("Tesis").alias("project"), F.array(F.lit("Luz")).alias("people"), F.lit("ASIA").alias("area"))
 
 
 @query

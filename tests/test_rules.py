@@ -194,10 +194,10 @@ def test_bibtex_and_plan(spark):
     got = sorted((r["activity"], str(r["due"]), r["status"], r["week"]) for r in plan.collect())
     assert got == [("Buscar", "2026-04-12", "done", 1), ("Probar", "2026-06-07", "active", 9)]
     assert [r["due"] for r in PS.scan_plan_rows(sheets).collect()] == [None, None]
-    meta = spark.createDataFrame([("f", "d", dt.date(2026, 1, 1), "tesis", "Tesis", ["Inti"], "x")],
+    meta = spark.createDataFrame([("f", "d", dt.date(2026, 1, 1), "tesis", "Tesis", ["Luz"], "x")],
                                  "file string, doc_id string, doc_date date, project_id string, project string, people array<string>, area string")
     tasks = {r["title"]: r for r in PS.import_plan_tasks(plan, meta).collect()}
-    assert tasks["Buscar"]["people"] == ["Inti"] and tasks["Probar"]["people"] == []
+    assert tasks["Buscar"]["people"] == ["Luz"] and tasks["Probar"]["people"] == []
 
 
 def test_citations_against_brute_force(spark):
