@@ -177,6 +177,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = text_groups(docs, id_col, text_col, **kw)
     rows = docs.select(F.col(id_col), F.sha2(normalised(F.col(text_col)), 256).alias("sha"))
     found = rows.join(groups, "sha").withColumn("__first", F.col(id_col).eqNullSafe(F.col("keep_id")))
+    if groups.where("n_min > 1").isEmpty():
+        return found.select(id_col, "keep_id", "group_size", F.col("__first").alias("kept"), F.col("sha").alias("text_sha256"))
     plain = found.where("not (__first and n_min > 1)").withColumn("kept", F.col("__first"))
     # rows that repeat the kept id: one of them stays
     ties = stored(found.where("__first and n_min > 1").withColumn("__row", F.monotonically_increasing_id()), "ties")
@@ -191,5 +193,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("n_min").alias("__n"))
     rows = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
     kept = rows.join(groups, "__sha").where(F.col(id_col).eqNullSafe(F.col("__keep")))
+    if groups.where("__n > 1").isEmpty():
+        return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
     one = kept.where("__n > 1").dropDuplicates(["__sha"])
     return kept.where("__n = 1").unionByName(one).select(*(F.col(f"`{c}`") for c in docs.columns))
