@@ -1,7 +1,41 @@
 """From raw documents to packed training sequences: quality, exact copies, near copies, packing."""
-STAGES = []
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from recallspark.llm import exact_dedup, near_dedup, packing, quality
+from recallspark.llm.common import stored, table
+from recallspark.llm.queries import BYTE_BPE
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, the one with the smallest doc_id."""
+    return exact_dedup.drop_duplicates(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents that are left, with their places in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, BYTE_BPE)
+
+
+STAGES = [("quality", good_quality), ("exact_dedup", without_copies), ("near_dedup", without_near_copies), ("packing", packed)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``, each written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs
