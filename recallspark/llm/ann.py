@@ -183,10 +183,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
     graphs = stored(_graphs(nodes.withColumn("shard", shard), degree, width, relax), "graphs")
     asked = stored(valid(queries), "queries")
     n_blocks = max(1, math.ceil(asked.count() / block_rows))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     blocks = asked.select(F.col("id").alias("query_id"), "vector", F.size("vector").alias("dim"),
-                          F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block"), every(n_shards).cast("long").alias("shard"))
-    sides = graphs.withColumn("block", every(n_blocks).cast("long"))
+                          F.pmod(F.xxhash64("id"), F.lit(n_blocks)).alias("block"), every(n_shards).alias("shard"))
+    sides = graphs.withColumn("block", every(n_blocks))
     keys = ["shard", "block", "dim"]
     found = sides.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(
         _search(k, degree, width), "query_id long, vec_id long, score double")

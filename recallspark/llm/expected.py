@@ -26,11 +26,11 @@ SQL: dict[str, str] = {
         merged AS (SELECT rid, label, base, n_grams, min(first) AS first, max(last) AS last,
                           len(list_distinct(flatten(list(places)))) / n_grams AS coverage
                    FROM clustered GROUP BY rid, template, label, base, n_grams, cluster),
-        judged AS (SELECT *, CASE WHEN base AND coverage = 1 THEN first END AS at,
+        judged AS (SELECT *, CASE WHEN base AND coverage = 1 THEN first END AS here,
                           (base AND coverage = 1) OR (NOT base AND coverage >= 0.7 AND last - first + 2 <= 2 * (n_grams + 1)) AS ok
                    FROM merged),
-        found AS (SELECT rid, count(at) AS n_base, min(at) AS first_word, max(at) AS last_word,
-                         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (at IS NOT NULL) AS base_labels,
+        found AS (SELECT rid, count(here) AS n_base, min(here) AS first_word, max(here) AS last_word,
+                         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (here IS NOT NULL) AS base_labels,
                          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (ok) AS labels, max(coverage) FILTER (ok) AS score
                   FROM judged GROUP BY rid)
         SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
@@ -45,8 +45,8 @@ SQL: dict[str, str] = {
         inter AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
                   FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
         links AS (SELECT a, b FROM inter WHERE 100 * c >= 85 * (na + nb - c)),
-        both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-        reach(a, b) AS (SELECT doc_id, doc_id FROM classes UNION SELECT r.a, l.b FROM reach r JOIN both l ON r.b = l.a),
+        ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach(a, b) AS (SELECT doc_id, doc_id FROM classes UNION SELECT r.a, l.b FROM reach r JOIN ways l ON r.b = l.a),
         root AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a),
         out AS (SELECT sets.doc_id, len(sets.s) AS n_shingles, coalesce(component_id, sets.doc_id) AS component_id
                 FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN root ON root.doc_id = classes.doc_id)
@@ -67,8 +67,8 @@ SQL: dict[str, str] = {
                                   query := regexp_extract(t, '^.*?://[^/?#]*[^?#]*([^#]*)', 1))) AS target
                     FROM (SELECT node, regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS t FROM v)
                     WHERE t LIKE '%://%')),
-        both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-        reach(a, b) AS (SELECT DISTINCT node, node FROM v WHERE node IS NOT NULL UNION SELECT r.a, l.b FROM reach r JOIN both l ON r.b = l.a),
+        ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach(a, b) AS (SELECT DISTINCT node, node FROM v WHERE node IS NOT NULL UNION SELECT r.a, l.b FROM reach r JOIN ways l ON r.b = l.a),
         spread AS (SELECT a AS node FROM reach JOIN v ON v.node = b GROUP BY a HAVING bool_or(action = 'block') AND NOT coalesce(bool_or(action = 'allow'), false))
         SELECT page_id, host, path, rule, coalesce(action, CASE WHEN node IN (FROM spread) THEN 'block' END, 'allow') AS verdict FROM v""",
     "op7_exact_dedup": r"""

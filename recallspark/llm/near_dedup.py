@@ -67,17 +67,17 @@ def shingle_sets(texts: list[str], words: int = 5) -> list[np.ndarray]:
     first = np.searchsorted(at, begin, side="left")
     last = np.searchsorted(at, ends, side="left")
     salt = powers_of(words + 1)
+    sized = np.arange(words + 1, dtype=np.uint64) * salt[words]
     gram = np.zeros(len(word), np.uint64)
     for j in range(words):
         gram[:len(word) - j] += word[j:] * salt[j]
-    gram = _mixed(gram + np.uint64(words) * salt[words])
+    gram = _mixed(gram + sized[words])
     out = []
     for a, b in zip(first.tolist(), last.tolist()):
         if b - a >= words:
             out.append(np.unique(gram[a:b - words + 1]))
         elif b > a:
-            whole = (word[a:b] * salt[:b - a]).sum(dtype=np.uint64) + np.uint64(b - a) * salt[words]
-            out.append(_mixed(np.array([whole], np.uint64)))
+            out.append(_mixed(np.add.reduce(word[a:b] * salt[:b - a], keepdims=True) + sized[b - a:b - a + 1]))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -98,7 +98,7 @@ def signature(own: np.ndarray) -> np.ndarray:
 def node_key(own: np.ndarray) -> bytes:
     """128 bits that stand for a set."""
     a, b = own.sum(dtype=np.uint64), _mixed(own ^ _MIX).sum(dtype=np.uint64)
-    return np.array([_mixed(np.array([a + np.uint64(len(own))]))[0], b], ">u8").tobytes()
+    return np.append(_mixed(np.atleast_1d(a)), b).astype(">u8").tobytes()
 
 
 def _with_sets(docs: DataFrame, id_col: str, text_col: str, words: int, what: str) -> DataFrame:
