@@ -79,7 +79,7 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(rows):
         total = np.zeros(WORDS * DIMS, np.int64)
         for batch in rows:
-            for part in slices([t or "" for t in batch.column(text_col).to_pylist()]):
+            for part in slices([t or "" for t in batch.column(text_col).to_pylist()], 2_000_000):
                 word, _, offsets = words_of(part)
                 if len(word) < 2:
                     continue
@@ -87,9 +87,9 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                 cut = offsets[1:-1]
                 inner[cut[(cut > 0) & (cut < len(word))] - 1] = False
                 a, b = word[:-1][inner], word[1:][inner]
-                for own, near in ((a, b), (b, a)):
-                    for k in range(NONZERO):
-                        total += np.bincount(own * DIMS + INDEX_AT[near, k], INDEX_SIGN[near, k], WORDS * DIMS).astype(np.int64)
+                own, near = np.concatenate((a, b)), np.concatenate((b, a))
+                place = (own * DIMS)[:, None] + INDEX_AT[near]
+                total += np.bincount(place.ravel(), INDEX_SIGN[near].ravel(), WORDS * DIMS).astype(np.int64)
         total = total.reshape(WORDS, DIMS)
         used = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used)] + [pa.array(total[used, k]) for k in range(DIMS)], names=["word", *names])
@@ -103,22 +103,30 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def features(texts: list[str], context: np.ndarray) -> np.ndarray:
-    """Mean context vector, mean index vector, log count, share of distinct words and share of signs."""
+    """Mean context vector, mean index vector, log count, share of distinct words, of words like the one
+    before, and of signs."""
     out = []
-    both = np.concatenate((context, INDEX), axis=1)
+    both, ones = np.concatenate((context, INDEX), axis=1), np.ones(1 << 16, np.float32)
     for part in slices(texts):
         word, sign, offsets = words_of(part)
         n = np.diff(offsets)
-        x = np.zeros((len(part), both.shape[1] + 3), np.float32)
+        x = np.zeros((len(part), both.shape[1] + 4), np.float32)
         full = np.flatnonzero(n)
         if len(full):
-            x[full, :-3] = np.add.reduceat(both[word], offsets[full], axis=0) / n[full, None]
+            again = np.append(False, word[1:] == word[:-1])
+            again[offsets[full]] = False
+            for i, a, b in zip(full.tolist(), offsets[full].tolist(), offsets[full + 1].tolist()):
+                for k in range(a, b, 1 << 16):  # row by row the vectors stay in the cache
+                    own = word[k:min(b, k + (1 << 16))]
+                    x[i, :-4] += ones[:len(own)] @ both.take(own, axis=0)
+            x[full, :-4] /= n[full, None]
+            x[full, -4] = np.add.reduceat(again, offsets[full], dtype=np.int64) / n[full]
             x[full, -1] = np.add.reduceat(sign, offsets[full], dtype=np.int64) / n[full]
             pairs = np.unique(np.repeat(np.arange(len(part)), n) * WORDS + word) // WORDS
             x[full, -2] = np.bincount(pairs, minlength=len(part))[full] / n[full]
         x[:, -3] = np.log1p(n)
         out.append(x)
-    return np.concatenate(out) if out else np.zeros((0, both.shape[1] + 3), np.float32)
+    return np.concatenate(out) if out else np.zeros((0, both.shape[1] + 4), np.float32)
 
 
 class Network:

@@ -216,10 +216,11 @@ def encode_giants(giants: DataFrame, model_path: str, chunk_chars: int = 1 << 14
     return chunks.join(stored(states, "states"), ["uid", "chunk"]).mapInPandas(trace, "uid long, part long, ids array<int>")
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", giant_chars: int = 1 << 16, chunk_chars: int = 1 << 14) -> DataFrame:
-    """The columns of ``docs`` but the text, with uid, part and ids. A giant document has several
-    parts, in the order of ``part``; ``uid`` tells repeated rows apart (null where there is one part)."""
-    others = [c for c in docs.columns if c != text_col]
+def encode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text",
+           giant_chars: int = 1 << 16, chunk_chars: int = 1 << 14) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with uid, part and ids. A giant document has several parts, in
+    the order of ``part``; ``uid`` tells repeated rows apart (null where there is one part)."""
+    docs, others = docs.select(*keep, text_col), list(keep)
     schema = T.StructType([*(docs.schema[c] for c in others), T.StructField("uid", T.LongType()), T.StructField("part", T.LongType()),
                            T.StructField("ids", T.ArrayType(T.IntegerType()))])
     size = F.coalesce(F.length(text_col), F.lit(0))
