@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from .license_scan import BASE_PHRASES, NOTICES
 
+
+def _numbers(phrase: str) -> list[int]:
+    """Places of the grams with a number."""
+    own = phrase.split()
+    return [at for at, pair in enumerate(zip(own, own[1:])) if any(w.isdigit() for w in pair)]
+
+
 _GRAMS = ",\n".join(
-    f"('{a}', '{b}', {k}, '{label}', {str(k < len(BASE_PHRASES)).lower()}, {at}, {len(phrase.split()) - 1})"
+    f"('{a}', '{b}', {k}, '{label}', {str(k < len(BASE_PHRASES)).lower()}, {at}, {len(phrase.split()) - 1}, {_numbers(phrase)})"
     for k, (phrase, label) in enumerate([*BASE_PHRASES, *NOTICES])
     for at, (a, b) in enumerate(zip(phrase.split(), phrase.split()[1:])))
 
@@ -13,21 +20,21 @@ _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijk
 
 SQL: dict[str, str] = {
     "op1_license_scan": rf"""
-        WITH grams(word1, word2, template, label, base, place, n_grams) AS (VALUES {_GRAMS}),
+        WITH grams(word1, word2, template, label, base, place, n_grams, must) AS (VALUES {_GRAMS}),
         d AS (SELECT row_number() OVER () AS rid, doc_id,
                      regexp_extract_all({_LOWER.format('text')}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
         p AS (SELECT rid, w, unnest(range(1, len(w))) AS i FROM d),
-        votes AS (SELECT rid, template, label, base, n_grams, i - 1 - place AS diagonal, count(DISTINCT place) AS n,
+        votes AS (SELECT rid, template, label, base, n_grams, must, i - 1 - place AS diagonal, count(DISTINCT place) AS n,
                          list(DISTINCT place) AS places, min(i - 1) AS first, max(i - 1) AS last
                   FROM p JOIN grams ON w[i] = word1 AND w[i + 1] = word2 GROUP BY ALL),
         marked AS (SELECT *, CASE WHEN base OR diagonal - lag(diagonal) OVER o <= 3 IS NOT TRUE THEN 1 ELSE 0 END AS new
                    FROM votes WINDOW o AS (PARTITION BY rid, template ORDER BY diagonal)),
         clustered AS (SELECT *, sum(new) OVER (PARTITION BY rid, template ORDER BY diagonal) AS cluster FROM marked),
-        merged AS (SELECT rid, label, base, n_grams, min(first) AS first, max(last) AS last,
+        merged AS (SELECT rid, label, base, n_grams, list_has_all(flatten(list(places)), must) AS numbers, min(first) AS first, max(last) AS last,
                           len(list_distinct(flatten(list(places)))) / n_grams AS coverage
-                   FROM clustered GROUP BY rid, template, label, base, n_grams, cluster),
+                   FROM clustered GROUP BY rid, template, label, base, n_grams, must, cluster),
         judged AS (SELECT *, CASE WHEN base AND coverage = 1 THEN first END AS here,
-                          (base AND coverage = 1) OR (NOT base AND coverage >= 0.7 AND last - first + 2 <= 2 * (n_grams + 1)) AS ok
+                          (base AND coverage = 1) OR (NOT base AND coverage >= 0.7 AND numbers AND last - first + 2 <= 2 * (n_grams + 1)) AS ok
                    FROM merged),
         found AS (SELECT rid, count(here) AS n_base, min(here) AS first_word, max(here) AS last_word,
                          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (here IS NOT NULL) AS base_labels,

@@ -4,7 +4,8 @@ Rolling two-word hashes of every text join the positions of the same hashes in a
 license notices. Hits with the same difference of positions lie on one diagonal; a notice that
 stands in the text word by word puts all its votes on one. Neighbouring diagonals are merged (a word
 put in or left out shifts the rest by one), and a span is accepted when its distinct, verified votes
-cover enough of the notice. The base phrases need all of theirs on a single diagonal.
+cover enough of the notice and all of its numbers. The base phrases need all of theirs on a single
+diagonal.
 
 Defined cases: a null text is the empty text with no words; repeated rows get the same result each;
 an empty table gives an empty result.
@@ -50,23 +51,24 @@ def words(text: Column) -> Column:
 
 
 def template_grams(spark: SparkSession, base: list[tuple[str, str]], notices: list[tuple[str, str]]) -> DataFrame:
-    """(hash, word1, word2, template, label, base, at, n_grams): a row per two-word gram of a notice.
-    The list is fixed, whatever the number of documents."""
+    """(hash, word1, word2, template, label, base, at, n_grams, must): a row per two-word gram of a notice;
+    ``must`` has the bits of those with a number. The list is fixed, whatever the number of documents."""
     rows = []
     for k, (phrase, label) in enumerate([*base, *notices]):
         own = phrase.split()
         if not 2 <= len(own) <= 63:
             raise ValueError("a notice has 2 to 63 words")
+        must = sum(1 << at for at, pair in enumerate(zip(own, own[1:])) if any(w.isdigit() for w in pair))
         for at, pair in enumerate(zip(own, own[1:])):
             rows.append(F.struct(F.lit(pair[0]).alias("word1"), F.lit(pair[1]).alias("word2"), F.lit(k).alias("template"),
                                  F.lit(label).alias("label"), F.lit(k < len(base)).alias("base"), F.lit(at).alias("at"),
-                                 F.lit(len(own) - 1).alias("n_grams")))
+                                 F.lit(len(own) - 1).alias("n_grams"), F.lit(must).cast("long").alias("must")))
     grams = spark.range(1).select(F.explode(F.array(*rows)).alias("g")).select("g.*")
     return grams.withColumn("hash", F.xxhash64("word1", "word2"))
 
 
 def spans(docs: DataFrame, id_col: str, text_col: str, base: list, notices: list, gap: int = 3) -> DataFrame:
-    """(id, text_hash, template, label, base, first, last, coverage) for every merged diagonal."""
+    """(id, text_hash, template, label, base, first, last, coverage, numbers) for every merged diagonal."""
     grams = template_grams(docs.sparkSession, base, notices)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), words(F.col(text_col)).alias("words"))
     rows = rows.select("id", "text_hash", "words", F.posexplode_outer("words").alias("pos", "one"))
@@ -74,15 +76,16 @@ def spans(docs: DataFrame, id_col: str, text_col: str, base: list, notices: list
     rows = rows.withColumn("hash", F.xxhash64(F.lower("one"), F.lower("two")))
     hits = rows.join(F.broadcast(grams), "hash").where(
         (ascii_lower(F.col("one")) == F.col("word1")) & (ascii_lower(F.col("two")) == F.col("word2")))
-    group = ["id", "text_hash", "template", "label", "base", "n_grams"]
+    group = ["id", "text_hash", "template", "label", "base", "n_grams", "must"]
     votes = hits.groupBy(*group, (F.col("pos") - F.col("at")).alias("diagonal")).agg(
         F.expr("bit_or(shiftleft(1L, at))").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     w = Window.partitionBy("id", "text_hash", "template").orderBy("diagonal")
     new = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > gap) | F.col("base"), F.lit(True))
     merged = votes.withColumn("__new", new.cast("int")).withColumn("cluster", F.sum("__new").over(w))
     merged = merged.groupBy(*group, "cluster").agg(
-        F.bit_count(F.expr("bit_or(votes)")).alias("n_votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-    return merged.withColumn("coverage", F.col("n_votes") / F.col("n_grams"))
+        F.expr("bit_or(votes)").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return merged.withColumn("coverage", F.bit_count("votes") / F.col("n_grams")).withColumn(
+        "numbers", F.col("votes").bitwiseAND(F.col("must")) == F.col("must"))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: list = BASE_PHRASES,
@@ -92,7 +95,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     at = F.when(F.col("base") & (F.col("coverage") == 1), F.col("first"))
     # a merged span may be longer than its notice by what was put in, never more than twice as long
     close = (F.col("last") - F.col("first") + 2) <= 2 * (F.col("n_grams") + 1)
-    accepted = at.isNotNull() | (~F.col("base") & (F.col("coverage") >= min_coverage) & close)
+    accepted = at.isNotNull() | (~F.col("base") & (F.col("coverage") >= min_coverage) & F.col("numbers") & close)
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     found = found.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).agg(
         F.count(at).alias("n_base"), F.min(at).cast("long").alias("first_word"), F.max(at).cast("long").alias("last_word"),
