@@ -189,6 +189,10 @@ class Units:
         same = self.size[unit] == size
         if same.all():
             same = np.logical_and.reduceat(self.chars[_ranges(self.at[unit], size)] == cp, at)
+        elif same.any():
+            long = np.flatnonzero(same)
+            equal = self.chars[_ranges(self.at[unit[long]], size[long])] == cp[_ranges(at[long], size[long])]
+            same[long] = np.logical_and.reduceat(equal, np.cumsum(size[long]) - size[long])
         counts = self.id_size[unit]
         ids = self.ids[_ranges(self.id_at[unit], counts)]
         ends = np.cumsum(counts)
