@@ -29,7 +29,7 @@ def boundaries(encoding, special_ids: set[int]) -> tuple[np.ndarray, np.ndarray]
     cut = np.ones(len(word), bool)
     cut[1:] = (word[1:] != word[:-1]) | own[1:] | own[:-1]
     index = np.flatnonzero(cut)
-    start = np.array([encoding.offsets[i][0] for i in index], np.int64)
+    start = np.array([a for a, _ in encoding.offsets], np.int64)[index]  # the library makes its list at each call
     return start, index
 
 
