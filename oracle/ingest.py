@@ -22,7 +22,7 @@ CTES["file_rows"] = ([], f"""
     SELECT doc_id, 'desk/' || CASE doc_id % 10 WHEN 0 THEN 'node_modules/' WHEN 1 THEN '.hidden/' WHEN 2 THEN 'Meetings/' ELSE '' END ||
       CASE WHEN doc_id % 10 = 3 THEN '~$' ELSE '' END || doc_id || ['.md', '.txt', '.jpg', '.pdf'][1 + doc_id % 4] AS path,
       {AS_OF} - CAST(doc_id % 200 AS INTEGER) AS date, n_chars * 1000 AS length, text FROM documents)
-    WHERE doc_id % 10 NOT IN (0, 1, 3) AND doc_id % 4 <> 2 AND length <= 15000000""")
+    WHERE doc_id % 10 NOT IN (0, 1, 3) AND doc_id % 4 <> 2""")
 SQL["scan_files"] = with_("file_rows", "SELECT path, length FROM file_rows")
 SPEAKER = "^([A-ZÁÉÍÓÚÑ][\\p{L}\\p{N}_ .-]{1,40}?)\\s*:\\s+.+$"
 CTES["file_lines"] = (["file_rows"], """
@@ -158,10 +158,16 @@ CTES["joined"] = (["refs", "works"], """
     WHERE r.doi IS NULL""")
 SQL["doi_join"] = with_("joined", "SELECT doc_id, raw, work_doi, work_year FROM joined")
 
-SQL["verify_references_by_doi"] = with_("joined", """
-SELECT doc_id, raw, CASE WHEN work_doi IS NULL THEN 'no_encontrado' WHEN year <> work_year THEN 'discrepancia' ELSE 'verificado' END AS verdict,
-  CASE WHEN work_doi IS NULL THEN 'sin resultados' WHEN year <> work_year THEN 'año: cita ' || year || ' vs fuente ' || work_year ELSE '' END AS detail
-FROM joined WHERE doi IS NOT NULL""")
+CTES["verified"] = (["joined"], r"""
+    SELECT doc_id, raw, CASE WHEN work_doi IS NULL THEN 'no_encontrado' WHEN issues = '' THEN 'verificado' ELSE 'discrepancia' END AS verdict,
+      CASE WHEN work_doi IS NULL THEN 'sin resultados' ELSE issues END AS detail
+    FROM (SELECT *, concat_ws('; ', CASE WHEN doi IS NULL AND len(list_intersect(list_distinct(tw), rw)) / len(list_distinct(tw)) < 0.55
+                   THEN 'título distinto (' || work_title[1:70] || '…)' END,
+                 CASE WHEN year <> work_year THEN 'año: cita ' || year || ' vs fuente ' || work_year END) AS issues
+          FROM (SELECT *, string_split(trim(regexp_replace(regexp_replace(lower(work_title), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')), ' ') AS tw,
+                       string_split(trim(regexp_replace(regexp_replace(lower(raw), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')), ' ') AS rw FROM joined))""")
+SQL["verify_references"] = with_("verified", "SELECT doc_id, raw, verdict, detail FROM verified")
+SQL["reference_summary"] = with_("verified", "SELECT doc_id, count(*) FILTER (verdict = 'verificado') AS ok, count(*) AS total FROM verified GROUP BY doc_id")
 
 # -- plans -----------------------------------------------------------------------------------
 CTES["plan_rows"] = ([], f"""
@@ -237,6 +243,6 @@ WINDOWS = """
 SELECT strftime(d, '%Y-%m-%d') AS start, event_type, count(*) AS n FROM (
   SELECT event_type, unnest(generate_series(CAST(CAST(ts AS DATE) AS TIMESTAMP) - INTERVAL 6 DAY, CAST(CAST(ts AS DATE) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM events)
 """
-SQL["stream_signal_counts"] = WINDOWS + "WHERE d + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) GROUP BY ALL"
+SQL["stream_signal_counts"] = WINDOWS + "GROUP BY ALL"
 SQL["signal_counts"] = WINDOWS + "GROUP BY ALL"
 SQL["run_extractor"] = with_("notes", "SELECT id AS source_doc, 'fact' AS ko_type, title, 'probable' AS confidence FROM notes")

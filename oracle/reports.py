@@ -93,12 +93,12 @@ SQL["daily_brief"] = with_(["status", "project_items", "people_items", "area_tas
 , guests AS (SELECT DISTINCT id AS meeting, person AS guest FROM ev WHERE date = {AS_OF})
 , mine AS (SELECT *, row_number() OVER (PARTITION BY guest ORDER BY date DESC, id) AS rank FROM (
     SELECT DISTINCT guest, k.id, k.ko_type, k.date, k.statement FROM (SELECT DISTINCT guest FROM guests) g JOIN kos k
-    ON contains(lower(k.person), lower(guest)) WHERE status = 'active'))
+    ON contains(lower(k.person), lower(guest)) WHERE status = 'active' AND ko_type IN ('task', 'question', 'decision')))
 , asked AS (SELECT *, row_number() OVER (ORDER BY date DESC, id) AS rank FROM kos WHERE ko_type = 'question' AND status = 'active')
 """.strip() + "\n" + " UNION ALL ".join([
     rows("'agenda'", f"date - {AS_OF}", "area", "id", "date", "title || ' · con ' || person", "FROM ev"),
     rows("'prep'", "rank", "meeting || '|' || guest", "id", "date", "statement",
-         "FROM guests JOIN mine USING (guest) WHERE rank <= 5 AND ko_type IN ('task', 'question', 'decision')"),
+         "FROM guests JOIN mine USING (guest) WHERE rank <= 5"),
     PROJECT_BRIEF, PEOPLE_BRIEF,
     rows("'tasks'", "area_rank * 100 + rank", "area", "id", "date", "statement", "FROM area_tasks"), mail(8),
     rows("'questions'", "a.rank * 100 + q.rank", "q.area", "q.id", "q.date", "q.statement",

@@ -103,7 +103,8 @@ CTES["pack_objects"] = (["routed", "q_ents", "kos", "k_hits"], """
         SELECT c.*, s.place, min(source) OVER (PARTITION BY c.query_id, c.section) AS top FROM (
           SELECT query_id, section, id, 0 AS source, row_number() OVER (PARTITION BY query_id, section ORDER BY name, date DESC, id) AS pos FROM (
             SELECT e.query_id, t.section, t.id, t.date, min(e.name) AS name FROM q_ents e JOIN (SELECT * FROM sec_kos) t ON contains(lower(t.person), lower(e.name)) GROUP BY ALL)
-          UNION ALL SELECT h.query_id, t.section, h.id, 1, h.rank FROM k_hits h JOIN sec_kos t USING (id) WHERE h.rank <= 20
+          UNION ALL SELECT * FROM (SELECT h.query_id, t.section, h.id, 1, row_number() OVER (PARTITION BY h.query_id, t.section ORDER BY h.rank) AS pos
+            FROM k_hits h JOIN sec_kos t USING (id)) WHERE pos <= 20
           UNION ALL SELECT query_id, 'kos', id, 1, rank FROM k_hits WHERE rank <= 20
           UNION ALL SELECT r.query_id, t.section, t.id, 2, t.n FROM routed r, (
             SELECT section, id, row_number() OVER (PARTITION BY section ORDER BY date DESC, id) AS n FROM sec_kos) t WHERE n <= 10) c
@@ -135,7 +136,7 @@ SQL["gather_material"] = with_(["tk_hits", "td_hits", "kos", "docs", "topics"],
 , st AS (SELECT DISTINCT query_id, lower(w)[1:6] AS p FROM (SELECT query_id, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM topics) WHERE length(w) > 3)
 , kk AS (SELECT *, CASE ko_type WHEN 'decision' THEN 'decisions' WHEN 'task' THEN 'tasks' WHEN 'event' THEN 'events' ELSE 'questions' END AS section
    FROM kos WHERE ko_type IN ('decision', 'task', 'event', 'question'))
-, txt AS (SELECT query_id, section, id, date, statement, rank AS ord FROM tk_hits JOIN kk USING (id) WHERE rank <= 30)
+, txt AS (SELECT query_id, section, id, date, statement, rank AS ord FROM tk_hits JOIN kk USING (id))
 , sta AS (SELECT DISTINCT query_id, section, id, date, statement, DATE '1970-01-01' - date AS ord FROM st
    JOIN kk ON contains(lower(title || ' ' || statement || ' ' || project), p)
    WHERE NOT EXISTS (SELECT 1 FROM txt WHERE txt.query_id = st.query_id AND txt.section = kk.section))
@@ -160,7 +161,7 @@ SQL["same_source_items"] = with_("kos", """
 SELECT a.id, b.id AS other_id, b.ko_type FROM kos a JOIN kos b ON a.source_doc = b.source_doc AND a.id <> b.id
 WHERE a.ko_type = 'decision' AND b.ko_type IN ('question', 'task')""")
 CTES["chosen0"] = (["k_hits", "kos"], """
-    SELECT query_id, arg_min(id, rank) AS id FROM k_hits JOIN (SELECT id FROM kos WHERE ko_type = 'decision') USING (id) WHERE rank <= 30 GROUP BY query_id""")
+    SELECT query_id, arg_min(id, rank) AS id FROM k_hits JOIN (SELECT id FROM kos WHERE ko_type = 'decision') USING (id) GROUP BY query_id""")
 CTES["chosen"] = (["chosen0", "questions", "kos"], """
     SELECT query_id, id FROM chosen0 UNION ALL SELECT query_id, arg_min(id, (-(date - DATE '1970-01-01'), id)) FROM (
       SELECT DISTINCT query_id, k.id, k.date FROM (SELECT DISTINCT query_id, lower(w)[1:6] AS p FROM (
@@ -175,7 +176,8 @@ UNION ALL SELECT query_id, 'source', 1, source_doc FROM chosen JOIN kos USING (i
 UNION ALL SELECT query_id, side, rank, other_id FROM chosen JOIN nb USING (id)
 UNION ALL SELECT query_id, b.ko_type || 's', 0, b.id FROM chosen c JOIN kos a ON a.id = c.id JOIN kos b ON a.source_doc = b.source_doc AND a.id <> b.id
   WHERE b.ko_type IN ('question', 'task')
-UNION ALL SELECT query_id, 'hypotheses', rank, h.id FROM h_hits h JOIN kos k ON k.id = h.id WHERE rank <= 20 AND k.ko_type = 'hypothesis'""")
+UNION ALL SELECT * FROM (SELECT query_id, 'hypotheses', row_number() OVER (PARTITION BY query_id ORDER BY h.rank) AS rank, h.id
+  FROM h_hits h JOIN kos k ON k.id = h.id WHERE k.ko_type = 'hypothesis') WHERE rank <= 20""")
 
 SQL["chunk_documents"] = with_("docs", """
 , w AS (SELECT id, list_filter(regexp_split_to_array(body, '\\s+'), lambda x: x <> '') AS w FROM docs)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..adapters import AS_OF, Tables
 from ..operators import areas as A, citations as C, extract as X, folders as D
 from ..registry import query
-from ..session import broadcast_if_small, run_dir
+from ..session import run_dir
 from ..sources import accounts as AC, conversations as CV, files as FS, notes as N, plan_sheets as PS, references as RF, snapshot as SN
 
 # -- notes and files ---------------------------------------------------------------
@@ -268,13 +268,6 @@ def verify_references(t: Tables) -> DataFrame:
     return C.verify_references(C.extract_references(t.biblio()), t.works()).select("doc_id", "raw", "verdict", "detail")
 
 
-@query
-def verify_references_by_doi(t: Tables) -> DataFrame:
-    """The citations that name a DOI; the others need the text ratio and are checked in tests."""
-    refs = C.extract_references(t.biblio()).where("doi is not null")
-    return C.verify_references(refs, t.works()).select("doc_id", "raw", "verdict", "detail")
-
-
 @query
 def reference_summary(t: Tables) -> DataFrame:
     return C.reference_summary(C.verify_references(C.extract_references(t.biblio()), t.works()))
@@ -353,7 +346,7 @@ def token_overlap(t: Tables) -> DataFrame:
     """Folders whose file names share a word with an area."""
     vocab = D.area_vocabulary(A.load_area_dim(t.areas()))
     words = t.files().select("folder", F.explode(D.name_words(F.col("name"))).alias("word"))
-    return words.join(broadcast_if_small(vocab), "word").groupBy("folder", "area").agg(F.count(F.lit(1)).alias("n"))
+    return words.join(vocab, "word").groupBy("folder", "area").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

@@ -9,10 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..functions.text import empty_strings, reason_label
-from ..session import broadcast_if_small, materialize
-from .scale import item_blocks, scan_blocks
-
-MAX_DICTIONARY_TERMS = 400
+from ..session import materialize
 NO_AREA = "_sin_area"
 
 
@@ -47,9 +44,9 @@ def classify_area(docs: DataFrame, dim: DataFrame, text: Column, people: Column
                   project: Column | str = "project") -> DataFrame:
     """Adds ``area``: keyword in text +2, person +3, project +4 per term; the best area wins.
 
-    A score below 2 gives NULL and equal scores go to the first area of the map. The
-    dictionary rides along as a constant, so the text is scanned once and never shuffled. A dictionary beyond ``MAX_DICTIONARY_TERMS`` terms is classified with
-    several packed blocks and one aggregation per document id.
+    A score below 2 gives NULL and equal scores go to the first area of the map. The dictionary is the
+    hand-written area map, whatever its length; it rides along as a constant, so the text is scanned
+    once and never shuffled.
     """
     terms = area_terms(dim)
     people = F.col(people) if isinstance(people, str) else people
@@ -58,28 +55,9 @@ def classify_area(docs: DataFrame, dim: DataFrame, text: Column, people: Column
                 .withColumn("__people", F.filter(F.transform(F.coalesce(people, empty_strings()), F.lower),
                                                  lambda p: p != ""))
                 .withColumn("__project", F.lower(F.coalesce(project, F.lit("")))))
-    rows = terms.limit(MAX_DICTIONARY_TERMS + 1).collect()
-    if len(rows) <= MAX_DICTIONARY_TERMS:
-        best = prepared.withColumn("__best", _best_area(rows))
-        label = F.when(F.col("__best.score") >= fixed.AREA_MIN_SCORE, F.col("__best.area"))
-        return best.withColumn("area", label).drop("__text", "__people", "__project", "__best")
-    blocks, n = item_blocks(terms, "term", MAX_DICTIONARY_TERMS)
-    slim = prepared.select("id", "__text", "__people", "__project")
-    hits = scan_blocks(slim, blocks, n).select(
-        "id", F.explode(F.filter("items", lambda t: _hit(t["kind"], t["term"]))).alias("t"))
-    scored = (hits.groupBy("id", "t.area", "t.map_order").agg(F.sum("t.points").alias("score"))
-              .groupBy("id").agg(F.max_by(F.struct("area", "score"),
-                                          F.struct("score", -F.col("map_order"))).alias("b")))
-    labels = scored.where(F.col("b.score") >= fixed.AREA_MIN_SCORE).select("id", F.col("b.area").alias("area"))
-    return docs.drop("area").join(labels, "id", "left").select(
-        *[c for c in docs.columns if c != "area"], "area")
-
-
-def _hit(kind: Column, term: Column) -> Column:
-    in_text = F.contains(F.col("__text"), term)
-    near = F.exists("__people", lambda p: F.contains(p, term) | F.contains(term, p))
-    return (in_text | ((kind == "person") & near)
-            | ((kind == "project") & F.contains(F.col("__project"), term)))
+    best = prepared.withColumn("__best", _best_area(terms.collect()))
+    label = F.when(F.col("__best.score") >= fixed.AREA_MIN_SCORE, F.col("__best.area"))
+    return best.withColumn("area", label).drop("__text", "__people", "__project", "__best")
 
 
 def _best_area(rows) -> Column:
@@ -175,7 +153,7 @@ def area_signals(kos: DataFrame, dim: DataFrame, mail_hits: DataFrame, as_of: dt
 def area_score(signals: DataFrame, overrides: DataFrame) -> DataFrame:
     """Weighted sum of the signals times the manual weight (never below 0.1)."""
     auto = sum((F.col(k) * w for k, w in fixed.AREA_WEIGHTS.items()), F.lit(0))
-    out = signals.join(broadcast_if_small(overrides.select("area", "weight", "pin", "status")), "area", "left")
+    out = signals.join(overrides.select("area", "weight", "pin", "status"), "area", "left")
     weight = F.when(F.col("weight").isNull(), 1.0).otherwise(F.greatest("weight", F.lit(0.1)))
     return (out.withColumn("weight", weight).withColumn("score_auto", auto)
             .withColumn("score", F.bround(F.col("score_auto") * F.col("weight"), 1))

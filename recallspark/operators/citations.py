@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
@@ -26,7 +25,7 @@ def extract_references(docs: DataFrame) -> DataFrame:
     doi = _trim_doi(F.regexp_extract("entry", fixed.DOI_PATTERN, 0))
     year = F.regexp_extract("entry", fixed.YEAR_PATTERN, 1)
     numbered = entries.select(
-        "doc_id", "pos", F.substring("entry", 1, 300).alias("raw"), F.when(doi != "", doi).alias("doi"),
+        "doc_id", "pos", F.col("entry").alias("raw"), F.when(doi != "", doi).alias("doi"),
         F.when(year != "", year).alias("year"), F.when(is_title_case(first), first).alias("author"))
     none = F.lit(None).cast("string")
     found = (whole.select("doc_id", F.posexplode(F.regexp_extract_all("body", F.lit(f"({fixed.DOI_PATTERN})"), F.lit(1)))
@@ -40,17 +39,10 @@ def extract_references(docs: DataFrame) -> DataFrame:
     return numbered.unionByName(loose)
 
 
-def title_ratio(found: Column, raw: Column) -> Column:
-    """Matching-blocks similarity of a title with the start of a citation, on Arrow batches."""
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        import difflib
-
-        import pandas
-        return pandas.Series([
-            difflib.SequenceMatcher(None, f, r[:len(f) + 40]).ratio() if isinstance(f, str) and isinstance(r, str) else None
-            for f, r in zip(a, b)])
-
-    return F.pandas_udf(ratio, "double")(found, raw)
+def title_share(title: Column, raw: Column) -> Column:
+    """Share of the distinct words of a title that the citation holds, wherever they stand."""
+    own = F.array_distinct(F.split(_words(title), " "))
+    return F.size(F.array_intersect(own, F.split(_words(raw), " "))) / F.size(own)
 
 
 def doi_join(refs: DataFrame, works: DataFrame) -> DataFrame:
@@ -102,12 +94,9 @@ def verify_references(refs: DataFrame, works: DataFrame) -> DataFrame:
     j = doi_join(refs, works)
     have = F.col("work_doi").isNotNull()
     nt, nr = plain_ascii(F.col("work_title")), plain_ascii(F.col("raw"))
-    wants_ratio = have & F.col("doi").isNull() & (F.coalesce("work_title", F.lit("")) != "") & ~F.contains(nr, nt)
-    plain = j.where(~F.coalesce(wants_ratio, F.lit(False))).withColumn("ratio", F.lit(1.0))
-    fuzzy = j.where(F.coalesce(wants_ratio, F.lit(False))).withColumn("ratio", title_ratio(nt, nr))
-    j = plain.unionByName(fuzzy)
+    asks = have & F.col("doi").isNull() & (F.coalesce("work_title", F.lit("")) != "") & ~F.contains(nr, nt)
     na, nf = plain_ascii(F.col("author")), plain_ascii(F.col("work_family"))
-    bad_title = F.when(F.col("ratio") < fixed.TITLE_RATIO_MIN,
+    bad_title = F.when(asks & (title_share(F.col("work_title"), F.col("raw")) < fixed.TITLE_RATIO_MIN),
                        F.concat(F.lit("título distinto ("), F.substring("work_title", 1, 70), F.lit("…)")))
     bad_year = F.when((F.col("work_year") != "") & (F.col("year") != F.col("work_year")),
                       F.concat(F.lit("año: cita "), "year", F.lit(" vs fuente "), "work_year"))
@@ -115,7 +104,7 @@ def verify_references(refs: DataFrame, works: DataFrame) -> DataFrame:
                         F.concat(F.lit("autor: cita "), "author", F.lit(" vs fuente "), "work_family"))
     issues = F.concat_ws("; ", bad_title, bad_year, bad_author)
     return (j.withColumn("detail", F.when(have, issues).otherwise("sin resultados"))
-            .withColumn("verdict", F.when(~have, UNFOUND).when(issues == "", OK).otherwise(DIFFERS)).drop("ratio"))
+            .withColumn("verdict", F.when(~have, UNFOUND).when(issues == "", OK).otherwise(DIFFERS)))
 
 
 def reference_summary(verified: DataFrame) -> DataFrame:

@@ -7,10 +7,10 @@ from typing import Callable, Iterator
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
-from ..functions.text import as_list, empty_strings, natural_id
+from ..functions.text import empty_strings, natural_id
 from ..schemas import EDGE_COLUMNS, ENTITY_COLUMNS, KO_COLUMNS
-from ..session import broadcast_if_small
-from .tables import delete_derived, mark_extractor
+from .areas import classify_documents, ko_inherit_area
+from .tables import delete_derived, mark_extractor, merge_relationships, upsert_entities
 
 EXTRACTOR_OUTPUT = (
     "knowledge_objects array<struct<ko_type:string,title:string,statement:string,"
@@ -137,9 +137,12 @@ def strip_fences(c: Column) -> Column:
     return F.trim(F.when(text.startswith("```"), inner).otherwise(text))
 
 
-def normalise_extractor_output(outputs: DataFrame, docs: DataFrame
+def normalise_extractor_output(outputs: DataFrame, docs: DataFrame, title_chars: int | None = None
                                ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Extractor JSON per document to (knowledge objects, entities, relationships) with defaults."""
+    """Extractor JSON per document to (knowledge objects, entities, relationships) with defaults.
+    Titles stay whole unless ``title_chars`` cuts them."""
+    title = F.coalesce("k.title", F.lit(""))
+    title = title if title_chars is None else F.substring(title, 1, title_chars)
     parsed = (outputs.withColumn("p", F.from_json(strip_fences(F.col("output")), EXTRACTOR_OUTPUT))
               .select(F.col("id").alias("source_doc"), "p.*"))
     head = docs.select(F.col("id").alias("source_doc"), "date", F.col("project").alias("doc_project"))
@@ -147,7 +150,7 @@ def normalise_extractor_output(outputs: DataFrame, docs: DataFrame
            .join(head, "source_doc")
            .select(natural_id("ko", F.col("source_doc"), F.lit("x"), F.col("n")).alias("id"),
                    F.coalesce("k.ko_type", F.lit("fact")).alias("ko_type"),
-                   F.substring(F.coalesce("k.title", F.lit("")), 1, 120).alias("title"),
+                   title.alias("title"),
                    F.coalesce("k.statement", F.lit("")).alias("statement"), "date",
                    F.coalesce("k.people", empty_strings()).alias("people"),
                    F.coalesce(F.when(F.col("k.project") != "", F.col("k.project")), F.col("doc_project")).alias("project"),
@@ -192,15 +195,16 @@ def allowed_areas(requested: DataFrame, never: DataFrame) -> DataFrame:
 def pending_enrichment(docs: DataFrame, areas: DataFrame, done_by: str, limit: int | None = None) -> DataFrame:
     """Documents of the allowed areas not yet processed by ``done_by``, newest first."""
     done = F.coalesce(F.element_at("metadata", F.lit("extractor")), F.lit(""))
-    out = docs.join(broadcast_if_small(areas.select("area")), "area", "left_semi").where(done != done_by)
+    out = docs.join(areas.select("area"), "area", "left_semi").where(done != done_by)
     return out if limit is None else out.orderBy(F.desc("date"), "id").limit(limit)
 
 
 def replace_with_enriched(docs: DataFrame, kos: DataFrame, edges: DataFrame, entities: DataFrame,
-                          outputs: DataFrame, name: str) -> dict[str, DataFrame]:
+                          outputs: DataFrame, name: str, areas: DataFrame | None = None) -> dict[str, DataFrame]:
     """Swap what the pending documents yielded for the new extractor's rows.
 
-    Running it again with the same output gives the same tables.
+    Stored entities stay as they are, edges are merged by their four-column key. With the area map
+    every document and object is labelled anew. Running it again with the same output gives the same tables.
     """
     new_kos, new_entities, new_edges = normalise_extractor_output(outputs, docs)
     ids = outputs.select("id").distinct()
@@ -208,13 +212,9 @@ def replace_with_enriched(docs: DataFrame, kos: DataFrame, edges: DataFrame, ent
     done = docs.join(ids, "id", "left_semi")
     rest = docs.join(ids, "id", "left_anti")
     linked = link_people_projects(done)
-    all_edges = kept_edges.unionByName(new_edges).unionByName(linked).dropDuplicates(["id"])
-    all_entities = entities.unionByName(new_entities).dropDuplicates(["id"])
-    return {"documents": rest.unionByName(mark_extractor(done, name)),
-            "kos": kept_kos.unionByName(new_kos), "relationships": all_edges,
-            "entities": all_entities, "removed": removed}
-
-
-def people_of(c: Column) -> Column:
-    """People given as text or list in metadata."""
-    return as_list(c)
+    documents, all_kos = rest.unionByName(mark_extractor(done, name)), kept_kos.unionByName(new_kos)
+    if areas is not None:
+        documents = classify_documents(documents, areas).select(*docs.columns)
+        all_kos = ko_inherit_area(all_kos, documents, areas).select(*kos.columns)
+    return {"documents": documents, "kos": all_kos, "relationships": merge_relationships(kept_edges, new_edges.unionByName(linked)),
+            "entities": upsert_entities(entities, new_entities), "removed": removed}

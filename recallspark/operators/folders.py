@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.text import empty_strings
-from ..session import broadcast_if_small
 from .scale import first_per_key, with_position
 
-TOKEN = r"([a-z0-9áéíóúñü]+)"
+TOKEN = r"([\p{L}\p{N}]+)"
 SUPPORTED = fixed.TEXT_EXTENSIONS + fixed.OFFICE_EXTENSIONS
 
 
@@ -26,13 +25,15 @@ def area_vocabulary(dim: DataFrame) -> DataFrame:
             .select("map_order", "area", F.explode(name_words(F.col("label"))).alias("word")).distinct())
 
 
-def visible_files(files: DataFrame, max_depth: int = 4) -> DataFrame:
-    """Listing without hidden, temporary, noisy or too deep entries."""
+def visible_files(files: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Listing without hidden, temporary and noisy entries, and without those below ``max_depth``
+    folders where a depth is asked for."""
     dirs = F.filter(F.split("subpath", "/"), lambda d: d != "")
+    shallow = F.lit(True) if max_depth is None else F.size(dirs) <= max_depth
     noise = F.array(*[F.lit(d) for d in fixed.NOISE_DIRS])
     hidden = F.exists(dirs, lambda d: d.startswith(".") | d.startswith("~$"))
     return files.where(~F.col("name").startswith(".") & ~F.col("name").startswith("~$") & ~hidden
-                       & ~F.arrays_overlap(dirs, noise) & (F.size(dirs) <= max_depth)
+                       & ~F.arrays_overlap(dirs, noise) & shallow
                        & ~F.col("folder").startswith(".") & ~F.col("folder").isin(fixed.NOISE_DIRS))
 
 
@@ -52,7 +53,7 @@ def folder_stats(files: DataFrame, dim: DataFrame, as_of: dt.date, recent_days:
     per_ext = f.where(ok).groupBy(*key, "ext").agg(F.count(F.lit(1)).alias("n"))
     types = per_ext.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ext", "n"))),
                                       lambda e: F.concat(e["ext"], F.lit("="), e["n"].cast("string"))), ",").alias("types"))
-    vocab = broadcast_if_small(area_vocabulary(dim))
+    vocab = area_vocabulary(dim)
     stem = F.regexp_replace("name", r"(?<=.)\.[^.]*$", "")
     shape = f.where(ok).groupBy(*key, F.array_sort(name_words(stem)).alias("words")).agg(F.count(F.lit(1)).alias("n"))
     file_hits = (shape.select(*key, "words", "n", F.explode("words").alias("word")).join(vocab, "word")

@@ -7,7 +7,6 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import short_label
-from ..session import broadcast_if_small
 from .scale import first_per_key, with_previous
 
 
@@ -25,7 +24,7 @@ def incident_edges(edges: DataFrame) -> DataFrame:
 
 def edges_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges that touch the given nodes: endpoints are exploded, so the join is an equality."""
-    wanted = broadcast_if_small(nodes.select(F.col("id").alias("node_id")).distinct())
+    wanted = nodes.select(F.col("id").alias("node_id")).distinct()
     return incident_edges(edges).join(wanted, "node_id")
 
 
@@ -36,8 +35,8 @@ def relation_count(edges: DataFrame) -> DataFrame:
 
 def edge_names(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Readable ends ``name (type)``; an unknown end keeps its id."""
-    names = broadcast_if_small(entities.select(
-        "id", F.concat(F.col("name"), F.lit(" ("), F.col("entity_type"), F.lit(")")).alias("label")))
+    names = entities.select(
+        "id", F.concat(F.col("name"), F.lit(" ("), F.col("entity_type"), F.lit(")")).alias("label"))
     src = names.select(F.col("id").alias("source_id"), F.col("label").alias("s"))
     dst = names.select(F.col("id").alias("target_id"), F.col("label").alias("t"))
     return (edges.join(src, "source_id", "left").join(dst, "target_id", "left")
@@ -86,7 +85,7 @@ def graph_tables(entities: DataFrame, edges: DataFrame, kos: DataFrame, pinned:
                  ) -> tuple[DataFrame, DataFrame]:
     """(nodes, links) of the memory map: entities and decisions, relations and decision links."""
     pins = pinned.select(F.col("name"), F.lit(True).alias("pin")).distinct()
-    ents = (entities.join(node_degree(edges), "id", "left").join(broadcast_if_small(pins), "name", "left")
+    ents = (entities.join(node_degree(edges), "id", "left").join(pins, "name", "left")
             .select("id", "name", F.col("entity_type").alias("type"),
                     F.coalesce("degree", F.lit(0)).alias("degree"),
                     F.coalesce("pin", F.lit(False)).alias("pinned"), F.lit(None).cast("date").alias("date")))

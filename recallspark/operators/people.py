@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.text import reason_label, sender_name
-from ..session import broadcast_if_small
 from .graph import relation_count
 from .scale import contains_pairs, either_way_pairs, top_per_group, with_position
 
@@ -36,7 +35,7 @@ def person_signals(entities: DataFrame, edges: DataFrame, kos: DataFrame, triage
     over = overrides.select("name", F.col("pin").alias("pinned"), "role").dropDuplicates(["name"])
     out = (people.join(relation_count(edges), "id", "left").join(mentions, "name", "left")
            .join(mail_by_person(people, triaged), "low", "left")
-           .join(broadcast_if_small(over), "name", "left")
+           .join(over, "name", "left")
            .fillna(0, ["degree", "recent", "upcoming", "mail"]).fillna(False, ["pinned"]))
     score = sum((F.col(k) * w for k, w in fixed.PERSON_WEIGHTS.items()), F.lit(0))
     return out.withColumn("score", score)
@@ -81,7 +80,7 @@ def person_brief_items(kos: DataFrame, pinned: DataFrame, as_of: dt.date, horizo
     named = named.withColumn("low", F.lower("who"))
     pairs = contains_pairs(named.select("low"), pinned.select(F.lower("name")))
     wanted = pairs.join(pinned.select("name", F.lower("name").alias("needle")), "needle")
-    return (named.join(broadcast_if_small(wanted.select(F.col("hay").alias("low"), "name")), "low")
+    return (named.join(wanted.select(F.col("hay").alias("low"), "name"), "low")
             .select("name", "id", "ko_type", "date", "title", "statement").distinct())
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, text as TX
-from ..session import broadcast_if_small, materialize
-from .scale import contains_pairs, item_blocks, scan_blocks, substring_hits, top_per_group
+from ..session import materialize
+from .scale import contains_pairs, substring_hits, top_per_group
 
 
 def newest(c: str = "date") -> Column:
@@ -102,28 +105,36 @@ def index_for(texts: DataFrame, terms: DataFrame) -> SearchIndex:
     wanted = terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
     toks = texts.select("id", TX.tokens(F.col("text")).alias("toks"))
     rows = toks.select("id", F.size("toks").alias("dl"), F.explode_outer(F.array_append("toks", F.lit(""))).alias("term"))
-    kept = rows.join(broadcast_if_small(wanted), "term", "left_semi")
+    kept = rows.join(wanted, "term", "left_semi")
     postings = materialize(kept.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     figures = postings.where("term = ''").agg(F.count(F.lit(1)), F.avg("dl")).first()
     return SearchIndex(postings.where("term <> ''"), figures[0], figures[1] or 1.0)
 
 
-def bm25(index: SearchIndex, terms: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, score, rank) of the best ``k`` texts per question, ties by id."""
+def bm25_scores(index: SearchIndex, terms: DataFrame) -> DataFrame:
+    """(query_id, id, score) of every text that holds a term of the question."""
     n, k1, b = F.lit(float(index.n_docs)), fixed.BM25_K1, fixed.BM25_B
     seen = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(fixed.BM25_IDF_FLOOR))
-    asked = broadcast_if_small(terms.join(seen, "term").select("query_id", "term", "qf", idf.alias("idf")))
+    asked = terms.join(seen, "term").select("query_id", "term", "qf", idf.alias("idf"))
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("qf") * F.col("idf") * (tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * dl / F.lit(index.avg_length)))
-    scored = (index.postings.join(asked, "term").groupBy("query_id", "id").agg(F.sum(part).alias("raw"))
-              .select("query_id", "id", F.round("raw", 9).alias("score")))
-    return top_per_group(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
+    return (index.postings.join(asked, "term").groupBy("query_id", "id").agg(F.sum(part).alias("raw"))
+            .select("query_id", "id", F.round("raw", 9).alias("score")))
 
 
-def search(texts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def text_scores(texts: DataFrame, queries: DataFrame) -> DataFrame:
     terms = question_terms(queries)
-    return bm25(index_for(texts, terms), terms, k)
+    return bm25_scores(index_for(texts, terms), terms)
+
+
+def best_texts(scored: DataFrame, k: int, within: list[str] | None = None, name: str = "rank") -> DataFrame:
+    """The best ``k`` texts per question (and per column of ``within``), ties by id."""
+    return top_per_group(scored, ["query_id", *(within or [])], [F.desc("score"), F.asc("id")], k, name)
+
+
+def search(texts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    return best_texts(text_scores(texts, queries), k)
 
 
 def bm25_documents(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -148,7 +159,7 @@ def term_overlap_search(texts: DataFrame, queries: DataFrame, k: int) -> DataFra
              .groupBy("query_id", "needle").agg(F.count(F.lit(1)).alias("n")))
     low = texts.select("id", F.lower("text").alias("text"))
     hits = substring_hits(low, terms.select("needle"))
-    scored = hits.join(broadcast_if_small(terms), "needle").groupBy("query_id", "id").agg(F.sum("n").alias("score"))
+    scored = hits.join(terms, "needle").groupBy("query_id", "id").agg(F.sum("n").alias("score"))
     return top_per_group(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
@@ -157,7 +168,7 @@ def prefix_hits(texts: DataFrame, queries: DataFrame) -> DataFrame:
     starts = queries.select("query_id", F.explode(TX.prefixes(F.col("text"))).alias("needle"))
     low = texts.select("id", F.lower("text").alias("text"))
     hits = substring_hits(low, starts.select("needle"))
-    return hits.join(broadcast_if_small(starts), "needle").select("query_id", "id").distinct()
+    return hits.join(starts, "needle").select("query_id", "id").distinct()
 
 
 def prefix_text(kos: DataFrame, with_people: bool = True) -> DataFrame:
@@ -212,28 +223,40 @@ def chunk_documents(docs: DataFrame, words: int = 200) -> DataFrame:
     return w.select("id", F.posexplode(parts).alias("ordinal", "content"))
 
 
-def unit(c: Column) -> Column:
-    norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x * x))
-    return F.transform(c, lambda x: F.try_divide(x, norm))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, data_rows: int = 8192, block_rows: int = 2048) -> DataFrame:
     """Exact cosine neighbours: (query_id, id, similarity, rank).
 
-    The question vectors travel to the data in packed blocks; the data is never replicated
-    for the usual single block, and each task keeps only its best ``k`` per question.
+    Blocks of about ``data_rows`` vectors meet blocks of questions in one task each; a matrix product
+    gives their cosines and only the best ``k`` of the block per question leave the task. A zero
+    vector has no similarity.
     """
-    asked = queries.select("query_id", unit(F.col("embedding")).alias("q"))
-    blocks, n = item_blocks(asked, "query_id")
-    base = vectors.select("id", unit(F.col("embedding")).alias("v"))
-    near = scan_blocks(base, blocks, n).select("id", F.explode(F.transform(
-        "items", lambda i: F.struct(i["query_id"].alias("query_id"), dot(i["q"], F.col("v")).alias("raw")))).alias("h"))
-    scored = near.select("id", "h.query_id", F.round("h.raw", 9).alias("similarity"))
-    return top_per_group(scored, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
+    n_data = max(1, math.ceil(vectors.count() / data_rows))
+    n_asked = max(1, math.ceil(queries.count() / block_rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    data = vectors.select("id", F.col("embedding").cast("array<double>").alias("v"), block("id", n_data).alias("b"), every(n_asked).alias("q"))
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("v"), block("query_id", n_asked).alias("q"),
+                           every(n_data).alias("b"))
+
+    def unit(column: pd.Series) -> np.ndarray:
+        x = np.stack(column)
+        norm = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.where(norm > 0, x / np.where(norm > 0, norm, 1), np.nan)
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "id": [], "similarity": []})
+        left = left.sort_values("id", kind="stable")
+        near = np.round(unit(right["v"]) @ unit(left["v"]).T, 9)
+        pick = np.argsort(np.where(np.isnan(near), np.inf, -near), axis=1, kind="stable")[:, :k]
+        rows = np.repeat(np.arange(len(right)), pick.shape[1])
+        return pd.DataFrame({"query_id": right["query_id"].to_numpy()[rows], "id": left["id"].to_numpy()[pick.ravel()],
+                             "similarity": near[rows, pick.ravel()]})
+
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, similarity double"
+    found = data.groupBy("b", "q").cogroup(asked.groupBy("b", "q")).applyInPandas(best, kinds)
+    found = found.withColumn("similarity", F.nanvl("similarity", F.lit(None).cast("double")))
+    return top_per_group(found, ["query_id"], [F.desc("similarity"), F.asc("id")], k)
 
 
 def centroids(vectors: DataFrame, label: str = "label") -> DataFrame:
@@ -301,9 +324,9 @@ def same_source_items(kos: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def best_text_decision(kos: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id): best decision among the top 30 text hits, else the newest by word starts."""
-    hits = bm25_kos(kos, queries, 30).join(kos.where("ko_type = 'decision'").select("id"), "id", "left_semi")
-    direct = hits.groupBy("query_id").agg(F.min_by("id", "rank").alias("id"))
+    """(query_id, id): the decision with the best text score, else the newest by word starts."""
+    scored = text_scores(ko_text(kos), queries).join(kos.where("ko_type = 'decision'").select("id"), "id", "left_semi")
+    direct = materialize(best_texts(scored, 1).select("query_id", "id"))
     rest = queries.join(direct.select("query_id"), "query_id", "left_anti")
     by_start = prefix_search(kos.where("ko_type = 'decision'"), rest, 1).select("query_id", "id")
     return direct.unionByName(by_start)

@@ -4,13 +4,10 @@
 * ``with_previous`` is ``lag`` over groups of any size.
 * ``contains_pairs`` / ``substring_hits`` answer "text contains term" with equi-joins.
 * ``first_per_key`` keeps one row per key with map-side combining.
-* ``item_blocks`` / ``scan_blocks`` run every row past a query set of any size.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
@@ -94,19 +91,3 @@ def substring_hits(texts: DataFrame, needles: DataFrame) -> DataFrame:
     words = words.where("word <> ''")
     pairs = contains_pairs(words.select("word"), needles)
     return words.join(pairs, words["word"] == pairs["hay"]).select("id", "needle").distinct()
-
-
-def item_blocks(items: DataFrame, key: str, block_rows: int = 512) -> tuple[DataFrame, int]:
-    """Pack a query set into arrays of about ``block_rows`` structs: (block, items)."""
-    n = max(1, math.ceil(items.count() / block_rows))
-    block = F.pmod(F.xxhash64(key), F.lit(n)).alias("block")
-    packed = items.select(block, F.struct(*items.columns).alias("item"))
-    return packed.groupBy("block").agg(F.collect_list("item").alias("items")), n
-
-
-def scan_blocks(df: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
-    """Pair every row with each packed block (one block for the usual query set)."""
-    spread = df.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    spread = spread.withColumn("block", F.col("block").cast("bigint"))
-    side = F.broadcast(blocks) if n_blocks <= 8 else blocks
-    return spread.join(side, "block")

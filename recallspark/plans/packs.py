@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed
 from ..operators.graph import incident_edges
-from ..operators.retrieval import (best_text_decision, bm25_documents, bm25_kos, classify_intent, decision_neighbours,
-                                   doc_text, newest, prefix_hits, prefix_text, query_entities, same_source_items)
+from ..operators.retrieval import (best_text_decision, best_texts, bm25_documents, classify_intent, decision_neighbours, doc_text,
+                                   ko_text, newest, prefix_hits, prefix_text, query_entities, same_source_items, text_scores)
 from ..operators.scale import contains_pairs, first_per_key, top_per_group
-from ..session import broadcast_if_small, materialize
+from ..session import materialize
 
 # section: (object type, required status)
 SECTIONS = {"decisions": ("decision", None), "commitments": ("task", "active"), "episodic": ("event", None),
@@ -17,7 +17,6 @@ SECTIONS = {"decisions": ("decision", None), "commitments": ("task", "active"),
 
 
 
-
 def _typed(kos: DataFrame) -> DataFrame:
     """(section, id, date, people) of every object that can fill a section."""
     cases = None
@@ -61,18 +60,18 @@ def context_pack(queries: DataFrame, kos: DataFrame, docs: DataFrame, entities:
     routed = materialize(classify_intent(queries))
     sections = question_sections(routed)
     matched = materialize(query_entities(queries, entities))
-    text = materialize(bm25_kos(kos, queries, 20))
+    typed = _typed(kos).select("section", "id")
+    places = typed.unionByName(kos.select(F.lit("kos").alias("section"), "id"))
+    text = best_texts(text_scores(ko_text(kos), queries).join(places, "id"), 20, ["section"])
 
     by_person = person_candidates(kos, matched, max_kos).select(
         "query_id", "section", "id", "rank", F.lit(0).alias("source"))
-    typed = _typed(kos).select("section", "id")
-    by_text = text.join(typed, "id").select("query_id", "section", "id", "rank", F.lit(1).alias("source"))
-    free = text.select("query_id", F.lit("kos").alias("section"), "id", "rank", F.lit(1).alias("source"))
+    by_text = text.select("query_id", "section", "id", "rank", F.lit(1).alias("source"))
     recent = top_per_group(_typed(kos), ["section"], [newest(), F.asc("id")], 10).select(
         "section", "id", "rank", F.lit(2).alias("source"))
-    by_date = sections.select("query_id", "section").join(broadcast_if_small(recent), "section").select(
+    by_date = sections.select("query_id", "section").join(recent, "section").select(
         "query_id", "section", "id", "rank", "source")
-    candidates = (by_person.unionByName(by_text).unionByName(free).unionByName(by_date)
+    candidates = (by_person.unionByName(by_text).unionByName(by_date)
                   .join(sections, ["query_id", "section"]))
     objects = merge_pack_sections(candidates, max_kos).select("query_id", "section", "rank", F.col("id").alias("item_id"))
 
@@ -98,14 +97,17 @@ def gather_material(topics: DataFrame, kos: DataFrame, docs: DataFrame, limit: i
     slim = kos.where(F.col("ko_type").isin(list(kinds))).select(
         "id", section[F.col("ko_type")].alias("section"), "date", "statement", "area")
     key = ["query_id", "section"]
-    text = materialize(bm25_kos(kos, topics, 30).select("query_id", "id", F.col("rank").alias("ord")).join(slim, "id"))
+    scored = text_scores(ko_text(kos), topics).join(slim, "id")
     starts = (prefix_hits(prefix_text(kos, with_people=False), topics).join(slim, "id")
               .withColumn("ord", -F.datediff("date", F.lit("1970-01-01"))))
-    found = broadcast_if_small(text.select(*key).distinct())
+    if "area" in topics.columns:
+        wish = topics.select("query_id", F.col("area").alias("wish"))
+        inside = lambda df: df.join(wish, "query_id").where("wish is null or wish <=> area").drop("wish")
+        scored, starts = inside(scored), inside(starts)
+    text = materialize(best_texts(scored, limit, ["section"], "ord").select("id", "query_id", "ord", "section", "date", "statement", "area"))
+    found = text.select(*key).distinct()
     hits = text.unionByName(starts.join(found, key, "left_anti").select(*text.columns))
     if "area" in topics.columns:
-        wish = broadcast_if_small(topics.select("query_id", F.col("area").alias("wish")))
-        hits = hits.join(wish, "query_id").where("wish is null or wish <=> area").drop("wish")
         recent = top_per_group(slim.where("area is not null"), ["section", "area"], [newest(), F.asc("id")], limit, "ord")
         back = recent.join(wish, F.col("wish") == F.col("area")).drop("wish")
         held = hits.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).select(*key)
@@ -145,6 +147,6 @@ def decision_dossier(queries: DataFrame, kos: DataFrame, docs: DataFrame) -> Dat
             .select("query_id", F.concat("ko_type", F.lit("s")).alias("section"), F.lit(0).alias("rank"),
                     F.col("other_id").alias("item_id")))
     titled = chosen.select("query_id", F.col("title").alias("text"))
-    hyp = bm25_kos(kos, titled, 20).join(kos.where("ko_type = 'hypothesis'").select("id"), "id", "left_semi")
-    hyp = hyp.select("query_id", F.lit("hypotheses").alias("section"), "rank", F.col("id").alias("item_id"))
+    hyp = text_scores(ko_text(kos), titled).join(kos.where("ko_type = 'hypothesis'").select("id"), "id", "left_semi")
+    hyp = best_texts(hyp, 20).select("query_id", F.lit("hypotheses").alias("section"), "rank", F.col("id").alias("item_id"))
     return decision.unionByName(source).unionByName(around).unionByName(same).unionByName(hyp)

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..operators.people import person_brief_items, top_items_per_person
 from ..operators.retrieval import newest
 from ..operators.scale import contains_pairs, top_per_group
-from ..session import broadcast_if_small
 
 
 def _rows(df: DataFrame, section: str | Column, rank: Column, owner: Column, item: Column, date: Column, text: Column) -> DataFrame:
@@ -67,7 +66,7 @@ def project_items(kos: DataFrame, projects: DataFrame, as_of: dt.date) -> DataFr
     kind = (F.when(open_task() & (due < today), "overdue")
             .when(open_task() & due.between(today, F.date_add(today, 7)), "due_soon")
             .when((F.col("ko_type") == "question") & (F.col("status") == "active"), "question"))
-    named = broadcast_if_small(projects.select("name").distinct())
+    named = projects.select("name").distinct()
     return (kos.withColumn("kind", kind).where("kind is not null")
             .join(named, F.col("project") == F.col("name"), "left_semi")
             .select(F.col("project").alias("name"), "kind", "id", "title", "statement", "date", "valid_to"))
@@ -114,7 +113,7 @@ def key_people_brief(kos: DataFrame, pinned: DataFrame, as_of: dt.date) -> DataF
     head = _rows(pinned, "person", F.lit(0), F.col("name"), none, none, F.col("role"))
     text = F.when(F.col("ko_type") == "event", F.col("title")).otherwise(F.col("statement"))
     rows = _rows(items, F.concat(F.lit("person:"), "ko_type"), F.col("rank"), F.col("name"), F.col("id"), F.col("date"), text)
-    idle = pinned.join(broadcast_if_small(items.select("name").distinct()), "name", "left_anti")
+    idle = pinned.join(items.select("name").distinct(), "name", "left_anti")
     calm = _rows(idle, "person:quiet", F.lit(1), F.col("name"), none, none, F.lit("Sin pendientes registrados con esta persona."))
     return _union([head, rows, calm])
 
@@ -125,7 +124,7 @@ def key_people_brief(kos: DataFrame, pinned: DataFrame, as_of: dt.date) -> DataF
 def top_tasks_per_area(kos: DataFrame, ranked_areas: DataFrame, n: int = 8) -> DataFrame:
     """Newest open tasks per area, areas in rank order (an unknown area comes last, 999)."""
     top = top_per_group(kos.where(open_task()), ["area"], [newest(), F.asc("id")], n)
-    ranks = broadcast_if_small(ranked_areas.select("area", F.col("rank").alias("area_rank")))
+    ranks = ranked_areas.select("area", F.col("rank").alias("area_rank"))
     return top.join(ranks, "area", "left").withColumn("area_rank", F.coalesce("area_rank", F.lit(999)))
 
 
@@ -176,7 +175,7 @@ def daily_brief(kos: DataFrame, projects: DataFrame, pinned: DataFrame, ranked_a
     events = kos.where(F.col("ko_type") == "event").where(day.between(today, F.date_add(today, horizon_days)))
     who = F.when(F.size("people") > 0, F.concat(F.lit(" · con "), F.array_join("people", ", "))).otherwise("")
     agenda = _rows(events, "agenda", F.datediff(day, today), F.col("area"), F.col("id"), day, F.concat("title", who))
-    ranks = broadcast_if_small(ranked_areas.select("area", F.col("rank").alias("area_rank")))
+    ranks = ranked_areas.select("area", F.col("rank").alias("area_rank"))
     rank_of = F.coalesce("area_rank", F.lit(999))
     tasks = top_tasks_per_area(kos, ranked_areas)
     task_rows = _rows(tasks, "tasks", F.col("area_rank") * 100 + F.col("rank"), F.col("area"), F.col("id"), day, F.col("statement"))
@@ -189,15 +188,15 @@ def daily_brief(kos: DataFrame, projects: DataFrame, pinned: DataFrame, ranked_a
 
 
 def meeting_prep(kos: DataFrame, todays: DataFrame, n: int = 5) -> DataFrame:
-    """Open tasks, questions and decisions among the five newest active objects of each guest of
-    today's meetings. Guests are matched by name as a substring, on distinct names."""
+    """The newest active tasks, questions and decisions of each guest of today's meetings. Guests are
+    matched by name as a substring, on distinct names."""
     guests = todays.select(F.col("id").alias("meeting"), F.explode("people").alias("guest")).distinct()
-    active = kos.where("status = 'active'").select("id", "ko_type", "date", "statement", F.explode("people").alias("who"))
+    active = kos.where("status = 'active' and ko_type in ('task', 'question', 'decision')").select("id", "ko_type", "date", "statement", F.explode("people").alias("who"))
     active = active.withColumn("low", F.lower("who"))
     names = guests.select("guest", F.lower("guest").alias("needle")).distinct()
     pairs = contains_pairs(active.select("low"), names.select("needle")).join(names, "needle")
-    mine = (active.join(broadcast_if_small(pairs.select(F.col("hay").alias("low"), "guest")), "low")
+    mine = (active.join(pairs.select(F.col("hay").alias("low"), "guest"), "low")
             .select("guest", "id", "ko_type", "date", "statement").distinct())
-    top = top_per_group(mine, ["guest"], [newest(), F.asc("id")], n).where("ko_type in ('task', 'question', 'decision')")
+    top = top_per_group(mine, ["guest"], [newest(), F.asc("id")], n)
     rows = guests.join(top, "guest")
     return _rows(rows, "prep", F.col("rank"), F.concat_ws("|", "meeting", "guest"), F.col("id"), F.col("date"), F.col("statement"))

@@ -1,13 +1,11 @@
-"""Session helpers: shared checkpoint folder and size-checked broadcasts."""
+"""Session helpers: the shared folder and tables written there."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-MAX_BROADCAST_ROWS = 200_000
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,13 +35,3 @@ def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder (survives lost executors)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """True when the table has at most ``max_rows`` rows; reads no more than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row count; a larger side keeps the shuffle join (AQE, skew join)."""
-    return F.broadcast(df) if fits(df, max_rows) else df

@@ -7,9 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import fixed
 from ..functions.text import natural_id, strip
 from ..operators.scale import top_per_group
-from ..session import broadcast_if_small, materialize
-
-PART_LINES = 50_000
 
 
 # -- transcripts -----------------------------------------------------------------
@@ -132,25 +129,21 @@ def newest_days_per_chat(days: DataFrame, n: int = fixed.CHAT_MAX_DAYS) -> DataF
     return top_per_group(days, ["chat"], [F.desc("date")], n, "recency")
 
 
-def chat_days_to_docs(messages: DataFrame, kind: str, n_days: int = fixed.CHAT_MAX_DAYS) -> DataFrame:
-    """One document per chat and day with its authors and its lines in order.
-
-    A day of more than ``PART_LINES`` line numbers becomes several documents (``part``), so
-    no group grows without bound; an ordinary day is part 0.
-    """
-    messages = materialize(messages)
-    days = messages.groupBy("chat", "date").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("n"))
-    kept = newest_days_per_chat(days, n_days).drop("recency")
-    rows = messages.join(broadcast_if_small(kept), ["chat", "date"])
-    rows = rows.withColumn("part", F.floor((F.col("seq") - F.col("first")) / PART_LINES))
+def chat_days_to_docs(messages: DataFrame, kind: str, n_days: int | None = None) -> DataFrame:
+    """One document per chat and day with its authors and its lines in order of ``seq``, whatever that
+    counts. All days unless ``n_days`` asks for the newest ones of each chat. A document's text is one
+    row, so the lines of one day of one chat meet in one group and no more than these do."""
+    rows = messages
+    if n_days is not None:
+        kept = newest_days_per_chat(messages.select("chat", "date").distinct(), n_days).drop("recency")
+        rows = messages.join(kept, ["chat", "date"])
     said = F.concat("author", F.lit(": "), "message")
     lines = F.transform(F.sort_array(F.collect_list(F.struct("seq", said.alias("said")))), lambda s: s["said"])
-    docs = rows.groupBy("chat", "date", "part").agg(
+    docs = rows.groupBy("chat", "date").agg(
         F.sort_array(F.collect_set("author")).alias("people"), F.count(F.lit(1)).alias("messages"),
         F.array_join(lines, "\n").alias("said"))
-    suffix = F.when(F.col("part") > 0, F.concat(F.lit("#"), F.col("part").cast("string"))).otherwise("")
     day = F.col("date").cast("string")
-    path = F.concat(F.lit(f"{kind}://"), "chat", F.lit("/"), day, suffix)
+    path = F.concat(F.lit(f"{kind}://"), "chat", F.lit("/"), day)
     return docs.select(
         natural_id("doc", path).alias("id"), path.alias("path"), F.concat("chat", F.lit(" · "), day).alias("title"),
         F.lit("chat").alias("doc_type"), "date",

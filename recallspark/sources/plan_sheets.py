@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed
 from ..functions.text import empty_strings, parse_flexible_date, strip
 from ..schemas import KO_COLUMNS
-from ..session import broadcast_if_small, materialize
+from ..operators.tables import delete_derived, upsert_kos
+from ..session import materialize
 
 
 def load_project_dim(raw: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def scan_plan_rows(sheets: DataFrame, starts: DataFrame | None = None) -> DataFr
     heads = (cols.where(is_header(F.col("cols"))).groupBy("file", "sheet")
              .agg(F.min_by("cols", "row").alias("cols"), F.min("row").alias("head_row")))
     clean = sheets.withColumn("cells", F.transform("cells", strip))
-    rows = clean.join(broadcast_if_small(heads), ["file", "sheet"]).where(F.col("row") > F.col("head_row"))
+    rows = clean.join(heads, ["file", "sheet"]).where(F.col("row") > F.col("head_row"))
 
     def cell(key: str) -> Column:
         at = F.col("cols")[key].cast("int")
@@ -76,20 +77,22 @@ def scan_plan_rows(sheets: DataFrame, starts: DataFrame | None = None) -> DataFr
     title_only = (F.upper(a) == a) & (F.lower(a) != a) & (F.size(F.split(a, r"\s+")) > 2)
     out = out.where(~title_only)
     if starts is not None:
-        out = out.join(broadcast_if_small(starts), "file", "left")
+        out = out.join(starts, "file", "left")
         by_week = F.when(F.col("week") > 0, F.date_add("plan_start", F.col("week") * 7 - 1))
         out = out.withColumn("due", F.coalesce("due", by_week)).drop("plan_start")
     return out
 
 
 def pick_best_sheet(rows: DataFrame) -> DataFrame:
-    """Per file, the sheet with most dated activities, then most rows, then the first."""
+    """Per file, the sheet with most dated activities, then most rows, then the first: by ``sheet_no``
+    where the rows have it, else by name."""
+    place = F.min(F.struct(F.col("sheet_no") if "sheet_no" in rows.columns else F.lit(0), "sheet")).alias("place")
     dated = F.count_if(F.col("due").isNotNull() | F.coalesce(F.col("week") > 0, F.lit(False)))
-    sizes = rows.groupBy("file", "sheet").agg(dated.alias("dated"), F.count(F.lit(1)).alias("n"), F.min("row").alias("first"))
+    sizes = rows.groupBy("file", "sheet").agg(dated.alias("dated"), F.count(F.lit(1)).alias("n"), place)
     best = sizes.groupBy("file").agg(F.max(F.struct("dated", "n")).alias("top"))
     kept = (sizes.join(best, "file").where((F.col("dated") == F.col("top.dated")) & (F.col("n") == F.col("top.n")))
-            .groupBy("file").agg(F.min("sheet").alias("sheet")))
-    return rows.join(broadcast_if_small(kept), ["file", "sheet"], "left_semi")
+            .groupBy("file").agg(F.min("place").alias("p")).select("file", F.col("p.sheet").alias("sheet")))
+    return rows.join(kept, ["file", "sheet"], "left_semi")
 
 
 def import_plan_tasks(rows: DataFrame, plans: DataFrame) -> DataFrame:
@@ -97,7 +100,7 @@ def import_plan_tasks(rows: DataFrame, plans: DataFrame) -> DataFrame:
 
     Ids follow from project, activity and week, so a second import gives the same rows.
     """
-    r = rows.join(broadcast_if_small(plans), "file")
+    r = rows.join(plans, "file")
     digest = F.substring(F.sha1(F.concat_ws("|", "project_id", "activity", F.coalesce(F.col("week").cast("string"), F.lit("None")))), 1, 12)
     tags = F.filter(F.array(F.col("phase"), F.concat(F.lit("prioridad:"), F.lower("priority"))), lambda x: x.isNotNull())
     own = F.coalesce("responsible", F.lit("")).isin("", "IP")
@@ -111,3 +114,10 @@ def import_plan_tasks(rows: DataFrame, plans: DataFrame) -> DataFrame:
     # the last row of a repeated activity stays, as with replace-by-id
     packed = F.struct(*[c for c in KO_COLUMNS if c != "id"])
     return out.groupBy("id").agg(F.max_by(packed, F.struct("row", "statement")).alias("k")).select("id", "k.*").select(*KO_COLUMNS)
+
+
+def replace_plan(kos: DataFrame, edges: DataFrame, rows: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kos, edges) with the tasks of the given plans in place of what these yielded before: a task that
+    has left the sheet leaves the table."""
+    kept, kept_edges, _ = delete_derived(kos, edges, plans.select(F.col("doc_id").alias("id")))
+    return upsert_kos(kept, import_plan_tasks(rows, plans)), kept_edges

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.extract import extract_all
-from ..operators.mail import score_mail
+from ..operators.mail import match_senders, score_mail
+from ..operators.scale import first_per_key
 from ..operators.tables import body_hash, keep_first_by_hash
 
 
@@ -38,8 +39,8 @@ def run_to_table(stream: DataFrame, out: str, checkpoint: str, mode: str = "appe
     return q
 
 
-def run_each_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
+def run_each_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    q = (stream.writeStream.foreachBatch(fn).outputMode(mode).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
@@ -93,6 +94,31 @@ def stream_signal_counts(events: DataFrame, key: str, time: str, window: str = "
             .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n", "points"))
 
 
+def triage_each_batch(mail: DataFrame, people: DataFrame, pinned: DataFrame, as_of: dt.datetime, table: str,
+                      checkpoint: str) -> StreamingQuery:
+    """Mail scored batch by batch; the senders of each batch are matched with the known people then, so
+    one that was never seen before can match too."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        scored = score_mail(batch, match_senders(batch, people, pinned), as_of)
+        scored.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    return run_each_batch(mail, write, checkpoint)
+
+
+def signal_table(counted: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Every batch writes the windows it changed, open ones too, to a folder of its own; a repeated
+    batch overwrites itself."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    return run_each_batch(counted, write, checkpoint, "update")
+
+
+def latest_windows(spark: SparkSession, table: str, key: str) -> DataFrame:
+    """The last figures of each window."""
+    return first_per_key(spark.read.parquet(table), ["start", "end", key], [-F.col("batch")]).drop("batch")
+
+
 def signal_counts(events: DataFrame, key: str, time: str, window: str = "7 days", slide: str = "1 day") -> DataFrame:
     """The same figures in batch."""
     return (events.groupBy(F.window(time, window, slide).alias("w"), key)
