@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.text import empty_strings
 from .operators.extract import entity_id
+from .session import run_dir
 
 AS_OF = dt.date(2001, 7, 15)
 AS_OF_TIME = dt.datetime(2001, 7, 15, 12, 0, 0)
-EVENTS_AS_OF = dt.date(2024, 1, 31)
 
 
 class Tables:
@@ -72,6 +72,12 @@ class Tables:
             F.lit(None).cast("string").alias("area"), F.col("c_mktsegment").alias("source"))
 
     # -- knowledge objects ----------------------------------------------------
+    def written(self, name: str) -> DataFrame:
+        """A reshaped table written once below the run folder, for jobs that look at it many times."""
+        df, path = getattr(self, name)(), run_dir(self.spark, name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def kos(self) -> DataFrame:
         """One object per order; the type follows the key, the status the order status."""
         k = F.col("o_orderkey")
@@ -261,9 +267,9 @@ class Tables:
                         F.when(F.col("l_linestatus") == "F", "IP"), F.concat(F.lit("Informe "), s("l_suppkey")),
                         F.when(F.col("l_linestatus") == "F", "Completado").otherwise("Pendiente"), F.lit("Alta"))
         rows = li.select(F.concat(F.lit("plan-"), s("l_returnflag")).alias("file"), s("l_linestatus").alias("sheet"),
-                         row.alias("row"), cells.alias("cells"), F.lit(1).alias("dup"))
+                         row.alias("row"), cells.alias("cells"))
         keys = li.select(F.concat(F.lit("plan-"), s("l_returnflag")).alias("file"), s("l_linestatus").alias("sheet")).distinct()
         head = F.array(*[F.lit(x) for x in ("Fase", "Sem.", "Actividad", "Responsable", "Entregable", "Estado", "Prioridad")])
         title = keys.select("file", "sheet", F.lit(1).cast("bigint").alias("row"), F.array(F.lit("PLAN DE TRABAJO")).alias("cells"))
         header = keys.select("file", "sheet", F.lit(2).cast("bigint").alias("row"), head.alias("cells"))
-        return title.unionByName(header).unionByName(rows.drop("dup"))
+        return title.unionByName(header).unionByName(rows)

@@ -136,12 +136,12 @@ def query_entities(t: Tables) -> DataFrame:
 
 @query
 def context_pack(t: Tables) -> DataFrame:
-    return K.context_pack(t.questions().select("query_id", "text"), t.kos(), t.docs(), t.entities(), t.edges())
+    return K.context_pack(t.questions().select("query_id", "text"), t.written("kos"), t.docs(), t.entities(), t.edges())
 
 
 @query
 def pack_caps(t: Tables) -> DataFrame:
-    pack = K.context_pack(t.questions().select("query_id", "text"), t.kos(), t.docs(), t.entities(), t.edges())
+    pack = K.context_pack(t.questions().select("query_id", "text"), t.written("kos"), t.docs(), t.entities(), t.edges())
     kos = pack.where("section in ('decisions','commitments','episodic','kos','questions')")
     return kos.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last"))
 
@@ -159,17 +159,18 @@ def merge_pack_sections(t: Tables) -> DataFrame:
 @query
 def gather_material(t: Tables) -> DataFrame:
     topics = t.questions().select("query_id", F.concat_ws(" ", F.lit("entrega"), F.lower("segment")).alias("text"))
-    return K.gather_material(topics, t.kos(), t.docs()).select("query_id", "section", "rank", "item_id", "date", "text")
+    return K.gather_material(topics, t.written("kos"), t.docs()).select("query_id", "section", "rank", "item_id", "date", "text")
 
 
 @query
 def decision_dossier(t: Tables) -> DataFrame:
-    return K.decision_dossier(t.questions().select("query_id", "text"), t.kos(), t.docs())
+    return K.decision_dossier(t.questions().select("query_id", "text"), t.written("kos"), t.docs())
 
 
 @query
 def decision_neighbours(t: Tables) -> DataFrame:
-    return R.decision_neighbours(t.kos(), t.kos().where("ko_type = 'decision'"))
+    kos = t.written("kos")
+    return R.decision_neighbours(kos, kos.where("ko_type = 'decision'"))
 
 
 @query
