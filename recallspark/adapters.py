@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.text import empty_strings
 from .operators.extract import entity_id
-from .session import run_dir
+from .session import written
 
 AS_OF = dt.date(2001, 7, 15)
 AS_OF_TIME = dt.datetime(2001, 7, 15, 12, 0, 0)
@@ -74,9 +74,7 @@ class Tables:
     # -- knowledge objects ----------------------------------------------------
     def written(self, name: str) -> DataFrame:
         """A reshaped table written once below the run folder, for jobs that look at it many times."""
-        df, path = getattr(self, name)(), run_dir(self.spark, name)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return written(getattr(self, name)(), name)
 
     def kos(self) -> DataFrame:
         """One object per order; the type follows the key, the status the order status."""

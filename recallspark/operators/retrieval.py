@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, text as TX
-from ..session import materialize
+from ..session import materialize, written
 from .scale import contains_pairs, substring_hits, top_per_group
 
 
@@ -105,7 +105,7 @@ def index_for(texts: DataFrame, terms: DataFrame) -> SearchIndex:
     wanted = terms.select("term").union(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
     toks = texts.select("id", TX.tokens(F.col("text")).alias("toks"))
     rows = toks.select("id", F.size("toks").alias("dl"), F.explode_outer(F.array_append("toks", F.lit(""))).alias("term"))
-    kept = rows.join(wanted, "term", "left_semi")
+    kept = rows.join(written(wanted, "terms"), "term", "left_semi")
     postings = materialize(kept.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     figures = postings.where("term = ''").agg(F.count(F.lit(1)), F.avg("dl")).first()
     return SearchIndex(postings.where("term <> ''"), figures[0], figures[1] or 1.0)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import materialize
+from ..session import materialize, written
 
 
 def with_position(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
@@ -85,9 +85,10 @@ def substring_hits(texts: DataFrame, needles: DataFrame) -> DataFrame:
     """Distinct (id, needle) where the text holds a needle that has no white space.
 
     Such a needle lies inside one word, so the substring test runs on the distinct words
-    of the corpus and the texts join to it by word.
+    of the corpus. The words that hold a needle are written; where they are few, they travel to
+    the texts and no word of a text is shuffled.
     """
     words = texts.select("id", F.explode_outer(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
     words = words.where("word <> ''")
-    pairs = contains_pairs(words.select("word"), needles)
+    pairs = written(contains_pairs(words.select("word"), needles), "pairs")
     return words.join(pairs, words["word"] == pairs["hay"]).select("id", "needle").distinct()

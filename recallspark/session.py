@@ -31,6 +31,14 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a table below the shared folder. Its size is known from then on, so the
+    planner can broadcast it where that pays and never has to make it again."""
+    path = run_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder (survives lost executors)."""
     shared_dir(df.sparkSession)
