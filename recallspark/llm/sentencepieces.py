@@ -66,7 +66,7 @@ class Lattice:
             return True
         got = self._fits.get((a, b))
         if got is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > 200_000:
                 self._fits.clear()
             got = self._fits[a, b] = self.merged(a + b) == [a, b]
         return got
@@ -227,7 +227,7 @@ def encode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)
 
     def whole(rows):
         bpe = tokenizer(SentencePieceBpe, model_path)
-        for batch, texts in batches(rows, text_col):
+        for batch, texts in batches(rows, text_col, 500_000):
             ids, offsets = bpe.ids_of(texts)
             n = len(texts)
             yield pa.RecordBatch.from_arrays(
@@ -241,6 +241,16 @@ def encode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",)
     return small.unionByName(giants.drop(text_col).join(parts, "uid").select(*schema.names))
 
 
+def _slices(batch: pa.RecordBatch, most: int = 200_000):
+    """The batch in parts of about ``most`` ids; a single longer row stays whole."""
+    ends = np.cumsum(np.asarray(batch.column("ids").value_lengths().fill_null(0)))
+    a = 0
+    while a < len(batch):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """``encoded`` with the text of each part in place of its ids."""
     others = [c for c in encoded.columns if c != "ids"]
@@ -248,7 +258,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
     def run(rows):
         at, size, chars = tokenizer(PieceBytes, model_path).arrays
-        for batch in rows:
+        for batch in (part for whole in rows for part in _slices(whole)):
             column = batch.column("ids")
             ids = column.flatten().to_numpy(zero_copy_only=False)
             counts = np.asarray(column.value_lengths().fill_null(0))

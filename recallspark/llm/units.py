@@ -279,7 +279,7 @@ class ByteBpe:
 class SentencePieceBpe:
     """Ids of the ``sentencepiece`` library for a BPE model with a dummy prefix and no other rewriting."""
 
-    def __init__(self, path: str, max_units: int = 1 << 20):
+    def __init__(self, path: str, max_units: int = 1 << 18):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
