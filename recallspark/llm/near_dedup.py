@@ -199,8 +199,25 @@ def confirmed_links(sets: list[np.ndarray], component: list[int], threshold: int
     return links
 
 
+def stars(edges: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
+    """The components of a few edges as edges to their smallest node."""
+    above: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while above.get(x, x) != x:
+            above[x] = above.get(above[x], above[x])
+            x = above[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        above[a], above[b] = a, a
+    return [(x, top(x)) for x in above if top(x) != x]
+
+
 def _round(docs, nodes, trees, known, limit, max_shingles, threshold, id_col, text_col, words) -> DataFrame:
-    """Confirmed links (a, b) between nodes of regions that are not yet one component."""
+    """Edges (a, b) between the roots of nodes whose link is confirmed, in regions that are not yet one
+    component; the root of a node is itself as long as nothing is known."""
     parts = _regions(nodes, trees, limit, max_shingles)
     if known is not None:
         parts = parts.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -218,8 +235,9 @@ def _round(docs, nodes, trees, known, limit, max_shingles, threshold, id_col, te
         pdf = pdf.sort_values(["hub", "node"], ascending=[False, True]).drop_duplicates("node")
         own = [np.frombuffer(b, "<u8") for b in pdf["shingles"]]
         node = pdf["node"].tolist()
+        root = pdf["root"].tolist()
         found = confirmed_links(own, pd.factorize(pdf["root"])[0].tolist(), threshold)
-        return pd.DataFrame([(node[i], node[j]) for i, j in found], columns=["a", "b"])
+        return pd.DataFrame(stars([(root[i], root[j]) for i, j in found]), columns=["a", "b"])
 
     members = parts.join(sets, "node")
     return stored(members.groupBy("part").applyInPandas(link, "a binary, b binary"), "links")
@@ -235,9 +253,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = (limit, max_shingles, threshold, id_col, text_col, words)
     links = _round(docs, nodes, range(0, 4), None, *more)
     known = stored(connected_components(links), "known")
-    links = links.unionByName(_round(docs, nodes, range(4, TREES), known, *more))
-    roots = connected_components(links)
-    roots = nodes.select("node", "doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    joined = connected_components(_round(docs, nodes, range(4, TREES), known, *more)).select("node", F.col("root").alias("__top"))
+    known = known.select("node", F.col("root").alias("__mid"))
+    roots = nodes.select("node", "doc").join(known, "node", "left").withColumn("__mid", F.coalesce("__mid", "node"))
+    roots = roots.join(joined.withColumnRenamed("node", "__mid"), "__mid", "left").withColumn("root", F.coalesce("__top", "__mid"))
     smallest = roots.groupBy("root").agg(F.min("doc").alias("component_id"))
     labels = roots.join(smallest, "root").select("node", "root", "component_id")
     found = rows.join(labels, "node", "left").withColumn(
