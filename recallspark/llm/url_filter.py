@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, stored
 from .components import connected_components
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)"
@@ -45,8 +45,8 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
 def judge(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``urls`` (with host and path) and the longest rule that fits: rule, action.
 
-    Each distinct host meets the rules of its own name and of the domains above it; a host's rules
-    then travel to its urls as one row.
+    Each distinct host meets the rules of its own name and of the domains above it; a host's rules are
+    written as one row and meet its urls in a join of their own, whose large partitions can be split.
     """
     parts = F.split("host", r"\.")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
@@ -55,7 +55,7 @@ def judge(urls: DataFrame, rules: DataFrame) -> DataFrame:
                          F.regexp_extract("rule", "^[^/]*(.*)$", 1).alias("start"))
     fitting = names.join(split, "name").groupBy("host").agg(
         F.collect_list(F.struct(F.length("rule").alias("n"), (F.col("action") == "allow").alias("allow"), "rule", "start")).alias("fit"))
-    out = urls.join(fitting, "host", "left")
+    out = urls.join(stored(fitting, "hosts"), "host", "left")
     best = F.array_max(F.filter("fit", lambda r: F.startswith(F.col("path"), r["start"])))
     return out.withColumn("__best", best).select(
         *urls.columns, F.col("__best.rule").alias("rule"),
