@@ -9,8 +9,12 @@ signature agrees with most of the region. Inside a part all pairs that are not y
 confirmed on the full shingle sets, so no pair is accepted on its signature alone.
 
 The trees run in two rounds. The second one leaves out regions whose nodes are already in one
-component. A pair just at the threshold of 0.85 shares a prefix of 4 in one of 16 trees with
-probability 1 - (1 - 0.85**4)**16 = 0.999993, nearer pairs with more.
+component. Cut regions that still are more than one component after that are finished exactly: two
+sets over the threshold share one of their rarest shingles (the first n - ceil(0.85 n) + 1 in one
+order of all shingles), so all nodes that share such a shingle are compared, in pairs of blocks where
+they are many. A pair that shares a region of any size is therefore compared or already connected.
+A pair just at the threshold of 0.85 shares a prefix of 4 in one of 16 trees with probability
+1 - (1 - 0.85**4)**16 = 0.999993, nearer pairs with more.
 
 Defined cases: texts without words have an empty set and are linked with nothing; null ids are
 ignored by the smallest id of a component unless it has no other; repeated rows are equal sets; an
@@ -30,6 +34,7 @@ from .units import code_points
 
 TREES, DEPTH = 16, 4
 SLOTS = TREES * DEPTH
+ORDER_BITS = 18
 _MULT, _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FACTORS = np.random.default_rng(7).integers(1 << 40, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -120,8 +125,9 @@ def _with_sets(docs: DataFrame, id_col: str, text_col: str, words: int, what: st
     return rows.mapInArrow(run, kind)
 
 
-def _regions(nodes: DataFrame, trees: range, limit: int, max_shingles: int) -> DataFrame:
-    """(part, node, hub): the parts of every region with more than one node, over the given trees."""
+def _regions(nodes: DataFrame, trees: range, limit: int, max_shingles: int) -> tuple[DataFrame, DataFrame | None]:
+    """(part, node, hub): the parts of every region with more than one node, over the given trees; and
+    (k4, node) of the regions that are cut, None without any."""
     twice = F.concat("signature", "signature")
     key = lambda t, d: F.xxhash64(F.lit(t), F.substring(twice, 4 * DEPTH * t + 1, 4 * d))
     rows = nodes.select("node", "n_shingles", F.explode(F.array(*(
@@ -133,7 +139,8 @@ def _regions(nodes: DataFrame, trees: range, limit: int, max_shingles: int) -> D
     small = rows.where(fits("c4", "s4")).select(F.col("k4").alias("part"), "node", F.lit(False).alias("hub"))
     large = rows.where(~fits("c4", "s4"))
     if large.isEmpty():
-        return small
+        return small, None
+    cut = large.select("k4", "node")
     hubs = _hubs(large.select("k4", "node"), nodes.select("node", "signature"), limit)
     for c, s, keys in (("c8", "s8", ["k4", "k8"]), ("c16", "s16", ["k4", "k16"])):
         n = large.groupBy(*keys).agg(F.count(F.lit(1)).alias(c), F.sum("n_shingles").alias(s))
@@ -144,7 +151,7 @@ def _regions(nodes: DataFrame, trees: range, limit: int, max_shingles: int) -> D
             .otherwise(F.xxhash64("k4", "k16", F.pmod(F.xxhash64("node"), parts))))
     large = stored(large.select(part.alias("part"), "k4", "node"), "parts")
     extra = large.select("part", "k4").distinct().join(hubs, "k4").select("part", "node", F.lit(True).alias("hub"))
-    return small.unionByName(large.select("part", "node", F.lit(False).alias("hub"))).unionByName(extra)
+    return small.unionByName(large.select("part", "node", F.lit(False).alias("hub"))).unionByName(extra), cut
 
 
 def _hubs(members: DataFrame, signatures: DataFrame, sample: int) -> DataFrame:
@@ -215,26 +222,25 @@ def stars(edges: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
     return [(x, top(x)) for x in above if top(x) != x]
 
 
-def _round(docs, nodes, trees, known, limit, max_shingles, threshold, id_col, text_col, words) -> DataFrame:
-    """Edges (a, b) between the roots of nodes whose link is confirmed, in regions that are not yet one
-    component; the root of a node is itself as long as nothing is known."""
-    parts = _regions(nodes, trees, limit, max_shingles)
-    if known is not None:
-        parts = parts.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    else:
-        parts = parts.withColumn("root", F.col("node"))
-    open_ = parts.groupBy("part").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("part")
-    parts = stored(parts.join(open_, "part", "left_semi"), "open")
-    wanted = stored(parts.select("node").distinct().join(nodes.select("node", F.col("doc").alias("__doc")), "node"), "wanted")
+def _sets(docs, wanted, id_col, text_col, words) -> DataFrame:
+    """(node, shingles) of the nodes of ``wanted`` (node, __doc)."""
     ids = wanted.select("__doc").distinct()
     texts = docs.join(ids, docs[id_col].eqNullSafe(ids["__doc"]), "left_semi")
     sets = _with_sets(texts, id_col, text_col, words, "shingles").select("node", "shingles").dropDuplicates(["node"])
-    sets = stored(sets.join(wanted.select("node"), "node", "left_semi"), "sets")
+    return stored(sets.join(wanted.select("node"), "node", "left_semi"), "sets")
 
+
+def _open(parts: DataFrame) -> DataFrame:
+    """The parts that hold more than one root."""
+    open_ = parts.groupBy("part").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("part")
+    return stored(parts.join(open_, "part", "left_semi"), "open")
+
+
+def _links(parts: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Confirmed edges (a, b) between the roots of nodes that meet in a part (part, node, hub, root)."""
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["hub", "node"], ascending=[False, True]).drop_duplicates("node")
         own = [np.frombuffer(b, "<u8") for b in pdf["shingles"]]
-        node = pdf["node"].tolist()
         root = pdf["root"].tolist()
         found = confirmed_links(own, pd.factorize(pdf["root"])[0].tolist(), threshold)
         return pd.DataFrame(stars([(root[i], root[j]) for i, j in found]), columns=["a", "b"])
@@ -243,6 +249,71 @@ def _round(docs, nodes, trees, known, limit, max_shingles, threshold, id_col, te
     return stored(members.groupBy("part").applyInPandas(link, "a binary, b binary"), "links")
 
 
+def _round(docs, nodes, trees, known, limit, max_shingles, threshold, id_col, text_col, words) -> tuple[DataFrame, DataFrame | None]:
+    """Edges (a, b) between the roots of nodes whose link is confirmed, in regions that are not yet one
+    component, and the regions that were cut; the root of a node is itself as long as nothing is known."""
+    parts, cut = _regions(nodes, trees, limit, max_shingles)
+    if known is not None:
+        parts = parts.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    else:
+        parts = parts.withColumn("root", F.col("node"))
+    parts = _open(parts)
+    wanted = stored(parts.select("node").distinct().join(nodes.select("node", F.col("doc").alias("__doc")), "node"), "wanted")
+    return _links(parts, _sets(docs, wanted, id_col, text_col, words), threshold), cut
+
+
+def _rarest(sets: DataFrame, threshold: int) -> DataFrame:
+    """(token, node, root, n): the rarest shingles of each set, so many that two sets over the threshold
+    share one. Any fixed order of the shingles serves; theirs is by how often the top bits of the hash
+    occur, then by hash."""
+    bits = np.uint64(64 - ORDER_BITS)
+
+    def tops(frames):
+        counts = np.zeros(1 << ORDER_BITS, np.int64)
+        for pdf in frames:
+            for b in pdf["shingles"]:
+                np.add.at(counts, (np.frombuffer(b, "<u8") >> bits).astype(np.int64), 1)
+        at = np.flatnonzero(counts)
+        yield pd.DataFrame({"top": at, "n": counts[at]})
+
+    often = np.zeros(1 << ORDER_BITS, np.int64)
+    found = sets.select("shingles").mapInPandas(tops, "top long, n long").groupBy("top").agg(F.sum("n").alias("n")).toPandas()
+    often[found["top"].to_numpy()] = found["n"].to_numpy()
+
+    def first(frames):
+        for pdf in frames:
+            for node, root, b in zip(pdf["node"], pdf["root"], pdf["shingles"]):
+                own = np.frombuffer(b, "<u8")
+                n = len(own)
+                order = np.lexsort((own, often[(own >> bits).astype(np.int64)]))[:n + (-threshold * n) // 100 + 1]
+                yield pd.DataFrame({"token": own[order].astype(np.uint64).view(np.int64), "node": node, "root": root, "n": n})
+
+    return stored(sets.mapInPandas(first, "token long, node binary, root binary, n long"), "rarest")
+
+
+def _rest(docs, nodes, cut, roots, limit, max_shingles, threshold, id_col, text_col, words) -> DataFrame | None:
+    """Edges (a, b) between the roots of all nodes over the threshold in cut regions that hold more than
+    one root; None if there is no such region."""
+    left = _open(cut.select(F.col("k4").alias("part"), "node").join(roots.select("node", "root"), "node"))
+    if left.isEmpty():
+        return None
+    wanted = stored(left.select("node", "root").distinct().join(nodes.select("node", F.col("doc").alias("__doc")), "node"), "wanted")
+    sets = _sets(docs, wanted, id_col, text_col, words)
+    rare = _rarest(sets.join(wanted.select("node", "root"), "node"), threshold)
+    groups = rare.groupBy("token").agg(
+        F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"),
+        F.bit_xor(F.xxhash64("node")).alias("who")).where("a <> b")
+    # shingles of the same nodes make one part; of many nodes every two blocks make one
+    fits = (F.col("c") <= limit) & (F.col("s") <= max_shingles)
+    blocks = F.when(fits, 1).otherwise(F.greatest(F.ceil(2 * F.col("c") / limit), F.ceil(2 * F.col("s") / max_shingles), F.lit(2)))
+    groups = groups.select("token", F.xxhash64("who", "c", "s").alias("group"), blocks.cast("long").alias("blocks"))
+    rows = rare.select("token", "node", "root").join(groups, "token").select("group", "blocks", "node", "root").distinct()
+    rows = rows.withColumn("x", F.pmod(F.xxhash64("node"), "blocks")).withColumn(
+        "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("x <> y or blocks = 1")
+    parts = rows.select(F.xxhash64("group", F.least("x", "y"), F.greatest("x", "y")).alias("part"), "node", "root", F.lit(False).alias("hub"))
+    return _links(_open(parts), sets, threshold)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 85,
                     limit: int = 256, max_shingles: int = 4_000_000) -> DataFrame:
     """One row per document: id, text_hash, n_shingles, component_id, kept."""
@@ -251,12 +322,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min(id_col).alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "nodes")
     rows = rows.drop("signature")
     more = (limit, max_shingles, threshold, id_col, text_col, words)
-    links = _round(docs, nodes, range(0, 4), None, *more)
+    links, cut = _round(docs, nodes, range(0, 4), None, *more)
     known = stored(connected_components(links), "known")
-    joined = connected_components(_round(docs, nodes, range(4, TREES), known, *more)).select("node", F.col("root").alias("__top"))
+    links, more_cut = _round(docs, nodes, range(4, TREES), known, *more)
+    joined = connected_components(links).select("node", F.col("root").alias("__top"))
     known = known.select("node", F.col("root").alias("__mid"))
     roots = nodes.select("node", "doc").join(known, "node", "left").withColumn("__mid", F.coalesce("__mid", "node"))
     roots = roots.join(joined.withColumnRenamed("node", "__mid"), "__mid", "left").withColumn("root", F.coalesce("__top", "__mid"))
+    cuts = [c for c in (cut, more_cut) if c is not None]
+    if cuts:
+        roots = stored(roots.select("node", "doc", "root"), "roots")
+        links = _rest(docs, nodes, cuts[0] if len(cuts) == 1 else cuts[0].unionByName(cuts[1]), roots, *more)
+        if links is not None:
+            last = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("__last"))
+            roots = roots.join(last, "root", "left").select("node", "doc", F.coalesce("__last", "root").alias("root"))
     smallest = roots.groupBy("root").agg(F.min("doc").alias("component_id"))
     labels = roots.join(smallest, "root").select("node", "root", "component_id")
     found = rows.join(labels, "node", "left").withColumn(

@@ -1,6 +1,7 @@
 """Exact and near deduplication against plain Python."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -70,6 +71,21 @@ def test_near_groups(spark, limit):
     assert sorted([r.doc_id for r in kept.collect()], key=str) == sorted([*classes, *empty], key=str)
 
 
+def test_near_pairs_on_one_template(spark):
+    """Different texts on one template fill regions far over the limit; the near pairs among them just
+    reach the threshold and are near to no hub."""
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, texts = words(300), []
+    for _ in range(90):
+        common = template + words(24)
+        texts += [" ".join(common + words(27)) for _ in range(2)]
+    want = near_groups(list(enumerate(texts)))
+    assert len({c for _, _, c in want}) == 90
+    got = near_dedup.near_duplicates(frame(spark, list(enumerate(texts))), limit=8)
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()], key=str) == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 400)] + [(500, 500), (7, None), (300, 301)]
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
