@@ -87,9 +87,10 @@ def stream_triage(mail: DataFrame, senders: DataFrame, as_of: dt.datetime) -> Da
 
 
 def stream_signal_counts(events: DataFrame, key: str, time: str, window: str = "7 days", slide: str = "1 day",
-                         late: str = "1 day") -> DataFrame:
-    """Rolling counts and sums per key; rows later than ``late`` behind the watermark are dropped."""
-    return (events.withWatermark(time, late).groupBy(F.window(time, window, slide).alias("w"), key)
+                         late: str | None = "1 day") -> DataFrame:
+    """Rolling counts and sums per key; rows later than ``late`` behind the watermark are dropped. None
+    drops nothing, keeps the figures of every window as state and needs the update mode."""
+    return ((events.withWatermark(time, late) if late else events).groupBy(F.window(time, window, slide).alias("w"), key)
             .agg(F.count(F.lit(1)).alias("n"), F.sum("points").alias("points"))
             .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n", "points"))
 

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from recallspark.registry import all_queries
 from recallspark.streaming import jobs as S
 
 
@@ -38,3 +39,11 @@ def test_signal_counts_match_batch(spark, tmp_path):
     key = lambda df: sorted((str(r["start"]), r["n"], r["points"]) for r in df.collect())
     final = S.signal_counts(static, "who", "at").where(F.col("end") <= F.lit(t0 + dt.timedelta(days=59)))
     assert key(spark.read.parquet(out)) == key(final)
+
+
+def test_signal_query_over_a_year(spark, tmp_path):
+    """The parts of the query come in any order of time, however long the events last."""
+    rows = [(t, str(dt.datetime(2024, 1, 1) + dt.timedelta(days=i % 366, hours=i % 24))) for i in range(1500) for t in ("a", "b")]
+    spark.createDataFrame(rows, "event_type string, ts string").write.parquet(str(tmp_path / "events.parquet"))
+    got, want = (sorted(tuple(r) for r in all_queries()[q](spark, str(tmp_path)).collect()) for q in ("stream_signal_counts", "signal_counts"))
+    assert got == want and len(got) == 2 * (366 + 6)
