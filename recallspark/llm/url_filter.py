@@ -6,7 +6,8 @@ between urls; the connected components of these edges are aliases of each other.
 rule of its own is blocked when a block rule fits one of its aliases and no allow rule fits any; an
 own rule always comes first.
 
-Urls that differ in their scheme or fragment only are one node. Defined cases: a null url or one
+Urls that differ in their scheme or fragment only are one node. Targets without a scheme are resolved
+against the url they are found at, and all canonical links and refreshes of a page count. Defined cases: a null url or one
 without ``://`` has an empty host and path, fits no rule and is allowed; repeated rows get a row
 each; pages without html have no edges; an empty table gives an empty result.
 """
@@ -20,6 +21,8 @@ from .components import connected_components
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)"
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
+ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*://"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""
 
 
@@ -36,6 +39,31 @@ def node(url: Column) -> Column:
     return F.when(F.contains(url, F.lit("://")), F.concat(host(url), F.regexp_extract(url, URL, 2), F.regexp_extract(url, URL, 3)))
 
 
+def plain_path(path: Column) -> Column:
+    """An absolute path without its ``.`` and ``..`` segments."""
+    segments = F.split(F.substr(path, F.lit(2)), "/")
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda acc, s: (
+        F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+        .when(s == ".", acc).otherwise(F.concat(acc, F.array(s)))))
+    end = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(F.contains(path, F.lit("/.")), F.concat(F.lit("/"), F.array_join(end, "/"))).otherwise(path)
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """``target`` as found at ``url``, as an absolute url; null for what leads to no page."""
+    here, base = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(url, URL, 2)
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(base, r"(?s)^(.*/)", 1)
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    return (F.when(target == "", None).when(F.rlike(target, F.lit(ABSOLUTE)), target)
+            .when(F.startswith(target, F.lit("//")), F.concat(F.lit("http:"), target))
+            .when(F.rlike(target, F.lit(SCHEME)) | (here == ""), None)
+            .when(F.startswith(target, F.lit("/")), F.concat(here, plain_path(own), rest))
+            .when(F.startswith(target, F.lit("#")), url)
+            .when(F.startswith(target, F.lit("?")), F.concat(here, base, rest))
+            .otherwise(F.concat(here, plain_path(F.concat(folder, own)), rest)))
+
+
 def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     """(action, rule) with rules like ``example.org/es/``."""
     rows = F.array(*(F.struct(F.lit(a).alias("action"), F.lit(r).alias("rule")) for a, r in rules))
@@ -64,16 +92,13 @@ def judge(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 def alias_edges(pages: DataFrame, url_col: str, html_col: str, redirects: DataFrame | None) -> DataFrame:
     """(a, b) nodes that a canonical link, a refresh or a logged redirect connects."""
-    targets = F.array(*(F.regexp_extract(html_col, p, 1) for p in (CANONICAL, REFRESH)))
+    targets = F.array_distinct(F.concat(*(F.regexp_extract_all(html_col, F.lit(p), 1) for p in (CANONICAL, REFRESH))))
     tagged = F.contains(F.lower(html_col), F.lit("canonical")) | F.contains(F.lower(html_col), F.lit("http-equiv"))
     found = pages.where(tagged).select(F.col(url_col).alias("url"), F.explode(targets).alias("target"))
-    here = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    target = (F.when(F.startswith("target", F.lit("//")), F.concat(F.lit("http:"), "target"))
-              .when(F.startswith("target", F.lit("/")), F.concat(here, "target")).otherwise(F.col("target")))
-    edges = found.select(node(F.col("url")).alias("a"), node(target).alias("b"))
+    edges = found.select(node(F.col("url")).alias("a"), node(resolved(F.col("url"), F.col("target"))).alias("b"))
     if redirects is not None:
         a, b = redirects.columns
-        edges = edges.unionByName(redirects.select(node(F.col(a)).alias("a"), node(F.col(b)).alias("b")))
+        edges = edges.unionByName(redirects.select(node(F.col(a)).alias("a"), node(resolved(F.col(a), F.col(b))).alias("b")))
     return edges
 
 

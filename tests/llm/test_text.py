@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from recallspark.llm import chat_format, license_scan, url_filter
 from tests.llm.rows import frame, odd_texts
@@ -73,6 +74,23 @@ def test_longest_rule_and_aliases(spark):
     assert found[7].verdict == "block"
 
 
+def test_relative_and_repeated_targets(spark):
+    base = "http://a.net/x/y/page?k=1"
+    cases = {"next.html": "a.net/x/y/next.html", "?p=2": "a.net/x/y/page?p=2", "../z?u#f": "a.net/x/z?u", "../../../up/..": "a.net/",
+             "login?next=http://bad.com/1": "a.net/x/y/login?next=http://bad.com/1", "//b.net/q": "b.net/q", "/es": "a.net/es",
+             "#top": "a.net/x/y/page?k=1", "mailto:x@bad.com": None, "HTTPS://B.net/./r": "b.net/./r", "./.": "a.net/x/y/"}
+    rows = [(base, t, n) for t, n in cases.items()] + [("http://a.net", "next", "a.net/next"), ("nothing", "next", None)]
+    found = spark.createDataFrame(rows, "url string, target string, want string").select(
+        "target", "want", url_filter.node(url_filter.resolved(F.col("url"), F.col("target"))).alias("got")).collect()
+    assert [(r.target, r.got) for r in found] == [(r.target, r.want) for r in found]
+    pages = spark.createDataFrame([
+        (1, "http://bad.com/d/1", page("http://a.net/1") + page("http://a.net/2", "http://a.net/3") + page(None, "http://a.net/4")),
+        (2, "http://a.net/1", None), (3, "http://a.net/2", None), (4, "http://a.net/3", None), (5, "http://a.net/4", None),
+        (6, "http://a.net/t/6", page("login?next=http://bad.com/1"))], "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, url_filter.rule_table(spark, RULES)).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "allow"}
+
+
 def test_maximal_conversations(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"),
             (3, 0, "user", "a"), (3, 1, "assistant", "b"), (3, 2, "user", "c"), (4, 0, "user", "a"), (4, 1, "assistant", "other"),
