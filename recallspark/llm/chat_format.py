@@ -7,7 +7,8 @@ prefix of another one leave by an anti-join, of equal ones the smallest id stays
 rendered turn by turn.
 
 The running hash is taken over blocks of 256 turn numbers and inside the blocks, and long
-conversations are rendered in one part per block, so no conversation is one group of unbounded size.
+conversations are rendered in one part per block. Blocks of more than ``part_rows`` rows, as of a null
+id or one repeated turn number, are cut by the rank of their rows, so no group is of unbounded size.
 
 Defined cases: a null turn comes first, a null role or text is empty, rows of a null id form one
 conversation; repeated rows count once; rows that share a turn are ordered by role and text; an
@@ -18,6 +19,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.scale import with_position
+from .common import stored
+
 BLOCK_BITS = 8
 FIRST = -(1 << 62)
 
@@ -59,13 +63,24 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
 
 
 def format_chats(chats: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
-                 template: str = "<|im_start|>%s\n%s<|im_end|>\n") -> DataFrame:
+                 template: str = "<|im_start|>%s\n%s<|im_end|>\n", part_rows: int = 4096) -> DataFrame:
     """(id, part, n_turns, rendered) for every maximal conversation; ``template`` takes role and text,
     parts are numbered from 0."""
     turns = _turns(chats, id_col, turn_col, role_col, text_col)
     kept = maximal_conversations(turns).withColumnRenamed("id", "__id")
-    rows = turns.join(kept, turns["id"].eqNullSafe(kept["__id"])).groupBy("id", "n_turns", "block").agg(
-        F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("t"))
+    rows = stored(turns.join(kept, turns["id"].eqNullSafe(kept["__id"])).select(
+        "id", "n_turns", "block", "turn", "role", "text").distinct(), "rows")
+    sizes = rows.groupBy("id", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_rows)
+    sizes = stored(sizes.select(F.col("id").alias("__id"), F.col("block").alias("__block")), "sizes")
+    same = rows["id"].eqNullSafe(sizes["__id"]) & (rows["block"] == sizes["__block"])
+    pieces = rows.join(sizes, same, "left_anti").withColumn("piece", F.lit(0).cast("long"))
+    if not sizes.isEmpty():
+        placed = with_position(rows.join(sizes, same, "left_semi"), [F.col(c) for c in ("id", "block", "turn", "role", "text")], "__pos")
+        placed = stored(placed, "placed")
+        first = placed.groupBy("id", "block").agg(F.min("__pos").alias("__first")).toDF("__id", "__block", "__first")
+        placed = placed.join(first, placed["id"].eqNullSafe(first["__id"]) & (placed["block"] == first["__block"]))
+        pieces = pieces.unionByName(placed.select(*rows.columns, F.floor((F.col("__pos") - F.col("__first")) / part_rows).alias("piece")))
+    rows = pieces.groupBy("id", "n_turns", "block", "piece").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     one = F.transform("t", lambda t: F.format_string(template, t["role"], t["text"]))
-    part = F.row_number().over(Window.partitionBy("id").orderBy("block")) - 1
+    part = F.row_number().over(Window.partitionBy("id").orderBy("block", "piece")) - 1
     return rows.select(F.col("id").alias(id_col), part.cast("long").alias("part"), "n_turns", F.array_join(one, "").alias("rendered"))

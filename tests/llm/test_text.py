@@ -105,6 +105,18 @@ def test_maximal_conversations(spark):
     assert whole == "".join(f"<|im_start|>user\n{i}<|im_end|>\n" for i in range(600)) and got[8, 0].n_turns == 600
 
 
+def test_rows_of_a_null_id_are_cut(spark):
+    rows = [(None, i % 9, "user", f"{i:04}") for i in range(900)] + [(1, 0, "user", "a"), (1, 1, "user", "b")] + [(2, None, "user", f"{i:03}") for i in range(250)]
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.part): r for r in chat_format.format_chats(chats, part_rows=100).collect()}
+    line = lambda t: f"<|im_start|>user\n{t}<|im_end|>\n"
+    assert sorted(p for i, p in got if i is None) == list(range(9)) and sorted(p for i, p in got if i == 2) == [0, 1, 2]
+    assert max(r.rendered.count("<|im_start|>") for r in got.values()) == 100
+    assert "".join(got[None, p].rendered for p in range(9)) == "".join(line(r[3]) for r in sorted(rows[:900], key=lambda r: (r[1], r[3])))
+    assert "".join(got[2, p].rendered for p in range(3)) == "".join(line(r[3]) for r in rows[902:])
+    assert got[1, 0].rendered == line("a") + line("b") and got[None, 0].n_turns == 900
+
+
 @pytest.mark.parametrize("run", [
     lambda s: license_scan.scan_licenses(frame(s, [])),
     lambda s: url_filter.filter_urls(s.createDataFrame([], "page_id long, url string, html string"), url_filter.rule_table(s, RULES)),
