@@ -4,8 +4,9 @@ Equal vectors are one node that carries its smallest ids. The nodes are dealt by
 about ``shard_rows``; every shard builds a graph: greedy beam searches propose neighbours, relaxed
 distance pruning keeps the diverse ones, edges are also set backwards and pruned again. A block of
 queries meets a shard's graph in one task, a beam search finds its candidates there, and their
-cosines are worked out on the original vectors in double precision. The best of all shards are
-merged. Every row is indexed and every shard is searched.
+cosines are worked out on the original vectors in double precision. Where the beam's end is within
+rounding of its k-th best, as among near copies, the query meets the whole shard in double precision
+instead. The best of all shards are merged. Every row is indexed and every shard is searched.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows
 without an id, take no part; vectors are compared within their own number of components; an id that
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import stored
 
 DEGREE, BEAM, RELAX = 32, 64, 1.2
+ROUNDING = 1e-5  # of a cosine in single precision
 
 
 def usable(vector: Column) -> Column:
@@ -156,10 +158,19 @@ def _search(k: int, degree: int, width: int):
         q_norm = np.sqrt((q_raw * q_raw).sum(axis=1))
         for a in range(0, len(q_raw), 256):
             q = q_raw[a:a + 256]
-            found = beam_search(unit, graph, (q / q_norm[a:a + 256, None]).astype(np.float32), starts, width)
+            q_unit = (q / q_norm[a:a + 256, None]).astype(np.float32)
+            found = beam_search(unit, graph, q_unit, starts, width)
             for j, own in enumerate(queries["query_id"].iloc[a:a + 256].tolist()):
                 node = found[j][found[j] >= 0]
-                score = raw[node] @ q[j] / (norms[node] * q_norm[a + j])
+                near = unit[node] @ q_unit[j]
+                if len(raw) > len(node) >= width and near[min(k, width - 1)] - near[-1] <= ROUNDING:
+                    node = np.arange(len(raw))
+                    score = raw @ q[j] / (norms * q_norm[a + j])
+                    if len(score) > k:  # the k + 1 best nodes and their ties; one may hold the query's own id alone
+                        node = np.flatnonzero(score >= np.partition(score, -k - 1)[-k - 1])
+                        score = score[node]
+                else:
+                    score = raw[node] @ q[j] / (norms[node] * q_norm[a + j])
                 pick = [(-v, i) for v, m in zip(score.tolist(), node.tolist()) for i in ids[ends[m] - sizes[m]:ends[m]].tolist() if i != own]
                 out += [(own, i, -v) for v, i in sorted(pick)[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])

@@ -67,6 +67,17 @@ def test_recall_against_brute_force(spark):
         assert all(r["rank"] in range(1, 6) for r in got)
 
 
+def test_near_copies_beyond_the_beam(spark):
+    """The cosines of a group of near copies differ by less than single precision tells."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(1200, 16))
+    x[:500] = x[0] * (1 + 1e-4 * rng.normal(size=(500, 16)))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = exact(list(range(1200)), x, np.arange(0, 500, 50))
+    got = ann.nearest(vectors, vectors.where("vec_id % 50 = 0 and vec_id < 500")).collect()
+    assert len(got) == 50 and sum(r.vec_id in want[r.query_id] for r in got) >= 48
+
+
 def test_equal_and_unusable_vectors(spark):
     rows = [(i, [1.0, 2.0, float(i // 40)]) for i in range(160)] + [(500, None), (501, []), (502, [0.0, 0.0, 0.0]), (503, [1.0, None, 2.0]),
             (504, [1.0, float("nan"), 1.0]), (505, [float("inf"), 1.0, 1.0]), (None, [1.0, 2.0, 0.0]), (3, [1.0, 2.0, 0.0]), (600, [1.0, 1.0])]
