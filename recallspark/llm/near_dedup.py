@@ -9,10 +9,14 @@ signature agrees with most of the region. Inside a part all pairs that are not y
 confirmed on the full shingle sets, so no pair is accepted on its signature alone.
 
 The trees run in two rounds. The second one leaves out regions whose nodes are already in one
-component. Cut regions that still are more than one component after that are finished exactly: two
-sets over the threshold share one of their rarest shingles (the first n - ceil(0.85 n) + 1 in one
-order of all shingles), so all nodes that share such a shingle are compared, in pairs of blocks where
-they are many. A pair that shares a region of any size is therefore compared or already connected.
+component. Cut regions that still are more than one component after that are finished exactly on the
+differences between their nodes' sets and the hub's: two nodes over the threshold of which not both
+are linked with the hub share some of the shingles that either lacks or has beyond the hub, and so
+one of their rarest such shingles. Nodes that share one are compared; copies of a template, whose
+differences from it are their own, hardly ever do. Where few of a large group are not linked with the
+hub, these meet the others block by block; a large group with many of them gets a hub of its own and
+goes through the same again. A pair that shares a region of any size is therefore compared or already
+connected.
 A pair just at the threshold of 0.85 shares a prefix of 4 in one of 16 trees with probability
 1 - (1 - 0.85**4)**16 = 0.999993, nearer pairs with more.
 
@@ -127,7 +131,7 @@ def _with_sets(docs: DataFrame, id_col: str, text_col: str, words: int, what: st
 
 def _regions(nodes: DataFrame, trees: range, limit: int, max_shingles: int) -> tuple[DataFrame, DataFrame | None]:
     """(part, node, hub): the parts of every region with more than one node, over the given trees; and
-    (k4, node) of the regions that are cut, None without any."""
+    (k4, node, centre) of the regions that are cut with their hubs, None without any."""
     twice = F.concat("signature", "signature")
     key = lambda t, d: F.xxhash64(F.lit(t), F.substring(twice, 4 * DEPTH * t + 1, 4 * d))
     rows = nodes.select("node", "n_shingles", F.explode(F.array(*(
@@ -140,8 +144,8 @@ def _regions(nodes: DataFrame, trees: range, limit: int, max_shingles: int) -> t
     large = rows.where(~fits("c4", "s4"))
     if large.isEmpty():
         return small, None
-    cut = large.select("k4", "node")
-    hubs = _hubs(large.select("k4", "node"), nodes.select("node", "signature"), limit)
+    hubs = stored(_hubs(large.select("k4", "node"), nodes.select("node", "signature"), limit), "hubs")
+    cut = large.select("k4", "node").join(hubs.select("k4", F.col("node").alias("centre")), "k4")
     for c, s, keys in (("c8", "s8", ["k4", "k8"]), ("c16", "s16", ["k4", "k16"])):
         n = large.groupBy(*keys).agg(F.count(F.lit(1)).alias(c), F.sum("n_shingles").alias(s))
         large = large.join(n, keys)
@@ -262,60 +266,130 @@ def _round(docs, nodes, trees, known, limit, max_shingles, threshold, id_col, te
     return _links(parts, _sets(docs, wanted, id_col, text_col, words), threshold), cut
 
 
-def _rarest(sets: DataFrame, threshold: int) -> DataFrame:
-    """(token, node, root, n): the rarest shingles of each set, so many that two sets over the threshold
-    share one. Any fixed order of the shingles serves; theirs is by how often the top bits of the hash
-    occur, then by hash."""
+def _differences(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(centre, node, root, near, n, share, delta) of pairs (centre, node, root): the shingles that
+    node and centre do not share, whether the two are linked, the node's size, and the least number of
+    those shingles that it shares with a node it may be linked with beside the centre's own links."""
+    centres = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("middle"))
+    rows = pairs.join(sets, "node").join(centres, "centre")
+
+    def run(frames):
+        for pdf in frames:
+            near, sizes, share, delta = [], [], [], []
+            for a, h in zip(pdf["shingles"], pdf["middle"]):
+                a, h = np.frombuffer(a, "<u8"), np.frombuffer(h, "<u8")
+                d = np.setxor1d(a, h, assume_unique=True)
+                both = (len(a) + len(h) - len(d)) // 2
+                linked = 100 * both >= threshold * (len(a) + len(h) - both)
+                if linked:  # the other is not linked with the centre: it differs from it by more than the pair may differ
+                    least = -(((100 - threshold) * (len(a) - both) - 100 * len(d)) // 200)
+                else:  # the other differs at most so much from this one
+                    least = len(d) - (100 - threshold) * len(a) // threshold
+                near.append(linked)
+                sizes.append(len(a))
+                share.append(max(1, least))
+                delta.append(d.tobytes())
+            yield pd.DataFrame({"centre": pdf["centre"], "node": pdf["node"], "root": pdf["root"], "near": near, "n": sizes,
+                                "share": share, "delta": delta})
+
+    return stored(rows.mapInPandas(run, "centre binary, node binary, root binary, near boolean, n long, share long, delta binary"), "differences")
+
+
+def _rarest(rows: DataFrame) -> DataFrame:
+    """(centre, token, node, root, near, n): the rarest differences of each node, so many that two nodes
+    which share as many as they must have one of them in common. Any fixed order serves; theirs is by how
+    often the top bits of the hash occur, then by hash."""
     bits = np.uint64(64 - ORDER_BITS)
 
     def tops(frames):
         counts = np.zeros(1 << ORDER_BITS, np.int64)
         for pdf in frames:
-            for b in pdf["shingles"]:
+            for b in pdf["delta"]:
                 np.add.at(counts, (np.frombuffer(b, "<u8") >> bits).astype(np.int64), 1)
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"top": at, "n": counts[at]})
 
     often = np.zeros(1 << ORDER_BITS, np.int64)
-    found = sets.select("shingles").mapInPandas(tops, "top long, n long").groupBy("top").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.select("delta").mapInPandas(tops, "top long, n long").groupBy("top").agg(F.sum("n").alias("n")).toPandas()
     often[found["top"].to_numpy()] = found["n"].to_numpy()
 
     def first(frames):
         for pdf in frames:
-            for node, root, b in zip(pdf["node"], pdf["root"], pdf["shingles"]):
+            for centre, node, root, near, n, share, b in zip(*(pdf[c] for c in ("centre", "node", "root", "near", "n", "share", "delta"))):
                 own = np.frombuffer(b, "<u8")
-                n = len(own)
-                order = np.lexsort((own, often[(own >> bits).astype(np.int64)]))[:n + (-threshold * n) // 100 + 1]
-                yield pd.DataFrame({"token": own[order].astype(np.uint64).view(np.int64), "node": node, "root": root, "n": n})
+                order = np.lexsort((own, often[(own >> bits).astype(np.int64)]))[:max(0, len(own) - share + 1)]
+                if len(order):
+                    yield pd.DataFrame({"centre": centre, "token": own[order].view(np.int64), "node": node, "root": root, "near": near, "n": n})
+
+    return stored(rows.mapInPandas(first, "centre binary, token long, node binary, root binary, near boolean, n long"), "rarest")
 
-    return stored(sets.mapInPandas(first, "token long, node binary, root binary, n long"), "rarest")
 
+def _blocks(rows: DataFrame, limit: int, max_shingles: int) -> DataFrame:
+    """(part, node, root) of groups (group, node, root, n) that stay too large: every two blocks make a part."""
+    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    blocks = F.greatest(F.ceil(2 * F.col("c") / limit), F.ceil(2 * F.col("s") / max_shingles), F.lit(2)).cast("long")
+    rows = rows.join(sizes.select("group", blocks.alias("blocks")), "group").withColumn("x", F.pmod(F.xxhash64("node"), "blocks"))
+    rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("x <> y")
+    return rows.select(F.xxhash64("group", F.least("x", "y"), F.greatest("x", "y")).alias("part"), "node", "root")
 
-def _rest(docs, nodes, cut, roots, limit, max_shingles, threshold, id_col, text_col, words) -> DataFrame | None:
+
+def _rest(docs, nodes, cut, roots, limit, max_shingles, threshold, id_col, text_col, words, levels: int = 4) -> DataFrame | None:
     """Edges (a, b) between the roots of all nodes over the threshold in cut regions that hold more than
     one root; None if there is no such region."""
-    left = _open(cut.select(F.col("k4").alias("part"), "node").join(roots.select("node", "root"), "node"))
+    left = _open(cut.select(F.col("k4").alias("part"), "node", "centre").join(roots.select("node", "root"), "node"))
     if left.isEmpty():
         return None
-    wanted = stored(left.select("node", "root").distinct().join(nodes.select("node", F.col("doc").alias("__doc")), "node"), "wanted")
-    sets = _sets(docs, wanted, id_col, text_col, words)
-    rare = _rarest(sets.join(wanted.select("node", "root"), "node"), threshold)
-    groups = rare.groupBy("token").agg(
-        F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"),
-        F.bit_xor(F.xxhash64("node")).alias("who")).where("a <> b")
-    # shingles of the same nodes make one part; of many nodes every two blocks make one
-    fits = (F.col("c") <= limit) & (F.col("s") <= max_shingles)
-    blocks = F.when(fits, 1).otherwise(F.greatest(F.ceil(2 * F.col("c") / limit), F.ceil(2 * F.col("s") / max_shingles), F.lit(2)))
-    groups = groups.select("token", F.xxhash64("who", "c", "s").alias("group"), blocks.cast("long").alias("blocks"))
-    rows = rare.select("token", "node", "root").join(groups, "token").select("group", "blocks", "node", "root").distinct()
-    rows = rows.withColumn("x", F.pmod(F.xxhash64("node"), "blocks")).withColumn(
-        "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("x <> y or blocks = 1")
-    parts = rows.select(F.xxhash64("group", F.least("x", "y"), F.greatest("x", "y")).alias("part"), "node", "root", F.lit(False).alias("hub"))
-    return _links(_open(parts), sets, threshold)
+    ids = nodes.select("node", F.col("doc").alias("__doc"))
+    sets = _sets(docs, stored(left.select("node").unionByName(left.select(F.col("centre").alias("node"))).distinct().join(ids, "node"), "wanted"),
+                 id_col, text_col, words)
+    pairs = stored(left.select("centre", "node", "root").distinct(), "pairs")
+    done, parts, links = pairs.select("centre", "node"), [], []
+    for level in range(levels):
+        differences = _differences(pairs, sets, threshold)
+        centres = differences.select("centre").distinct().join(roots.select(F.col("node").alias("centre"), F.col("root").alias("b")), "centre")
+        links.append(differences.where("near").select("centre", F.col("root").alias("a")).distinct().join(centres, "centre").where("a <> b").select("a", "b"))
+        rare = _rarest(differences)
+        far = ~F.col("near")
+        groups = rare.groupBy("centre", "token").agg(
+            F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"),
+            F.count_if(far).alias("c_far"), F.coalesce(F.sum(F.when(far, F.col("n"))), F.lit(0)).alias("s_far"),
+            F.bit_xor(F.xxhash64("node")).alias("who")).where("a <> b and c_far > 0")
+        # shingles of the same nodes make one group
+        fits = (F.col("c") <= limit) & (F.col("s") <= max_shingles)
+        few = (F.col("c_far") <= limit // 2) & (F.col("s_far") <= max_shingles // 2)
+        blocks = F.when(fits, 1).when(few, F.greatest(F.ceil(2 * (F.col("c") - F.col("c_far")) / limit), F.ceil(2 * F.col("s") / max_shingles)))
+        groups = groups.select("centre", "token", F.xxhash64("centre", "who", "c", "s").alias("group"), blocks.cast("long").alias("blocks"))
+        rows = stored(rare.join(groups, ["centre", "token"]).select("group", "blocks", "node", "root", "near", "n").distinct(), "groups")
+        # nodes linked with the centre are dealt into blocks, those that are not meet every block
+        all_blocks = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+        own = F.when(F.col("near"), F.array(F.pmod(F.xxhash64("node"), "blocks"))).otherwise(all_blocks)
+        dealt = rows.where("blocks is not null").withColumn("block", F.explode(own))
+        parts.append(dealt.select(F.xxhash64("group", "block").alias("part"), "node", "root"))
+        large = rows.where("blocks is null").select("group", "node", "root", "n")
+        if large.isEmpty():
+            break
+        hubs = _hubs(large.select(F.col("group").alias("k4"), "node"), nodes.select("node", "signature"), limit)
+        large = stored(large.join(hubs.select(F.col("k4").alias("group"), F.col("node").alias("centre")), "group"), "large")
+        fresh = large.join(done, ["centre", "node"], "left_anti").select("group").distinct()  # groups with a hub that is not yet met
+        if level < levels - 1:
+            pairs = stored(large.join(fresh, "group", "left_semi").select("centre", "node", "root").distinct(), "pairs")
+            parts.append(_blocks(large.join(fresh, "group", "left_anti"), limit, max_shingles))
+            done = done.unionByName(pairs.select("centre", "node"))
+            if pairs.isEmpty():
+                break
+        else:
+            parts.append(_blocks(large, limit, max_shingles))
+    all_parts = parts[0]
+    for more in parts[1:]:
+        all_parts = all_parts.unionByName(more)
+    found = _links(_open(all_parts.withColumn("hub", F.lit(False))), sets, threshold)
+    for more in links:
+        found = found.unionByName(more)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: int = 85,
-                    limit: int = 256, max_shingles: int = 4_000_000) -> DataFrame:
+                    limit: int = 256, max_shingles: int = 1_000_000) -> DataFrame:
     """One row per document: id, text_hash, n_shingles, component_id, kept."""
     rows = stored(_with_sets(docs, id_col, text_col, words, "signature"), "signatures")
     nodes = stored(rows.where("node is not null").groupBy("node").agg(
