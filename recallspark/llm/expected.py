@@ -18,6 +18,33 @@ _GRAMS = ",\n".join(
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Lloyd's rounds one after the other, every part against every entry."""
+    def assigned(k: int) -> str:
+        return f"""
+        d{k} AS MATERIALIZED (SELECT rid, part, entry, sum((x.v - e.v) * (x.v - e.v))::BIGINT AS d FROM x JOIN e{k} e USING (part, pos) GROUP BY ALL),
+        a{k} AS MATERIALIZED (SELECT rid, part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM d{k} GROUP BY rid, part)"""
+
+    def moved(k: int) -> str:
+        return f"""
+        m{k} AS (SELECT part, entry, pos, floor(sum(v)::DOUBLE / count(*))::BIGINT AS v FROM a{k} JOIN x USING (rid, part) GROUP BY ALL),
+        e{k + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce(m.v, e.v) AS v FROM e{k} e LEFT JOIN m{k} m USING (part, entry, pos))"""
+
+    steps = ",".join(assigned(k) + "," + moved(k) for k in range(rounds))
+    return f"""
+        WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS rid, vec_id, label, embedding FROM embeddings
+                      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+        flat AS (SELECT rid, len(embedding) // 4 AS size, unnest(embedding) AS y, generate_subscripts(embedding, 1) - 1 AS i FROM kept),
+        x AS MATERIALIZED (SELECT rid, i // size AS part, i % size AS pos, floor(y::DOUBLE * 1024)::BIGINT AS v FROM flat),
+        e0 AS MATERIALIZED (SELECT part, rid AS entry, pos, v FROM x WHERE rid < 256),{steps},{assigned(rounds)},
+        books AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM e{rounds}),
+        coded AS (SELECT rid, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+        FROM kept JOIN coded USING (rid), books"""
+
+
 SQL: dict[str, str] = {
     "op1_license_scan": rf"""
         WITH grams(word1, word2, template, label, base, place, n_grams, must) AS (VALUES {_GRAMS}),
@@ -96,4 +123,26 @@ SQL: dict[str, str] = {
         FROM (SELECT conv_id, n_turns, min(turn) AS turn, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), ''
                      ORDER BY turn, role, text) AS rendered
               FROM t JOIN kept USING (conv_id) GROUP BY conv_id, n_turns, turn >> 8)""",
+    "op11_vector_codes": _codes_sql(),
+    "op13_phrases": rf"""
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format('text')}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+        grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+                  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 5) r(k) WHERE len(w) >= k)),
+        totals AS (SELECT lang, count(*) AS n FROM grams WHERE k = 1 GROUP BY lang),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+        longer AS (SELECT lang, phrase, max(f) AS f FROM (
+                     SELECT lang, f, array_to_string(string_split(phrase, ' ')[unnest([1, 2]):unnest([k - 1, k])], ' ') AS phrase FROM f WHERE k > 2
+                     UNION ALL
+                     SELECT lang, f, array_to_string(string_split(phrase, ' ')[unnest([1, 2, 3]):unnest([2, 3, 4])], ' ') FROM f WHERE k = 4)
+                   GROUP BY ALL),
+        c AS (SELECT f.* FROM f LEFT JOIN longer USING (lang, phrase) WHERE k > 1 AND (100::HUGEINT * longer.f >= 80::HUGEINT * f.f) IS NOT TRUE),
+        cuts AS (SELECT lang, phrase, f AS a, cut, array_to_string(string_split(phrase, ' ')[:cut], ' ') AS first,
+                        array_to_string(string_split(phrase, ' ')[cut + 1:], ' ') AS rest FROM c, range(1, 4) r(cut) WHERE cut < k),
+        scored AS (SELECT cuts.lang, cuts.phrase, a, cut, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score
+                   FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = first JOIN f y ON y.lang = cuts.lang AND y.phrase = rest),
+        best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+        SELECT lang, rank, phrase, a, l, r, n, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) JOIN totals USING (lang)
+        WHERE rank <= 2000""",
 }
