@@ -10,13 +10,15 @@ confirmed on the full shingle sets, so no pair is accepted on its signature alon
 
 The trees run in two rounds. The second one leaves out regions whose nodes are already in one
 component. Cut regions that still are more than one component after that are finished exactly on the
-differences between their nodes' sets and the hub's: two nodes over the threshold of which not both
-are linked with the hub share some of the shingles that either lacks or has beyond the hub, and so
-one of their rarest such shingles. Nodes that share one are compared; copies of a template, whose
-differences from it are their own, hardly ever do. Where few of a large group are not linked with the
-hub, these meet the others block by block; a large group with many of them gets a hub of its own and
-goes through the same again. A pair that shares a region of any size is therefore compared or already
-connected.
+differences between their nodes' sets and a centre, the shingles of most of a sample of them. Of two
+nodes over the threshold whose differences have nothing in common, both are linked with the node that
+differs least from the centre, and that node is compared with all. Any other two share differences, and
+so one of their rarest. Nodes that share one are compared; copies of a template, whose changes are
+their own, hardly ever do. Where few of a large group are not linked with the least different node,
+these meet the others block by block; a large group with many of them gets a centre of its own and goes
+through the same again. A pair that shares a region of any size is therefore compared or already
+connected, whatever the sample.
+
 A pair just at the threshold of 0.85 shares a prefix of 4 in one of 16 trees with probability
 1 - (1 - 0.85**4)**16 = 0.999993, nearer pairs with more.
 
@@ -266,33 +268,58 @@ def _round(docs, nodes, trees, known, limit, max_shingles, threshold, id_col, te
     return _links(parts, _sets(docs, wanted, id_col, text_col, words), threshold), cut
 
 
+def _centres(pairs: DataFrame, sets: DataFrame, sample: int = 64) -> DataFrame:
+    """(centre, middle): the shingles that more than half of some of a centre's nodes hold."""
+    w = Window.partitionBy("centre").orderBy(F.xxhash64("node"))
+    some = pairs.select("centre", "node").withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).join(sets, "node")
+
+    def most(pdf: pd.DataFrame) -> pd.DataFrame:
+        values, counts = np.unique(np.concatenate([np.frombuffer(b, "<u8") for b in pdf["shingles"]]), return_counts=True)
+        return pd.DataFrame({"centre": pdf["centre"].iloc[:1], "middle": [values[2 * counts > len(pdf)].tobytes()]})
+
+    return stored(some.groupBy("centre").applyInPandas(most, "centre binary, middle binary"), "centres")
+
+
 def _differences(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """(centre, node, root, near, n, share, delta) of pairs (centre, node, root): the shingles that
-    node and centre do not share, whether the two are linked, the node's size, and the least number of
-    those shingles that it shares with a node it may be linked with beside the centre's own links."""
-    centres = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("middle"))
-    rows = pairs.join(sets, "node").join(centres, "centre")
+    """(centre, node, root, near, least, n, share, delta) of pairs (centre, node, root): the shingles that
+    node and centre do not share, whether node is linked with the centre's least different node and the
+    root of that, the node's size, and how many of the differences it must share with another node that
+    it may be linked with."""
+    def differ(frames):
+        for pdf in frames:
+            delta, size, cost = [], [], []
+            for a, c in zip(pdf["shingles"], pdf["middle"]):
+                a, c = np.frombuffer(a, "<u8"), np.frombuffer(c, "<u8")
+                d = np.setxor1d(a, c, assume_unique=True)
+                beyond = (len(a) + len(d) - len(c)) // 2
+                delta.append(d.tobytes())
+                size.append(len(a))
+                cost.append(100 * (len(d) - beyond) + threshold * beyond)
+            yield pd.DataFrame({"centre": pdf["centre"], "node": pdf["node"], "root": pdf["root"], "n": size, "cost": cost, "delta": delta})
+
+    rows = pairs.join(sets, "node").join(_centres(pairs, sets), "centre")
+    rows = stored(rows.mapInPandas(differ, "centre binary, node binary, root binary, n long, cost long, delta binary"), "deltas")
+    first = rows.groupBy("centre").agg(F.min_by(F.struct("root", "n", "delta"), F.struct("cost", "node")).alias("m"))
+    first = first.select("centre", F.col("m.root").alias("least"), F.col("m.n").alias("m_n"), F.col("m.delta").alias("m_delta"))
 
-    def run(frames):
+    def judge(frames):
         for pdf in frames:
-            near, sizes, share, delta = [], [], [], []
-            for a, h in zip(pdf["shingles"], pdf["middle"]):
-                a, h = np.frombuffer(a, "<u8"), np.frombuffer(h, "<u8")
-                d = np.setxor1d(a, h, assume_unique=True)
-                both = (len(a) + len(h) - len(d)) // 2
-                linked = 100 * both >= threshold * (len(a) + len(h) - both)
-                if linked:  # the other is not linked with the centre: it differs from it by more than the pair may differ
-                    least = -(((100 - threshold) * (len(a) - both) - 100 * len(d)) // 200)
+            near, share = [], []
+            for n, d, m_n, m in zip(pdf["n"], pdf["delta"], pdf["m_n"], pdf["m_delta"]):
+                d, m = np.frombuffer(d, "<u8"), np.frombuffer(m, "<u8")
+                apart = len(np.setxor1d(d, m, assume_unique=True))
+                both = (n + m_n - apart) // 2
+                linked = 100 * both >= threshold * (n + m_n - both)
+                if linked:  # the other is not: it differs from the least different node by more than the pair may differ
+                    at_least = -(((100 - threshold) * (n - both) - 100 * (len(d) - len(m))) // 200)
                 else:  # the other differs at most so much from this one
-                    least = len(d) - (100 - threshold) * len(a) // threshold
+                    at_least = len(d) - (100 - threshold) * n // threshold
                 near.append(linked)
-                sizes.append(len(a))
-                share.append(max(1, least))
-                delta.append(d.tobytes())
-            yield pd.DataFrame({"centre": pdf["centre"], "node": pdf["node"], "root": pdf["root"], "near": near, "n": sizes,
-                                "share": share, "delta": delta})
+                share.append(max(1, at_least))
+            yield pdf[["centre", "node", "root", "least", "n", "delta"]].assign(near=near, share=share)
 
-    return stored(rows.mapInPandas(run, "centre binary, node binary, root binary, near boolean, n long, share long, delta binary"), "differences")
+    kind = "centre binary, node binary, root binary, least binary, n long, delta binary, near boolean, share long"
+    return stored(rows.drop("cost").join(first, "centre").mapInPandas(judge, kind), "differences")
 
 
 def _rarest(rows: DataFrame) -> DataFrame:
@@ -333,7 +360,7 @@ def _blocks(rows: DataFrame, limit: int, max_shingles: int) -> DataFrame:
     return rows.select(F.xxhash64("group", F.least("x", "y"), F.greatest("x", "y")).alias("part"), "node", "root")
 
 
-def _rest(docs, nodes, cut, roots, limit, max_shingles, threshold, id_col, text_col, words, levels: int = 4) -> DataFrame | None:
+def _rest(docs, nodes, cut, roots, limit, max_shingles, threshold, id_col, text_col, words, levels: int = 3) -> DataFrame | None:
     """Edges (a, b) between the roots of all nodes over the threshold in cut regions that hold more than
     one root; None if there is no such region."""
     left = _open(cut.select(F.col("k4").alias("part"), "node", "centre").join(roots.select("node", "root"), "node"))
@@ -343,11 +370,10 @@ def _rest(docs, nodes, cut, roots, limit, max_shingles, threshold, id_col, text_
     sets = _sets(docs, stored(left.select("node").unionByName(left.select(F.col("centre").alias("node"))).distinct().join(ids, "node"), "wanted"),
                  id_col, text_col, words)
     pairs = stored(left.select("centre", "node", "root").distinct(), "pairs")
-    done, parts, links = pairs.select("centre", "node"), [], []
+    parts, links = [], []
     for level in range(levels):
         differences = _differences(pairs, sets, threshold)
-        centres = differences.select("centre").distinct().join(roots.select(F.col("node").alias("centre"), F.col("root").alias("b")), "centre")
-        links.append(differences.where("near").select("centre", F.col("root").alias("a")).distinct().join(centres, "centre").where("a <> b").select("a", "b"))
+        links.append(differences.where("near and root <> least").select(F.col("root").alias("a"), F.col("least").alias("b")).distinct())
         rare = _rarest(differences)
         far = ~F.col("near")
         groups = rare.groupBy("centre", "token").agg(
@@ -360,25 +386,20 @@ def _rest(docs, nodes, cut, roots, limit, max_shingles, threshold, id_col, text_
         blocks = F.when(fits, 1).when(few, F.greatest(F.ceil(2 * (F.col("c") - F.col("c_far")) / limit), F.ceil(2 * F.col("s") / max_shingles)))
         groups = groups.select("centre", "token", F.xxhash64("centre", "who", "c", "s").alias("group"), blocks.cast("long").alias("blocks"))
         rows = stored(rare.join(groups, ["centre", "token"]).select("group", "blocks", "node", "root", "near", "n").distinct(), "groups")
-        # nodes linked with the centre are dealt into blocks, those that are not meet every block
+        # nodes linked with the least different one are dealt into blocks, those that are not meet every block
         all_blocks = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
         own = F.when(F.col("near"), F.array(F.pmod(F.xxhash64("node"), "blocks"))).otherwise(all_blocks)
         dealt = rows.where("blocks is not null").withColumn("block", F.explode(own))
         parts.append(dealt.select(F.xxhash64("group", "block").alias("part"), "node", "root"))
         large = rows.where("blocks is null").select("group", "node", "root", "n")
-        if large.isEmpty():
+        if level == levels - 1:
+            parts.append(_blocks(large, limit, max_shingles))
+        elif large.isEmpty():
             break
-        hubs = _hubs(large.select(F.col("group").alias("k4"), "node"), nodes.select("node", "signature"), limit)
-        large = stored(large.join(hubs.select(F.col("k4").alias("group"), F.col("node").alias("centre")), "group"), "large")
-        fresh = large.join(done, ["centre", "node"], "left_anti").select("group").distinct()  # groups with a hub that is not yet met
-        if level < levels - 1:
-            pairs = stored(large.join(fresh, "group", "left_semi").select("centre", "node", "root").distinct(), "pairs")
-            parts.append(_blocks(large.join(fresh, "group", "left_anti"), limit, max_shingles))
-            done = done.unionByName(pairs.select("centre", "node"))
-            if pairs.isEmpty():
-                break
         else:
-            parts.append(_blocks(large, limit, max_shingles))
+            hubs = _hubs(large.select(F.col("group").alias("k4"), "node"), nodes.select("node", "signature"), limit)
+            large = large.join(hubs.select(F.col("k4").alias("group"), F.col("node").alias("centre")), "group")
+            pairs = stored(large.select("centre", "node", "root").distinct(), "pairs")
     all_parts = parts[0]
     for more in parts[1:]:
         all_parts = all_parts.unionByName(more)
