@@ -129,24 +129,29 @@ SELECT query_id, section, rank, id FROM (
     SELECT query_id, id, arg_min(section, place) AS section, min(place) AS place, arg_min(pos, place) AS pos FROM (
       SELECT query_id, id, 'kos' AS section, 0 AS place, rank AS pos FROM k_hits WHERE rank <= 20
       UNION ALL SELECT query_id, id, 'starts', 1, rank FROM ps WHERE rank <= 12) GROUP BY query_id, id)) WHERE rank <= 25""")
-CTES["topics"] = (["questions"], "SELECT query_id, 'entrega ' || lower(segment) AS text FROM questions")
+CTES["topics"] = (["questions"], """
+    SELECT query_id, CASE n_nationkey % 3 WHEN 0 THEN 'entrega ' || lower(segment) WHEN 1 THEN 'pedidos' ELSE 'nada' END AS text,
+           CASE WHEN n_nationkey % 5 > 1 THEN r_name END AS wish
+    FROM questions q JOIN nation n ON n.n_name = q.n_name JOIN region ON n_regionkey = r_regionkey""")
 bm25("tk", "kos", "title || ' ' || statement", "topics", ["kos", "topics"])
 bm25("td", "docs", "title || ' ' || body", "topics", ["docs", "topics"])
 SQL["gather_material"] = with_(["tk_hits", "td_hits", "kos", "docs", "topics"], """
-, st AS (SELECT DISTINCT query_id, lower(w)[1:6] AS p FROM (SELECT query_id, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM topics) WHERE length(w) > 3)
-, kk AS (SELECT *, CASE ko_type WHEN 'decision' THEN 'decisions' WHEN 'task' THEN 'tasks' WHEN 'event' THEN 'events' ELSE 'questions' END AS section
-   FROM kos WHERE ko_type IN ('decision', 'task', 'event', 'question'))
-, txt AS (SELECT query_id, section, id, date, statement, rank AS ord FROM tk_hits JOIN kk USING (id))
-, sta AS (SELECT DISTINCT query_id, section, id, date, statement, DATE '1970-01-01' - date AS ord FROM st
-   JOIN kk ON contains(lower(title || ' ' || statement || ' ' || project), p)
-   WHERE NOT EXISTS (SELECT 1 FROM txt WHERE txt.query_id = st.query_id AND txt.section = kk.section))
-, dst AS (SELECT DISTINCT st.query_id, d.id, d.date FROM st JOIN docs d ON contains(lower(title || ' ' || body), p)
-   WHERE st.query_id NOT IN (SELECT query_id FROM td_hits))
-, dd AS (SELECT query_id, id, rank FROM td_hits WHERE rank <= 6
-   UNION ALL SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY date DESC, id) AS rank FROM dst) WHERE rank <= 6)
-SELECT query_id, section, rank, id AS item_id, CAST(date AS VARCHAR) AS date, statement AS text FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id, section ORDER BY ord, id) AS rank FROM (SELECT * FROM txt UNION ALL SELECT * FROM sta)) WHERE rank <= 12
-UNION ALL SELECT query_id, 'documents', rank, id, CAST(date AS VARCHAR), body[1:600] FROM dd JOIN docs USING (id)""")
+, st AS (SELECT DISTINCT query_id, wish, lower(w)[1:6] AS p FROM (SELECT query_id, wish, unnest(regexp_split_to_array(text, '\\s+')) AS w FROM topics) WHERE length(w) > 3)
+, items AS (
+   SELECT id, date, area, CASE ko_type WHEN 'decision' THEN 'decisions' WHEN 'task' THEN 'tasks' WHEN 'event' THEN 'events' ELSE 'questions' END AS section,
+          statement AS text, lower(title || ' ' || statement || ' ' || project) AS haystack FROM kos WHERE ko_type IN ('decision', 'task', 'event', 'question')
+   UNION ALL SELECT id, date, CASE split_part(path, '/', 2) WHEN 'en' THEN 'AMERICA' WHEN 'fr' THEN 'EUROPE' WHEN 'de' THEN 'ASIA' WHEN 'es' THEN 'AFRICA' END,
+          'documents', body[1:600], lower(title || ' ' || body) FROM docs)
+, txt AS (SELECT query_id, section, id, rank AS ord FROM (FROM tk_hits UNION ALL FROM td_hits) JOIN items USING (id) JOIN topics USING (query_id)
+   WHERE wish IS NULL OR wish = area)
+, sta AS (SELECT DISTINCT query_id, section, id, DATE '1970-01-01' - date AS ord FROM st JOIN items ON contains(haystack, p) AND (wish IS NULL OR wish = area)
+   WHERE NOT EXISTS (SELECT 1 FROM txt WHERE txt.query_id = st.query_id AND txt.section = items.section))
+, hits AS (FROM txt UNION ALL FROM sta)
+, rec AS (SELECT query_id, section, id, row_number() OVER (PARTITION BY query_id, section ORDER BY date DESC, id) AS ord FROM topics t JOIN items ON area = wish
+   WHERE NOT EXISTS (SELECT 1 FROM hits WHERE hits.query_id = t.query_id AND hits.section = items.section))
+SELECT query_id, section, rank, id AS item_id, CAST(date AS VARCHAR) AS date, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id, section ORDER BY ord, id) AS rank FROM (FROM hits UNION ALL FROM rec)) JOIN items USING (id, section)
+WHERE rank <= CASE section WHEN 'documents' THEN 6 ELSE 12 END""")
 
 NEIGH = """
 , dec AS (SELECT id, project, date FROM kos WHERE ko_type = 'decision')

@@ -158,8 +158,15 @@ def merge_pack_sections(t: Tables) -> DataFrame:
 
 @query
 def gather_material(t: Tables) -> DataFrame:
-    topics = t.questions().select("query_id", F.concat_ws(" ", F.lit("entrega"), F.lower("segment")).alias("text"))
-    return K.gather_material(topics, t.written("kos"), t.docs()).select("query_id", "section", "rank", "item_id", "date", "text")
+    """Topics with words that objects hold, with word starts only, and with neither; two of three wish an area."""
+    nations = t.read("nation").join(t.read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "n_nationkey", "r_name")
+    word = F.element_at(F.array(F.lit("entrega"), F.lit("pedidos"), F.lit("nada")), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    wish = F.when(F.col("n_nationkey") % 5 > 1, F.col("r_name"))
+    segment = F.when(F.col("n_nationkey") % 3 == 0, F.lower("segment"))
+    topics = t.questions().join(nations, "n_name").select("query_id", F.concat_ws(" ", word, segment).alias("text"), wish.alias("area"))
+    lang_area = F.create_map(*[F.lit(x) for x in ("en", "AMERICA", "fr", "EUROPE", "de", "ASIA", "es", "AFRICA")])
+    docs = t.docs().withColumn("area", lang_area[F.element_at("tags", 1)])
+    return K.gather_material(topics, t.written("kos"), docs).select("query_id", "section", "rank", "item_id", "date", "text")
 
 
 @query

@@ -111,38 +111,92 @@ def index_for(texts: DataFrame, terms: DataFrame) -> SearchIndex:
     return SearchIndex(postings.where("term <> ''"), figures[0], figures[1] or 1.0)
 
 
-def bm25_scores(index: SearchIndex, terms: DataFrame) -> DataFrame:
-    """(query_id, id, score) of every text that holds a term of the question."""
-    n, k1, b = F.lit(float(index.n_docs)), fixed.BM25_K1, fixed.BM25_B
-    seen = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(fixed.BM25_IDF_FLOOR))
-    asked = terms.join(seen, "term").select("query_id", "term", "qf", idf.alias("idf"))
-    tf, dl = F.col("tf"), F.col("dl")
-    part = F.col("qf") * F.col("idf") * (tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * dl / F.lit(index.avg_length)))
-    return (index.postings.join(asked, "term").groupBy("query_id", "id").agg(F.sum(part).alias("raw"))
-            .select("query_id", "id", F.round("raw", 9).alias("score")))
+BLOCKS = 64  # blocks of postings per unit of weight
+SLACK = 1e-8  # scores are rounded to nine digits
 
 
-def text_scores(texts: DataFrame, queries: DataFrame) -> DataFrame:
-    terms = question_terms(queries)
-    return bm25_scores(index_for(texts, terms), terms)
+def weight(index: SearchIndex) -> Column:
+    """What a posting adds to a score per unit of its term's weight."""
+    k1, b = fixed.BM25_K1, fixed.BM25_B
+    tf, dl = F.col("tf"), F.col("dl")
+    return (tf * (k1 + 1.0)) / (tf + k1 * (1.0 - b + b * dl / F.lit(index.avg_length)))
 
 
-def best_texts(scored: DataFrame, k: int, within: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """The best ``k`` texts per question (and per column of ``within``), ties by id."""
-    return top_per_group(scored, ["query_id", *(within or [])], [F.desc("score"), F.asc("id")], k, name)
+def asked_terms(index: SearchIndex, terms: DataFrame) -> DataFrame:
+    """(query_id, term, coef, ...): the weight of each term that occurs, times how often it was asked."""
+    n = F.lit(float(index.n_docs))
+    seen = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.greatest(F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(fixed.BM25_IDF_FLOOR))
+    return terms.join(seen, "term").withColumn("coef", F.col("qf") * idf).drop("qf", "df")
+
 
+def contenders(index: SearchIndex, asked: DataFrame, k: int, places: DataFrame | None, scope: list[str], within: list[str]
+               ) -> tuple[DataFrame, DataFrame]:
+    """(postings, pairs): the postings that can matter, and the (query_id, *cell, id) that can be among
+    the best ``k`` of their cell.
 
-def search(texts: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    return best_texts(text_scores(texts, queries), k)
+    * Texts of one length that hold the asked terms equally often have equal scores for every question,
+      so only the ``k`` smallest ids of them are kept.
+    * The k-th greatest contribution of any one term is a lower bound of the k-th score. Terms that
+      cannot reach it together, such as a word that all texts hold, make no pair.
+    * The postings of the other terms lie in blocks of similar weight; a question meets only the blocks
+      whose greatest weight, with all its other terms at their greatest, can reach the bound.
+    """
+    cell = [*scope, *within]
+    held = index.postings.groupBy("id", "dl").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("held"))
+    if places is not None:
+        held = held.join(places, "id")
+    alike = Window.partitionBy(*cell, "dl", "held").orderBy("id")
+    held = held.withColumn("__r", F.row_number().over(alike)).where(F.col("__r") <= k)
+    rows = held.select(*cell, "id", "dl", F.explode("held").alias("h")).select(*cell, "id", "dl", "h.*")
+    rows = written(rows.withColumn("weight", weight(index)).withColumn("block", F.floor(F.col("weight") * BLOCKS)), "contenders")
+
+    best = top_per_group(rows.select(*cell, "term", "weight"), [*cell, "term"], [F.desc("weight")], k)
+    best = best.groupBy(*cell, "term").agg(F.max("weight").alias("most"), F.when(F.count(F.lit(1)) >= k, F.min("weight")).otherwise(0.0).alias("kth"))
+    asked = asked.join(best, [*scope, "term"]).withColumn("bound", F.col("coef") * F.col("most"))
+    question = Window.partitionBy("query_id", *cell)
+    asked = (asked.withColumn("least", F.max(F.col("coef") * F.col("kth")).over(question) - SLACK)
+             .withColumn("total", F.sum("bound").over(question))
+             .withColumn("reach", F.sum("bound").over(question.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))))
+    needed = asked.where("reach >= least")
+    rest = needed.groupBy("query_id", *cell).agg(F.sum("bound").alias("__in"))
+    needed = needed.join(rest, ["query_id", *cell]).withColumn("rest", F.col("total") - F.col("__in"))
+    lowest = F.greatest(F.floor((F.col("least") - (F.col("total") - F.col("bound"))) / F.col("coef") * BLOCKS) - 1, F.lit(0).cast("long"))
+    wanted = needed.withColumn("block", F.explode(F.sequence(lowest, F.greatest(lowest, F.floor(F.col("most") * BLOCKS)))))
+    pairs = rows.join(wanted.select("query_id", *cell, "term", "block", "coef", "rest", "least"), [*cell, "term", "block"])
+    pairs = pairs.groupBy("query_id", *cell, "id").agg(
+        F.sum(F.col("coef") * F.col("weight")).alias("part"), F.first("rest").alias("rest"), F.first("least").alias("least"))
+    return rows, pairs.where("part + rest >= least").select("query_id", *cell, "id")
+
+
+def best_texts(texts: DataFrame, queries: DataFrame, k: int, places: DataFrame | None = None, scope: list[str] | None = None,
+               within: list[str] | None = None, name: str = "rank") -> DataFrame:
+    """(query_id, *scope, *within, id, score, rank): the best ``k`` texts per question, exactly, ties by id.
+
+    The figures of the corpus come from all ``texts``. ``places`` (id, *scope, *within) names the texts that
+    may be found: a question finds those of its own values of ``scope``, which ``queries`` has too, and the
+    best ``k`` for each value of ``within``.
+    """
+    scope, within = scope or [], within or []
+    terms = question_terms(queries)
+    index = index_for(texts, terms)
+    asked = asked_terms(index, terms)
+    if scope:
+        asked = asked.join(queries.select("query_id", *scope).distinct(), "query_id")
+    asked = written(asked, "asked")
+    rows, pairs = contenders(index, asked, k, places, scope, within)
+    cell = [*scope, *within]
+    scored = pairs.join(rows, [*cell, "id"]).join(asked, ["query_id", *scope, "term"])
+    scored = scored.groupBy("query_id", *cell, "id").agg(F.round(F.sum(F.col("coef") * F.col("weight")), 9).alias("score"))
+    return top_per_group(scored, ["query_id", *cell], [F.desc("score"), F.asc("id")], k, name)
 
 
 def bm25_documents(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    return search(doc_text(docs), queries, k)
+    return best_texts(doc_text(docs), queries, k)
 
 
 def bm25_kos(kos: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    return search(ko_text(kos), queries, k)
+    return best_texts(ko_text(kos), queries, k)
 
 
 def hits_join(hits: DataFrame, base: DataFrame, columns: list[str]) -> DataFrame:
@@ -325,8 +379,8 @@ def same_source_items(kos: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def best_text_decision(kos: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id): the decision with the best text score, else the newest by word starts."""
-    scored = text_scores(ko_text(kos), queries).join(kos.where("ko_type = 'decision'").select("id"), "id", "left_semi")
-    direct = materialize(best_texts(scored, 1).select("query_id", "id"))
+    decisions = kos.where("ko_type = 'decision'").select("id")
+    direct = materialize(best_texts(ko_text(kos), queries, 1, decisions).select("query_id", "id"))
     rest = queries.join(direct.select("query_id"), "query_id", "left_anti")
     by_start = prefix_search(kos.where("ko_type = 'decision'"), rest, 1).select("query_id", "id")
     return direct.unionByName(by_start)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import fixed
 from ..operators.graph import incident_edges
 from ..operators.retrieval import (best_text_decision, best_texts, bm25_documents, classify_intent, decision_neighbours, doc_text,
-                                   ko_text, newest, prefix_hits, prefix_text, query_entities, same_source_items, text_scores)
+                                   ko_text, newest, prefix_hits, prefix_text, query_entities, same_source_items)
 from ..operators.scale import contains_pairs, first_per_key, top_per_group
 from ..session import materialize
 
@@ -62,7 +62,7 @@ def context_pack(queries: DataFrame, kos: DataFrame, docs: DataFrame, entities:
     matched = materialize(query_entities(queries, entities))
     typed = _typed(kos).select("section", "id")
     places = typed.unionByName(kos.select(F.lit("kos").alias("section"), "id"))
-    text = best_texts(text_scores(ko_text(kos), queries).join(places, "id"), 20, ["section"])
+    text = best_texts(ko_text(kos), queries, 20, places, within=["section"])
 
     by_person = person_candidates(kos, matched, max_kos).select(
         "query_id", "section", "id", "rank", F.lit(0).alias("source"))
@@ -90,42 +90,50 @@ def gather_material(topics: DataFrame, kos: DataFrame, docs: DataFrame, limit: i
     """(query_id, section, rank, item_id, date, text) of what the memory holds on each topic.
 
     ``topics`` has (query_id, text) and may have ``area``: hits are then kept inside the area,
-    and a type without any falls back to the newest of the area.
+    and a type without any falls back to the newest of the area. So do documents, which may have
+    ``area`` too: the best of the area by text, then by word starts, then its newest.
     """
+    if "area" not in topics.columns:
+        topics = topics.withColumn("area", F.lit(None).cast("string"))
+    topics = topics.select("query_id", "text", F.col("area").alias("wish"))
     kinds = {"decision": "decisions", "task": "tasks", "event": "events", "question": "questions"}
     section = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
-    slim = kos.where(F.col("ko_type").isin(list(kinds))).select(
-        "id", section[F.col("ko_type")].alias("section"), "date", "statement", "area")
-    key = ["query_id", "section"]
-    scored = text_scores(ko_text(kos), topics).join(slim, "id")
-    starts = (prefix_hits(prefix_text(kos, with_people=False), topics).join(slim, "id")
-              .withColumn("ord", -F.datediff("date", F.lit("1970-01-01"))))
-    if "area" in topics.columns:
-        wish = topics.select("query_id", F.col("area").alias("wish"))
-        inside = lambda df: df.join(wish, "query_id").where("wish is null or wish <=> area").drop("wish")
-        scored, starts = inside(scored), inside(starts)
-    text = materialize(best_texts(scored, limit, ["section"], "ord").select("id", "query_id", "ord", "section", "date", "statement", "area"))
-    found = text.select(*key).distinct()
-    hits = text.unionByName(starts.join(found, key, "left_anti").select(*text.columns))
-    if "area" in topics.columns:
-        recent = top_per_group(slim.where("area is not null"), ["section", "area"], [newest(), F.asc("id")], limit, "ord")
-        back = recent.join(wish, F.col("wish") == F.col("area")).drop("wish")
-        held = hits.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).select(*key)
-        hits = hits.unionByName(back.join(held, key, "left_anti").select(*hits.columns))
-    objects = top_per_group(hits, key, [F.asc("ord"), F.asc("id")], limit).select(
-        *key, "rank", F.col("id").alias("item_id"), "date", F.col("statement").alias("text"))
+    slim = kos.where(F.col("ko_type").isin(list(kinds))).select("id", section[F.col("ko_type")].alias("section"), "date", "statement", "area")
+    ranked = topic_hits(topics, ko_text(kos), prefix_text(kos, with_people=False), slim, limit, ["section"])
+    objects = ranked.join(slim.select("id", "date", "statement"), "id").select(
+        "query_id", "section", "rank", F.col("id").alias("item_id"), "date", F.col("statement").alias("text"))
     return objects.unionByName(topic_documents(topics, docs, max_docs))
 
 
+def topic_hits(topics: DataFrame, texts: DataFrame, start_texts: DataFrame, items: DataFrame, k: int, within: list[str]) -> DataFrame:
+    """(query_id, *within, id, rank): the best ``k`` of ``items`` (id, date, area, *within) per topic (query_id,
+    text, wish): by text, else by word starts, newest first, else the newest of the area that the topic wishes."""
+    key = ["query_id", *within]
+    every = F.lit(None).cast("string")
+    places = items.select("id", *within, F.explode(F.array_distinct(F.array(every, "area"))).alias("wish"))  # once for all topics, once for its area
+    asked = topics.withColumn("wish", F.coalesce("wish", F.lit("")))
+    text = materialize(best_texts(texts, asked, k, places.withColumn("wish", F.coalesce("wish", F.lit(""))), ["wish"], within, "ord")
+                       .select(*key, "id", "ord"))
+    starts = (prefix_hits(start_texts, topics).join(items, "id").join(topics.select("query_id", "wish"), "query_id")
+              .where("wish is null or wish <=> area").select(*key, "id", (-F.datediff("date", F.lit("1970-01-01"))).alias("ord")))
+    left = lambda more, have: more.join(have.select(*key).distinct(), key, "left_anti")
+    starts = materialize(top_per_group(left(starts, text), key, [F.asc("ord"), F.asc("id")], k, "__r").drop("__r"))
+    hits = text.unionByName(starts)
+    recent = top_per_group(items.where("area is not null"), [*within, "area"], [newest(), F.asc("id")], k, "ord")
+    newest_of_area = recent.join(topics.select("query_id", F.col("wish").alias("area")), "area").select(*key, "id", "ord")
+    hits = hits.unionByName(left(newest_of_area, hits))
+    return top_per_group(hits, key, [F.asc("ord"), F.asc("id")], k).select(*key, "id", "rank")
+
+
 def topic_documents(topics: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Best documents per topic: text hits, else word starts newest first."""
-    direct = materialize(bm25_documents(docs, topics, k).select("query_id", "id", "rank"))
-    rest = topics.join(direct.select("query_id").distinct(), "query_id", "left_anti")
-    found = prefix_hits(doc_text(docs), rest).join(docs.select("id", "date"), "id")
-    starts = top_per_group(found, ["query_id"], [newest(), F.asc("id")], k).select("query_id", "id", "rank")
+    """Best documents per topic (query_id, text, wish): text hits, else word starts newest first, else the
+    newest of the area."""
+    area = F.col("area") if "area" in docs.columns else F.lit(None).cast("string")
+    items = docs.select("id", "date", area.alias("area"))
+    ranked = topic_hits(topics, doc_text(docs), doc_text(docs), items, k, [])
     width = F.when(F.col("doc_type") == "paper", 400).otherwise(600)
     section = F.when(F.col("doc_type") == "paper", "papers").otherwise("documents")
-    return (direct.unionByName(starts).join(docs.select("id", "date", "doc_type", "body"), "id")
+    return (ranked.join(docs.select("id", "date", "doc_type", "body"), "id")
             .select("query_id", section.alias("section"), "rank", F.col("id").alias("item_id"), "date",
                     F.substring("body", F.lit(1), width).alias("text")))
 
@@ -147,6 +155,6 @@ def decision_dossier(queries: DataFrame, kos: DataFrame, docs: DataFrame) -> Dat
             .select("query_id", F.concat("ko_type", F.lit("s")).alias("section"), F.lit(0).alias("rank"),
                     F.col("other_id").alias("item_id")))
     titled = chosen.select("query_id", F.col("title").alias("text"))
-    hyp = text_scores(ko_text(kos), titled).join(kos.where("ko_type = 'hypothesis'").select("id"), "id", "left_semi")
-    hyp = best_texts(hyp, 20).select("query_id", F.lit("hypotheses").alias("section"), "rank", F.col("id").alias("item_id"))
+    hyp = best_texts(ko_text(kos), titled, 20, kos.where("ko_type = 'hypothesis'").select("id"))
+    hyp = hyp.select("query_id", F.lit("hypotheses").alias("section"), "rank", F.col("id").alias("item_id"))
     return decision.unionByName(source).unionByName(around).unionByName(same).unionByName(hyp)
