@@ -101,8 +101,12 @@ SQL["normalise_drive_files"] = with_("cloud", """
 SELECT 'gdrive://acct/' || doc_id AS path, source || ' file' AS title, CAST(day AS VARCHAR) AS date, md5(text) AS digest FROM cloud
 WHERE lang <> 'de' AND regexp_matches(text, '\\S')""")
 SQL["incremental_drive"] = with_("cloud", """
-SELECT source AS account, count(*) AS n, max(CASE WHEN touched THEN day || 'T10:00:00Z' END) AS cursor FROM cloud
-WHERE source = 'src0' OR (touched AND day || 'T10:00:00Z' > '2001-04-01T00:00:00Z') GROUP BY source""")
+, f AS (SELECT source AS account, CASE WHEN touched THEN day || 'T10:00:00Z' END AS t FROM cloud)
+, first AS (SELECT account, count(*) AS n, max(t) AS cursor FROM f WHERE t IS NULL OR t <= '2001-04-01T00:00:00Z' GROUP BY account)
+, second AS (SELECT account, count(*) AS n, max(t) AS cursor FROM f LEFT JOIN (SELECT account, cursor AS seen FROM first) USING (account)
+             WHERE seen IS NULL OR t > seen GROUP BY account)
+SELECT account, 1 AS run, n, cursor FROM first
+UNION ALL SELECT account, 2, s.n, coalesce(greatest(s.cursor, f.cursor), s.cursor, f.cursor) FROM second s LEFT JOIN first f USING (account)""")
 SQL["normalise_email"] = with_("facts", """
 SELECT CAST(o_orderkey AS VARCHAR) AS id, '"' || c_name || '" <c@example.com>' AS "from", 'me@example.com' AS "to", 'pedido ' || o_orderkey AS subject,
   CASE WHEN o_orderkey % 5 <> 0 THEN strftime(day, '%Y-%m-%d') || CASE WHEN o_orderkey % 2 = 0 THEN ' 12:14:05' ELSE ' 09:14:05' END END AS date,
@@ -233,16 +237,19 @@ SELECT area, 0 AS documents, count(*) AS kos, count(*) FILTER (ko_type = 'task'
 UNION ALL SELECT '_sin_area', count(*), 0, 0, 0 FROM docs WHERE id IN (SELECT source_doc FROM kos)""")
 
 # -- streams ----------------------------------------------------------------------------------------
-SQL["incremental_files"] = "SELECT lang, count(*) AS n FROM documents GROUP BY lang"
+SQL["incremental_files"] = r"""
+SELECT source, lang, doc_id // 1000 AS block, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS length,
+  md5(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS digest
+FROM documents GROUP BY ALL HAVING bool_or(regexp_matches(text, '\S'))"""
 SQL["stream_dedup_docs"] = "SELECT DISTINCT sha256(text) AS body_hash FROM documents"
 SQL["stream_extract"] = with_(["note_kos", "notes"], """
 SELECT ko_type, project, count(*) AS n, CAST(min(date) AS VARCHAR) AS first FROM (
   SELECT ko_type, project, date FROM note_kos UNION ALL SELECT 'event', project, date FROM notes WHERE doc_type = 'meeting') GROUP BY ALL""")
 SQL["stream_triage"] = with_("triage", "SELECT id, score, priority FROM triage")
 WINDOWS = """
-SELECT strftime(d, '%Y-%m-%d') AS start, event_type, count(*) AS n FROM (
-  SELECT event_type, unnest(generate_series(CAST(CAST(ts AS DATE) AS TIMESTAMP) - INTERVAL 6 DAY, CAST(CAST(ts AS DATE) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM events)
-"""
-SQL["stream_signal_counts"] = WINDOWS + "GROUP BY ALL"
-SQL["signal_counts"] = WINDOWS + "GROUP BY ALL"
+SELECT days, strftime(d, '%Y-%m-%d') AS start, event_type, count(*) AS n FROM (
+  SELECT days, event_type, unnest(generate_series(CAST(CAST(ts AS DATE) AS TIMESTAMP) - to_days(days - 1), CAST(CAST(ts AS DATE) AS TIMESTAMP), INTERVAL 1 DAY)) AS d
+  FROM events, (VALUES (7), (14), (30)) w(days)) GROUP BY ALL"""
+SQL["stream_signal_counts"] = WINDOWS
+SQL["signal_counts"] = WINDOWS
 SQL["run_extractor"] = with_("notes", "SELECT id AS source_doc, 'fact' AS ko_type, title, 'probable' AS confidence FROM notes")

@@ -33,10 +33,11 @@ SQL["check_domains"] = with_(["kos", "docs"], """
 SELECT 'ko_source_doc' AS rule, id FROM kos WHERE source_doc NOT IN (SELECT id FROM docs)""")
 SQL["ingest_summary"] = with_(["notes", "note_kos"], """
 , kept AS (SELECT * FROM notes WHERE id IN (SELECT min(id) FROM notes GROUP BY body))
-SELECT n.source, k.documents, n.incoming - k.documents AS skipped, o.n AS knowledge_objects, k.rel AS relationships
-FROM (SELECT source, count(*) AS incoming FROM notes GROUP BY 1) n
-JOIN (SELECT source, count(*) AS documents, count(DISTINCT id) AS rel FROM kept GROUP BY 1) k USING (source)
-JOIN (SELECT source, count(*) AS n FROM note_kos WHERE source_doc IN (SELECT id FROM kept) GROUP BY 1) o USING (source)"""
+SELECT n.source, n.account, coalesce(k.documents, 0) AS documents, n.incoming - coalesce(k.documents, 0) AS skipped,
+  coalesce(o.n, 0) AS knowledge_objects, coalesce(k.rel, 0) AS relationships
+FROM (SELECT source, organization AS account, count(*) AS incoming FROM notes GROUP BY ALL) n
+LEFT JOIN (SELECT source, organization AS account, count(*) AS documents, count(DISTINCT id) AS rel FROM kept GROUP BY ALL) k USING (source, account)
+LEFT JOIN (SELECT kept.source, organization AS account, count(*) AS n FROM note_kos JOIN kept ON source_doc = kept.id GROUP BY ALL) o USING (source, account)"""
 .replace("\n, kept", ", kept"))
 SQL["memory_counts"] = with_(["docs", "kos"], """
 SELECT 'documents' AS what, count(DISTINCT body) AS n FROM docs UNION ALL SELECT 'kos', count(*) FROM kos""")

@@ -167,9 +167,13 @@ def normalise_drive_files(t: Tables) -> DataFrame:
 
 @query
 def incremental_drive(t: Tables) -> DataFrame:
+    """Two runs: over the files as they were on a day, then over all; the cursors are kept in between."""
     files = _cloud_files(t)
-    cursors = files.groupBy("account").agg(F.lit("2001-04-01T00:00:00Z").alias("cursor")).where("account <> 'src0'")
-    return AC.changed_since(files, cursors).groupBy("account").agg(F.count(F.lit(1)).alias("n"), F.max("modifiedTime").alias("cursor"))
+    table, cursors = run_dir(t.spark, "drive"), run_dir(t.spark, "drive-cursors")
+    AC.read_changed(files.where("modifiedTime is null or modifiedTime <= '2001-04-01T00:00:00Z'"), table, cursors)
+    AC.read_changed(files, table, cursors)
+    read = t.spark.read.parquet(table).groupBy("account", "run").agg(F.count(F.lit(1)).alias("n"))
+    return read.join(t.spark.read.parquet(cursors), ["account", "run"])
 
 
 @query

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..adapters import AS_OF, AS_OF_TIME, Tables
 from ..operators import areas as A, extract as X, graph as G, mail as M, people as P, tables as TB
 from ..registry import query
+from ..session import run_dir
+from ..sinks import BucketTable
 
 # -- documents and tables ------------------------------------------------------
 
@@ -23,11 +25,14 @@ def keep_first_by_hash(t: Tables) -> DataFrame:
 
 @query
 def upsert_kos(t: Tables) -> DataFrame:
+    """A stored table after the same change was run twice."""
     kos = t.kos()
     changed = (kos.where("ko_type = 'task'").withColumn("status", F.lit("done"))
                .unionByName(kos.where("ko_type = 'idea'").withColumn("id", F.concat(F.col("id"), F.lit("-bis")))))
-    out = TB.upsert_kos(kos, changed)
-    return out.groupBy("ko_type", "status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+    table = BucketTable.create(kos, run_dir(t.spark, "kos"), ["id"], 16)
+    for _ in range(2):
+        TB.upsert_kos_into(table, changed)
+    return table.rows().groupBy("ko_type", "status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
 
 
 @query
@@ -39,16 +44,24 @@ def upsert_entities(t: Tables) -> DataFrame:
 
 @query
 def merge_relationships(t: Tables) -> DataFrame:
+    """A stored table without the edges of one type, which come back in two equal runs."""
     edges = t.edges()
-    return (TB.merge_relationships(edges, X.link_people_projects(t.notes()).withColumn("source_doc", F.lit(None).cast("string")))
-            .select("source_id", "target_id", "rel_type", "valid_from"))
+    table = BucketTable.create(edges.where("rel_type <> 'works_with'"), run_dir(t.spark, "edges"), TB.EDGE_KEY, 16)
+    incoming = edges.unionByName(X.link_people_projects(t.notes()).withColumn("source_doc", F.lit(None).cast("string")))
+    for _ in range(2):
+        TB.merge_relationships_into(table, incoming)
+    return table.rows().select("source_id", "target_id", "rel_type", "valid_from")
 
 
 @query
 def delete_derived(t: Tables) -> DataFrame:
+    """Stored tables after the same documents were deleted twice, with the counts of the first run."""
     docs = t.docs().where("source = 'src0'")
-    kos, edges, removed = TB.delete_derived(t.kos(), t.edges(), docs)
-    kept = kos.select(F.lit("kos_kept").alias("what")).groupBy("what").agg(F.count(F.lit(1)).alias("removed"))
+    kos = BucketTable.create(t.kos(), run_dir(t.spark, "kos"), ["id"], 16)
+    edges = BucketTable.create(t.edges(), run_dir(t.spark, "edges"), TB.EDGE_KEY, 16)
+    removed = TB.delete_derived_from(kos, edges, docs)
+    TB.delete_derived_from(kos, edges, docs)
+    kept = kos.rows().select(F.lit("kos_kept").alias("what")).groupBy("what").agg(F.count(F.lit(1)).alias("removed"))
     return removed.unionByName(kept)
 
 
@@ -66,9 +79,10 @@ def check_domains(t: Tables) -> DataFrame:
 
 @query
 def ingest_summary(t: Tables) -> DataFrame:
-    notes = t.notes()
+    """Per source and account; the first organisation of a note stands for its account."""
+    notes = t.notes().withColumn("account", F.element_at("organizations", 1))
     kept = TB.dedup_documents(notes)
-    return TB.ingest_summary(notes, kept, X.extract_marked_lines(kept), X.link_people_projects(kept))
+    return TB.ingest_summary(notes, kept, X.extract_marked_lines(kept), X.link_people_projects(kept), ("source", "account"))
 
 
 @query
@@ -128,9 +142,13 @@ def best_of_ties(t: Tables) -> DataFrame:
 
 @query
 def assign_areas_write(t: Tables) -> DataFrame:
+    """The stored notes whose label differs from the one they came with, after two runs."""
     notes = t.notes().withColumn("area", F.element_at("organizations", 1))
-    computed = A.classify_documents(notes, A.load_area_dim(t.areas()))
-    return TB.changed_areas(notes, computed)
+    table = BucketTable.create(notes, run_dir(t.spark, "notes"), ["id"], 16)
+    dim = A.load_area_dim(t.areas())
+    for _ in range(2):
+        TB.assign_areas_into(table, TB.changed_areas(table.rows(), A.classify_documents(table.rows(), dim)))
+    return TB.changed_areas(notes, table.rows())
 
 
 @query

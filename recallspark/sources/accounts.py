@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed
 from ..functions.text import empty_strings, natural_id, sender_name, strip
@@ -96,6 +96,31 @@ def next_cursors(files: DataFrame, cursors: DataFrame) -> DataFrame:
     return seen.unionByName(cursors.select("account", "cursor")).groupBy("account").agg(F.max("cursor").alias("cursor"))
 
 
+def read_changed(files: DataFrame, table: str, cursors: str) -> int:
+    """One run over the files of all accounts: rows that changed since the last run go to a folder of their
+    own below ``table``, then the cursors, one row per account, to one below ``cursors``; the run's number.
+
+    The cursors move only after the rows are written. A run that ended in between writes both folders again.
+    """
+    spark = files.sparkSession
+    run, known = last_cursors(spark, cursors)
+    fresh, path = changed_since(files, known), f"{table}/run={run + 1}"
+    fresh.write.mode("overwrite").parquet(path)
+    next_cursors(spark.read.schema(fresh.schema).parquet(path), known).write.mode("overwrite").parquet(f"{cursors}/run={run + 1}")
+    return run + 1
+
+
+def last_cursors(spark: SparkSession, cursors: str) -> tuple[int, DataFrame]:
+    """The last run and its cursors; 0 and no rows before the first."""
+    kind = "account string, cursor string, run int"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cursors)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return 0, spark.createDataFrame([], kind)
+    every = spark.read.schema(kind).parquet(cursors)
+    run = every.agg(F.max("run")).first()[0] or 0
+    return run, every.where(F.col("run") == run)
+
+
 def mail_time(c: Column) -> Column:
     """Mail header date to a timestamp: day name and comments dropped, zone names to offsets."""
     t = F.regexp_replace(strip(c), r"^[A-Za-z]{3},?\s+", "")

@@ -6,13 +6,17 @@ from __future__ import annotations
 import datetime as dt
 from typing import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.extract import extract_all
 from ..operators.mail import match_senders, score_mail
 from ..operators.scale import first_per_key
 from ..operators.tables import body_hash, keep_first_by_hash
+from ..session import written
+from ..sources.files import readable_files
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", pattern: str | None = None,
@@ -46,28 +50,42 @@ def run_each_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], chec
     return q
 
 
-def stream_dedup_docs(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+def read_new_files(spark: SparkSession, root: str, table: str, checkpoint: str) -> StreamingQuery:
+    """The readable texts of the files below ``root`` that no earlier run has read, one folder of ``table``
+    per batch; a repeated batch overwrites itself."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        readable_files(batch).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    return run_each_batch(incremental_files(spark, root), write, checkpoint)
+
+
+def stream_dedup_docs(stream: DataFrame, table: str, checkpoint: str, digits: int = 2) -> StreamingQuery:
     """Append documents whose body hash is not in the table yet.
 
     What was seen lives in the table instead of operator state, so memory does not grow with
-    the corpus. Each batch writes its own folder: a repeated batch overwrites itself.
+    the corpus. The table is laid out by batch and by the first hex ``digits`` of the hash; a batch reads
+    the hashes of its own prefixes only. Each batch writes its own folder: a repeated batch overwrites itself.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = keep_first_by_hash(batch)
-        done = _earlier(spark, table, batch_id)
+        prefix = F.concat(F.lit("p"), F.substring("body_hash", 1, digits))
+        fresh = written(keep_first_by_hash(batch).withColumn("prefix", prefix), "fresh")
+        done = seen_hashes(spark, table, batch_id, fresh)
         if done is not None:
-            fresh = fresh.join(done.select("body_hash"), "body_hash", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+            fresh = fresh.join(done, "body_hash", "left_anti")
+        fresh.write.mode("overwrite").partitionBy("prefix").parquet(f"{table}/batch={batch_id}")
 
     return run_each_batch(stream, write, checkpoint)
 
 
-def _earlier(spark: SparkSession, table: str, batch_id: int) -> DataFrame | None:
-    """Rows of the batches before this one, so that a retried batch does not meet itself."""
+def seen_hashes(spark: SparkSession, table: str, batch_id: int, fresh: DataFrame) -> DataFrame | None:
+    """Hashes of the batches before this one that begin as one of ``fresh`` does; a retried batch does not
+    meet itself."""
     if batch_id == 0:
         return None
-    return spark.read.parquet(table).where(F.col("batch") < batch_id)
+    held = [r[0] for r in fresh.select("prefix").distinct().collect()]  # at most 16 ** digits
+    seen = spark.read.schema("body_hash string, batch int, prefix string").parquet(table)
+    return seen.where((F.col("batch") < batch_id) & F.col("prefix").isin(held)).select("body_hash")
 
 
 def stream_dedup_window(stream: DataFrame, time: str, delay: str) -> DataFrame:
@@ -86,13 +104,54 @@ def stream_triage(mail: DataFrame, senders: DataFrame, as_of: dt.datetime) -> Da
     return score_mail(mail, senders, as_of)
 
 
-def stream_signal_counts(events: DataFrame, key: str, time: str, window: str = "7 days", slide: str = "1 day",
-                         late: str | None = "1 day") -> DataFrame:
-    """Rolling counts and sums per key; rows later than ``late`` behind the watermark are dropped. None
-    drops nothing, keeps the figures of every window as state and needs the update mode."""
-    return ((events.withWatermark(time, late) if late else events).groupBy(F.window(time, window, slide).alias("w"), key)
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("points").alias("points"))
-            .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n", "points"))
+SIGNAL_DAYS = (7, 14, 30)
+
+
+def stream_signal_counts(events: DataFrame, key: str, time: str, late_days: int = 2, days: tuple[int, ...] = SIGNAL_DAYS) -> DataFrame:
+    """(days, start, key, n, points): rolling counts and sums per key over windows of each of
+    ``days`` days, one starting each day, whenever a batch changes them.
+
+    A key's state is one ring of day figures that feeds all windows. It reaches back as far as the longest
+    window from the oldest day that may still change; events more than ``late_days`` days behind the latest
+    one of earlier batches are dropped. A timer clears the ring of a key that falls silent.
+    """
+    longest = max(days)
+    day_ms = 86_400_000
+
+    def count(group, frames, state: GroupState):
+        ring = {d: (n, p) for d, n, p in zip(*state.get)} if state.exists else {}
+        mark = state.getCurrentWatermarkMs()
+        open_from = mark // day_ms if mark > 0 else None  # the oldest day that may still change
+        changed = set()
+        if not state.hasTimedOut:
+            for pdf in frames:
+                if open_from is not None:
+                    pdf = pdf[pdf["day"] >= open_from]
+                for d, n, p in pdf.groupby("day").agg(n=("points", "size"), p=("points", "sum")).itertuples():
+                    held = ring.get(d, (0, 0))
+                    ring[d] = (held[0] + int(n), held[1] + int(p))
+                    changed.add(d)
+        rows = []
+        for w in days:
+            for start in sorted({s for d in changed for s in range(d - w + 1, d + 1)}):
+                held = [ring[d] for d in range(start, start + w) if d in ring]
+                rows.append((w, start, group[0], sum(n for n, _ in held), sum(p for _, p in held)))
+        if open_from is not None:
+            ring = {d: v for d, v in ring.items() if d > open_from - longest}
+        if ring:
+            state.update(([int(d) for d in ring], [n for n, _ in ring.values()], [p for _, p in ring.values()]))
+            state.setTimeoutTimestamp(max((max(ring) + longest + 1) * day_ms, mark + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(rows, columns=["days", "start_day", key, "n", "points"])
+
+    day = F.unix_date(F.to_date(time)).alias("day")
+    kind = events.schema[key].dataType.simpleString()
+    marked = events.withWatermark(time, f"{late_days} days").select(time, day, key, F.col("points").cast("long").alias("points"))
+    out = marked.groupBy(key).applyInPandasWithState(
+        count, f"days int, start_day int, {key} {kind}, n long, points long", "day array<int>, n array<long>, points array<long>",
+        "update", GroupStateTimeout.EventTimeTimeout)
+    return out.select("days", F.date_from_unix_date("start_day").alias("start"), key, "n", "points")
 
 
 def triage_each_batch(mail: DataFrame, people: DataFrame, pinned: DataFrame, as_of: dt.datetime, table: str,
@@ -117,11 +176,13 @@ def signal_table(counted: DataFrame, table: str, checkpoint: str) -> StreamingQu
 
 def latest_windows(spark: SparkSession, table: str, key: str) -> DataFrame:
     """The last figures of each window."""
-    return first_per_key(spark.read.parquet(table), ["start", "end", key], [-F.col("batch")]).drop("batch")
+    return first_per_key(spark.read.parquet(table), ["days", "start", key], [-F.col("batch")]).drop("batch")
 
 
-def signal_counts(events: DataFrame, key: str, time: str, window: str = "7 days", slide: str = "1 day") -> DataFrame:
-    """The same figures in batch."""
-    return (events.groupBy(F.window(time, window, slide).alias("w"), key)
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("points").alias("points"))
-            .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n", "points"))
+def signal_counts(events: DataFrame, key: str, time: str, days: tuple[int, ...] = SIGNAL_DAYS) -> DataFrame:
+    """The same figures in batch: days are counted first, then each day goes to the windows that hold it."""
+    daily = events.groupBy(key, F.to_date(time).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum("points").alias("points"))
+    sized = daily.withColumn("days", F.explode(F.array(*(F.lit(d) for d in days))))
+    first = F.date_sub("day", F.col("days") - 1)
+    return (sized.withColumn("start", F.explode(F.sequence(first, F.col("day"))))
+            .groupBy("days", "start", key).agg(F.sum("n").alias("n"), F.sum("points").alias("points")))
