@@ -71,6 +71,11 @@ CTES["chat"] = ([], """
     SELECT 'chat' || (user_id % 3) AS chat, event_id AS seq, CAST(ts AS DATE) AS date, 'User' || user_id AS author,
            event_type || ' ' || CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR) AS message FROM events""")
 SQL["parse_chat_log"] = with_("chat", "SELECT chat, seq, CAST(date AS VARCHAR) AS date, author, message FROM chat")
+SQL["scan_chat"] = """
+SELECT chat, part, count(*) AS n, sum(length(line) * (seq % 1000 + 1))::BIGINT AS digest FROM (
+  SELECT 'chat' || (user_id % 3) AS chat, event_id % 2 AS part, row_number() OVER (PARTITION BY user_id % 3, event_id % 2 ORDER BY event_id) - 1 AS seq,
+         strftime(CAST(ts AS TIMESTAMP), '%d/%m/%y, %H:%M') || ' - User' || user_id || ': ' || event_type || ' ' || CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR) AS line FROM events)
+GROUP BY ALL"""
 SQL["chat_days_to_docs"] = with_("chat", """
 SELECT 'whatsapp://' || chat || '/' || date AS path, chat || ' · ' || date AS title, CAST(date AS VARCHAR) AS date,
   array_to_string(list_sort(list_distinct(list(author))), '|') AS people, CAST(count(*) AS VARCHAR) AS messages,
@@ -126,6 +131,7 @@ SQL["scan_bibtex"] = """
 SELECT 'key' || p_partkey AS key, 'article' AS type, 'El {' || p_name || '} y otros.' AS title, 'Autor ' || p_partkey AS author,
   CAST(1960 + p_size AS VARCHAR) AS year, p_type AS journal, CASE WHEN p_partkey % 2 = 0 THEN 'https://doi.org/10.5/' || p_partkey END AS doi FROM part
 UNION ALL SELECT 'alt' || p_partkey, 'book', p_brand, NULL, NULL, 'Libro', NULL FROM part"""
+SQL["scan_library"] = SQL["scan_bibtex"]
 SQL["scan_csl_json"] = """
 SELECT CAST(p_partkey AS VARCHAR) AS key, 'article-journal' AS type, p_name AS title, 'Ana ' || p_brand || ', Solo' AS author,
   CAST(1960 + p_size AS VARCHAR) AS year, p_type AS journal, '10.7/' || p_partkey AS doi FROM part"""

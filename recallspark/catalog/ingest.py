@@ -91,6 +91,17 @@ def parse_chat_log(t: Tables) -> DataFrame:
     return CV.parse_chat_log(t.chat_lines())
 
 
+@query
+def scan_chat(t: Tables) -> DataFrame:
+    """The lines as two files per chat, read by ranges of bytes and put in order again."""
+    path = run_dir(t.spark, "chats")
+    lines = t.chat_lines().withColumn("part", F.col("seq") % 2)
+    lines.repartition("chat", "part").sortWithinPartitions("chat", "part", "seq").select("chat", "part", "line").write.partitionBy("chat", "part").text(path)
+    name = lambda k: F.regexp_extract("path", rf"/{k}=([^/]*)/", 1)
+    read = CV.scan_chat(t.spark, path).select(name("chat").alias("chat"), name("part").cast("long").alias("part"), "seq", "line")
+    return read.groupBy("chat", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("line") * (F.col("seq") % 1000 + 1)).alias("digest"))
+
+
 @query
 def chat_days_to_docs(t: Tables) -> DataFrame:
     docs = CV.chat_days_to_docs(CV.parse_chat_log(t.chat_lines()), "whatsapp")
@@ -233,6 +244,14 @@ def scan_bibtex(t: Tables) -> DataFrame:
     return RF.scan_bibtex(_bibtex(t)).select("key", "type", "title", "author", "year", "journal", "doi")
 
 
+@query
+def scan_library(t: Tables) -> DataFrame:
+    """All entries in a few large files, each read by ranges of bytes."""
+    path = run_dir(t.spark, "library")
+    _bibtex(t).select("text").repartition(2).write.text(path)
+    return RF.scan_library(t.spark, path, "bib").select("key", "type", "title", "author", "year", "journal", "doi")
+
+
 @query
 def scan_csl_json(t: Tables) -> DataFrame:
     p = t.read("part")

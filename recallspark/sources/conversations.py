@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import fixed
 from ..functions.text import natural_id, strip
 from ..operators.scale import top_per_group
+from .lines import numbered_lines
+from .notes import file_name
 
 
 # -- transcripts -----------------------------------------------------------------
@@ -92,13 +94,9 @@ def parse_chat_log(lines: DataFrame) -> DataFrame:
 
 
 def scan_chat(spark: SparkSession, path: str) -> DataFrame:
-    """(chat, seq, line) of exported chat files; the chat is named after the file.
-
-    A file is one row, so its lines keep their order.
-    """
-    files = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract("_metadata.file_name", r"^(?:Chat de WhatsApp con )?(.*)\.txt$", 1).alias("chat"), "value")
-    return files.select("chat", F.posexplode(F.split("value", r"\R")).alias("seq", "line"))
+    """(chat, seq, line, path) of exported chat files of any size; the chat is named after the file."""
+    name = F.regexp_extract(file_name(F.col("path")), r"^(?:Chat(?: |%20)de(?: |%20)WhatsApp(?: |%20)con(?: |%20))?(.*)\.txt$", 1)
+    return numbered_lines(spark, path).select(F.url_decode(name).alias("chat"), "seq", "line", "path")
 
 
 def parse_slack_messages(messages: DataFrame, users: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import empty_strings, last_value, strip
 from .accounts import _document, paper_body
+from .lines import records
 
 ENTRY_START = r"@\w+\s*\{\s*[^,]+,"
 FIELD = r"(\w+)\s*=\s*(?:\{((?:[^{}]++|\{[^{}]*+\})*+)\}|\"([^\"]*)\")"
@@ -51,9 +52,12 @@ def scan_csl_json(texts: DataFrame) -> DataFrame:
 
 
 def scan_library(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Reference files of one kind, ``bib`` or ``json``."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("id"), F.col("value").alias("text"))
-    return scan_bibtex(raw) if kind == "bib" else scan_csl_json(raw)
+    """Reference files of one kind, ``bib`` or ``json``. A BibTeX file is read by several tasks: it is cut at
+    lines that start an entry, and what starts inside a line is cut with its record. A JSON list is one row."""
+    if kind == "bib":
+        parts = records(spark, path, rf"^{ENTRY_START}").select(F.col("path").alias("id"), "text")
+        return scan_bibtex(parts)
+    return scan_csl_json(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("id"), F.col("value").alias("text")))
 
 
 def normalise_reference(entries: DataFrame) -> DataFrame:
