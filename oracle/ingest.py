@@ -158,14 +158,20 @@ CTES["works"] = ([], """
       'Estudio de ' || p_name || ' ' || lower(p_type) || ' número ' || p_partkey AS title,
       upper(split_part(p_name, ' ', 1)[1]) || split_part(p_name, ' ', 1)[2:] AS family,
       CAST(1990 + p_size % 30 + CASE WHEN p_partkey % 9 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS year FROM part""")
-# a citation without a DOI never contains a registered title here (numero / número), so it takes
-# the first work of its author and year
-CTES["joined"] = (["refs", "works"], """
+# a citation without a DOI never contains a registered title here (numero / número): it takes the work of the most
+# similar title, without one the first work of its author and year
+WORDS = "list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')), ' '), lambda x: x <> ''))"
+CTES["near_titles"] = (["refs", "works"], f"""
+    SELECT doc_id, pos, arg_max(doi, (share, n, words)) AS doi FROM (
+      SELECT doc_id, pos, w.doi, len(list_intersect(tw, rw)) / len(tw) AS share, length(array_to_string(tw, ' ')) AS n, array_to_string(tw, ' ') AS words
+      FROM (SELECT doc_id, pos, {WORDS.format('raw')} AS rw FROM refs WHERE doi IS NULL), (SELECT doi, {WORDS.format('title')} AS tw FROM works) w)
+    WHERE share >= 0.55 GROUP BY ALL""")
+CTES["joined"] = (["refs", "works", "near_titles"], """
     SELECT r.*, w.doi AS work_doi, w.title AS work_title, w.family AS work_family, w.year AS work_year FROM refs r LEFT JOIN works w ON lower(r.doi) = lower(w.doi)
     WHERE r.doi IS NOT NULL
-    UNION ALL SELECT r.*, w.doi, w.title, w.family, w.year FROM refs r LEFT JOIN (
-      SELECT family, year, min(doi) AS doi, arg_min(title, doi) AS title FROM works GROUP BY family, year) w ON w.family = r.author AND w.year = r.year
-    WHERE r.doi IS NULL""")
+    UNION ALL SELECT r.*, w.doi, w.title, w.family, w.year FROM refs r LEFT JOIN (SELECT doc_id, pos, doi AS near FROM near_titles) s USING (doc_id, pos) LEFT JOIN (
+      SELECT family, year, min(doi) AS doi FROM works GROUP BY family, year) a ON a.family = r.author AND a.year = r.year
+    LEFT JOIN works w ON w.doi = coalesce(near, a.doi) WHERE r.doi IS NULL""")
 SQL["doi_join"] = with_("joined", "SELECT doc_id, raw, work_doi, work_year FROM joined")
 
 CTES["verified"] = (["joined"], r"""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.text import is_title_case, plain_ascii, strip
+from ..session import written
 from .scale import first_per_key
 
 UNFOUND, OK, DIFFERS = "no_encontrado", "verificado", "discrepancia"
@@ -45,13 +46,36 @@ def title_share(title: Column, raw: Column) -> Column:
     return F.size(F.array_intersect(own, F.split(_words(raw), " "))) / F.size(own)
 
 
+def similar_titles(refs: DataFrame, titles: DataFrame, percent: int = round(100 * fixed.TITLE_RATIO_MIN)) -> DataFrame:
+    """Every pair of a citation (columns and ``words``) and a title (columns and ``title_words``) whose words
+    stand in the citation to ``percent`` in a hundred, with ``shared``; a pair may come more than once.
+
+    A title that needs m of its n words must share one of its n - m + 1 rarest, so titles are found by
+    those alone, and only by citations with as many words as the title needs. Work follows the titles that
+    share a rare word, not all of them.
+    """
+    need = F.floor((F.size("title_words") * percent + 99) / 100).cast("int")
+    titles = titles.where(F.size("title_words") > 0)
+    often = titles.select(F.explode("title_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    rows = titles.withColumn("word", F.explode("title_words")).join(written(often, "title-words"), "word")
+    keep = [c for c in titles.columns if c != "title_words"]
+    rows = rows.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("w"))
+    rows = rows.withColumn("title_words", F.transform("w", lambda x: x["word"])).drop("w")
+    rows = written(rows.withColumn("need", need), "titles")
+    by_word = rows.withColumn("word", F.explode(F.slice("title_words", 1, F.size("title_words") - F.col("need") + 1)))
+    asked = refs.withColumn("word", F.explode("words"))
+    shared = F.size(F.array_intersect("title_words", "words"))
+    pairs = asked.join(by_word, (asked["word"] == by_word["word"]) & (F.size(asked["words"]) >= by_word["need"]))
+    return pairs.withColumn("shared", shared).where(F.col("shared") >= F.col("need")).drop("word", "need")
+
+
 def doi_join(refs: DataFrame, works: DataFrame) -> DataFrame:
     """Adds the registered work of every citation: (work_doi, work_title, work_family, work_year).
 
     A citation with a DOI means that work. One without takes, in this order, the work whose
     title its words contain with the same author and year, any work whose title they contain
-    (the longest), or a work of the same author and year. Works are reduced to one row per
-    key before each join, so no citation meets more than one work per step.
+    (the longest), the work of the most similar title (at least ``TITLE_RATIO_MIN`` of its words),
+    or a work of the same author and year. Works are reduced to one row per key before each join.
     """
     work = F.struct(F.col("doi").alias("work_doi"), F.col("title").alias("work_title"),
                     F.col("family").alias("work_family"), F.col("year").alias("work_year"))
@@ -66,18 +90,22 @@ def doi_join(refs: DataFrame, works: DataFrame) -> DataFrame:
     per_title = first_per_key(w.select("ntitle", "work"), ["ntitle"], [F.col("work.work_doi")])
     per_all = first_per_key(w.select("ntitle", "nfamily", "year", "work"), ["ntitle", "nfamily", "year"], [F.col("work.work_doi")])
     per_author = first_per_key(w.select("nfamily", "year", "work"), ["nfamily", "year"], [F.col("work.work_doi")])
-    sizes = per_title.agg(F.collect_set(F.size(F.split("ntitle", " "))).alias("n")).scalar()
-    grams = (rest.select("doc_id", "pos", "nfamily", "year", F.split("nraw", " ").alias("t"), sizes.alias("sizes"))
-             .select("*", F.explode("sizes").alias("n")).where(F.col("n") <= F.size("t"))
-             .select("doc_id", "pos", "nfamily", "year", "n", F.explode(F.array_distinct(F.transform(
-                 F.sequence(F.lit(1), F.size("t") - F.col("n") + 1),
-                 lambda i: F.array_join(F.slice("t", i, F.col("n")), " ")))).alias("ntitle")))
+    distinct_words = lambda c: F.array_remove(F.array_distinct(F.split(c, " ")), "")
+    pairs = similar_titles(rest.select("doc_id", "pos", "nraw", distinct_words("nraw").alias("words")),
+                           per_title.select("ntitle", "work", distinct_words("ntitle").alias("title_words")))
     key = ["doc_id", "pos"]
-    exact = _longest(grams.join(per_all, ["ntitle", "nfamily", "year"]), "exact")
-    titled = _longest(grams.join(per_title, "ntitle"), "titled")
-    found = (rest.join(exact, key, "left").join(titled, key, "left")
+    long_title, verbatim = F.struct(F.length("ntitle"), "ntitle"), F.contains(F.concat(F.lit(" "), "nraw", F.lit(" ")),
+                                                                              F.concat(F.lit(" "), "ntitle", F.lit(" ")))
+    pairs = written(pairs.select(*key, "ntitle", "work", (F.col("shared") / F.size("title_words")).alias("share"), verbatim.alias("verbatim"))
+                    .dropDuplicates([*key, "ntitle"]), "pairs")
+    similar = pairs.groupBy(*key).agg(
+        F.max_by(F.when(F.col("verbatim"), F.col("work")), F.when(F.col("verbatim"), long_title)).alias("titled"),
+        F.max_by("work", F.struct("share", F.length("ntitle"), "ntitle")).alias("similar"))
+    mine = pairs.where("verbatim").select(*key, "ntitle").join(rest.select(*key, "nfamily", "year"), key)
+    exact = mine.join(per_all, ["ntitle", "nfamily", "year"]).groupBy(*key).agg(F.max_by("work", long_title).alias("exact"))
+    found = (rest.join(exact, key, "left").join(similar, key, "left")
              .join(per_author.withColumnRenamed("work", "by_author"), ["nfamily", "year"], "left"))
-    found = found.withColumn("work", F.coalesce("exact", "titled", "by_author"))
+    found = found.withColumn("work", F.coalesce("exact", "titled", "similar", "by_author"))
     return direct.unionByName(found.select(*direct.columns)).select(*refs.columns, "work.*")
 
 
@@ -85,10 +113,6 @@ def _words(c: Column) -> Column:
     return F.trim(F.regexp_replace(plain_ascii(c), " +", " "))
 
 
-def _longest(hits: DataFrame, name: str) -> DataFrame:
-    return hits.groupBy("doc_id", "pos").agg(F.max_by("work", F.struct(F.length("ntitle"), "ntitle")).alias(name))
-
-
 def verify_references(refs: DataFrame, works: DataFrame) -> DataFrame:
     """Adds verdict and detail: title (only without a DOI), year and author are compared."""
     j = doi_join(refs, works)

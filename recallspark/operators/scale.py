@@ -8,7 +8,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import materialize, written
 
@@ -32,13 +34,34 @@ def with_position(df: DataFrame, order: list[Column], name: str = "rank") -> Dat
 
 
 def with_previous(df: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
-    """``lag(value)`` inside ``group`` ordered by ``order``, for groups of any size."""
-    numbered = with_position(df, [F.col(group)] + [F.col(c) for c in order], "__pos")
-    before = numbered.select((F.col("__pos") + 1).alias("__pos"), F.col(group).alias("__group"),
-                             F.col(value).alias("__value"))
-    return (numbered.join(before, "__pos", "left")
-            .withColumn(name, F.when(F.col("__group") == F.col(group), F.col("__value")))
-            .drop("__pos", "__group", "__value"))
+    """``lag(value)`` inside ``group`` ordered by ``order``, for groups of any size.
+
+    The rows are range-partitioned and sorted once. Inside a partition each row takes the value of the row
+    before it; the first row of a partition takes it from one carried row per partition.
+    """
+    rows = df.repartitionByRange(F.col(group), *order).sortWithinPartitions(group, *order)
+    rows = rows.withColumn("__part", F.spark_partition_id()).withColumn("__before", F.col(value)).withColumn("__first", F.lit(False))
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            own, key = batch.column(value), batch.column(group)
+            if not batch.num_rows:
+                continue
+            start = (pa.nulls(1, own.type), pa.nulls(1, key.type)) if last is None else last
+            before = pa.concat_arrays([start[0], own.slice(0, batch.num_rows - 1)])
+            same = pc.fill_null(pc.equal(pa.concat_arrays([start[1], key.slice(0, batch.num_rows - 1)]), key), False)
+            first = pa.array([last is None] + [False] * (batch.num_rows - 1))
+            last = own.slice(batch.num_rows - 1), key.slice(batch.num_rows - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pc.if_else(same, before, pa.nulls(1, own.type)[0]), first], names=batch.schema.names)
+
+    kinds = T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema])
+    rows = materialize(rows.mapInArrow(run, kinds))
+    ends = rows.groupBy("__part").agg(F.max_by(F.struct(F.col(group).alias("g"), F.col(value).alias("v")), F.struct(group, *order)).alias("e"))
+    carried = ends.select((F.col("__part")).alias("__p"), F.lag("e").over(Window.orderBy("__part")).alias("__e"))  # a row per partition
+    rows = rows.join(F.broadcast(carried), F.col("__first") & (F.col("__part") == F.col("__p")), "left")
+    before = F.when(F.col("__e.g") == F.col(group), F.col("__e.v")).otherwise(F.col("__before"))
+    return rows.withColumn(name, before).select(*df.columns, name)
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
