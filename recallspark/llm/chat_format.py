@@ -3,7 +3,8 @@
 Logs often hold one conversation again and again, each time with a few more turns. Every
 conversation gets a rolling hash of its turns (the exclusive or of two 64-bit hashes of each turn
 with its number, over all turns so far); conversations whose whole hash is the hash of a proper
-prefix of another one leave by an anti-join, of equal ones the smallest id stays. What is left is
+prefix of another one leave by an anti-join, of equal ones the smallest id stays. The 128 bits and the
+number of turns decide alone; dropped conversations are not compared turn by turn. What is left is
 rendered turn by turn.
 
 The running hash is taken over blocks of 256 turn numbers and inside the blocks, and long
@@ -58,8 +59,8 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     last = ends.select(F.col("id").alias("__id"), F.col("turn").alias("__last"))
     proper = prefixes.join(last, prefixes["id"].eqNullSafe(last["__id"]) & (prefixes["turn"] < last["__last"]))
     proper = proper.select("h1", "h2", "n").distinct()
-    longest = ends.join(proper, ["h1", "h2", "n"], "left_anti")
-    return longest.groupBy("h1", "h2", "n").agg(F.min("id").alias("id")).select("id", F.col("n").alias("n_turns"))
+    alike = ends.groupBy("h1", "h2", "n").agg(F.min("id").alias("id"))  # copies are one row before they meet the prefixes
+    return alike.join(proper, ["h1", "h2", "n"], "left_anti").select("id", F.col("n").alias("n_turns"))
 
 
 def format_chats(chats: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
@@ -82,5 +83,8 @@ def format_chats(chats: DataFrame, id_col: str = "conv_id", turn_col: str = "tur
         pieces = pieces.unionByName(placed.select(*rows.columns, F.floor((F.col("__pos") - F.col("__first")) / part_rows).alias("piece")))
     rows = pieces.groupBy("id", "n_turns", "block", "piece").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
     one = F.transform("t", lambda t: F.format_string(template, t["role"], t["text"]))
+    # parts are numbered without their text: a conversation has few of them, however long it is
     part = F.row_number().over(Window.partitionBy("id").orderBy("block", "piece")) - 1
-    return rows.select(F.col("id").alias(id_col), part.cast("long").alias("part"), "n_turns", F.array_join(one, "").alias("rendered"))
+    numbers = pieces.select("id", "block", "piece").distinct().withColumn("part", part.cast("long")).toDF("__id", "__block", "__piece", "part")
+    same = rows["id"].eqNullSafe(numbers["__id"]) & (rows["block"] == numbers["__block"]) & (rows["piece"] == numbers["__piece"])
+    return rows.join(numbers, same).select(F.col("id").alias(id_col), "part", "n_turns", F.array_join(one, "").alias("rendered"))
