@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import fixed
 from ..functions.text import empty_strings, reason_label
 from ..session import materialize
+
 NO_AREA = "_sin_area"
+MAX_TERMS = 20_000
 
 
 @dataclass(frozen=True)
@@ -45,17 +47,19 @@ def classify_area(docs: DataFrame, dim: DataFrame, text: Column, people: Column
     """Adds ``area``: keyword in text +2, person +3, project +4 per term; the best area wins.
 
     A score below 2 gives NULL and equal scores go to the first area of the map. The dictionary is the
-    hand-written area map, whatever its length; it rides along as a constant, so the text is scanned
-    once and never shuffled.
+    hand-written area map; it rides along as a constant, so the text is scanned once and never shuffled.
+    A map of more than ``MAX_TERMS`` terms is refused.
     """
-    terms = area_terms(dim)
+    terms = area_terms(dim).limit(MAX_TERMS + 1).collect()
+    if len(terms) > MAX_TERMS:
+        raise ValueError(f"an area map has at most {MAX_TERMS} terms")
     people = F.col(people) if isinstance(people, str) else people
     project = F.col(project) if isinstance(project, str) else project
     prepared = (docs.withColumn("__text", F.lower(text))
                 .withColumn("__people", F.filter(F.transform(F.coalesce(people, empty_strings()), F.lower),
                                                  lambda p: p != ""))
                 .withColumn("__project", F.lower(F.coalesce(project, F.lit("")))))
-    best = prepared.withColumn("__best", _best_area(terms.collect()))
+    best = prepared.withColumn("__best", _best_area(terms))
     label = F.when(F.col("__best.score") >= fixed.AREA_MIN_SCORE, F.col("__best.area"))
     return best.withColumn("area", label).drop("__text", "__people", "__project", "__best")
 

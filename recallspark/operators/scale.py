@@ -8,6 +8,7 @@
 
 from __future__ import annotations
 
+import ahocorasick
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -79,15 +80,54 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int,
     return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
 
 
+AUTOMATON_CHARS = 2_000_000  # of all needles, some 100 MB of automaton in a worker
+
+
+def _few_needles(needles: DataFrame) -> list[str] | None:
+    """The needles, if they are short enough together for one automaton in every worker."""
+    total = needles.agg(F.sum(F.length("needle"))).first()[0] or 0
+    return [r[0] for r in needles.collect()] if total <= AUTOMATON_CHARS else None
+
+
+def _found(rows: DataFrame, key: str, text: str, needles: list[str]) -> DataFrame:
+    """(key, needle) for every row of ``rows`` whose ``text`` holds a needle, each needle once a row. One
+    automaton over all needles walks each text once, whatever their number."""
+    def run(batches):
+        automaton = ahocorasick.Automaton()
+        for n in needles:
+            automaton.add_word(n, n)
+        automaton.make_automaton()
+        for batch in batches:
+            at, hits = [], []
+            for i, t in enumerate(batch.column(text)):
+                t = t.as_py()
+                own = {n for _, n in automaton.iter(t)} if t else ()
+                at += [i] * len(own)
+                hits += own
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(at, pa.int64())), pa.array(hits, pa.string())], names=[key, "needle"])
+
+    kind = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("needle", T.StringType())])
+    if not needles:
+        return rows.sparkSession.createDataFrame([], kind)
+    return rows.select(*dict.fromkeys([key, text])).mapInArrow(run, kind)
+
+
 def contains_pairs(hays: DataFrame, needles: DataFrame) -> DataFrame:
     """Every (hay, needle) where ``hay`` contains ``needle``; both are single-column tables.
 
-    Each distinct hay is cut into its substrings at the lengths that occur among the
-    needles, and those are matched by equality: work is linear in the two inputs, however
-    many strings share a beginning.
+    Distinct hays are walked by one automaton over the needles. Needles too long for that in all
+    (``AUTOMATON_CHARS``) are matched by equality: each hay is cut into its substrings at the lengths that
+    occur among them, and work is linear in the two inputs, however many strings share a beginning.
     """
     hays = hays.toDF("hay").where("hay <> ''").distinct()
-    needles = needles.toDF("needle").where("needle <> ''").distinct()
+    needles = written(needles.toDF("needle").where("needle <> ''").distinct(), "needles")
+    few = _few_needles(needles)
+    if few is not None:
+        return _found(hays, "hay", "hay", few)
+    return _equal_substrings(hays, needles)
+
+
+def _equal_substrings(hays: DataFrame, needles: DataFrame) -> DataFrame:
     lengths = needles.agg(F.collect_set(F.length("needle")).alias("n")).scalar()
     last = F.length("hay") - F.col("n") + 1
     grams = (hays.select("hay", lengths.alias("lengths"))
@@ -105,13 +145,17 @@ def either_way_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def substring_hits(texts: DataFrame, needles: DataFrame) -> DataFrame:
-    """Distinct (id, needle) where the text holds a needle that has no white space.
+    """Distinct (id, needle) where the text holds a needle that has no white space; ids are unique.
 
-    Such a needle lies inside one word, so the substring test runs on the distinct words
-    of the corpus. The words that hold a needle are written; where they are few, they travel to
-    the texts and no word of a text is shuffled.
+    One automaton walks each text once and no word is shuffled. Needles too long for that in all are
+    looked for in the distinct words of the corpus, since such a needle lies inside one word; the words
+    that hold one are written and travel to the texts where they are few.
     """
+    needles = written(needles.toDF("needle").where("needle <> ''").distinct(), "needles")
+    few = _few_needles(needles)
+    if few is not None:
+        return _found(texts, "id", "text", few)
     words = texts.select("id", F.explode_outer(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
     words = words.where("word <> ''")
-    pairs = written(contains_pairs(words.select("word"), needles), "pairs")
+    pairs = written(_equal_substrings(words.select(F.col("word").alias("hay")).distinct(), needles), "pairs")
     return words.join(pairs, words["word"] == pairs["hay"]).select("id", "needle").distinct()

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from recallspark.functions import text as TX
@@ -84,7 +85,9 @@ def test_positions_and_lag_with_one_hot_group(spark):
         assert [prev[(g, v)] for v in vs] == [None] + vs[:-1]
 
 
-def test_contains_pairs_equals_brute_force(spark):
+@pytest.mark.parametrize("chars", [S.AUTOMATON_CHARS, 0])
+def test_contains_pairs_equals_brute_force(spark, monkeypatch, chars):
+    monkeypatch.setattr(S, "AUTOMATON_CHARS", chars)
     hays = ["Mariana", "Ana", "ana maria", "x", "", "aaaa", "banana"]
     needles = ["ana", "Ana", "a", "aa", "", "Mariana Lopez", "x"]
     h, n = spark.createDataFrame([(x,) for x in hays], "h string"), spark.createDataFrame([(x,) for x in needles], "n string")
@@ -95,7 +98,9 @@ def test_contains_pairs_equals_brute_force(spark):
     assert set(got) == both and len(got) == len(both)
 
 
-def test_substring_hits_equals_brute_force(spark):
+@pytest.mark.parametrize("chars", [S.AUTOMATON_CHARS, 0])
+def test_substring_hits_equals_brute_force(spark, monkeypatch, chars):
+    monkeypatch.setattr(S, "AUTOMATON_CHARS", chars)
     texts = [("1", "la casa blanca"), ("2", "casamiento, caso"), ("3", "nada")]
     needles = ["cas", "blan", "nada", "o"]
     got = set(rows(S.substring_hits(spark.createDataFrame(texts, "id string, text string"), spark.createDataFrame([(x,) for x in needles], "n string"))))
