@@ -264,4 +264,4 @@ SELECT days, strftime(d, '%Y-%m-%d') AS start, event_type, count(*) AS n FROM (
   FROM events, (VALUES (7), (14), (30)) w(days)) GROUP BY ALL"""
 SQL["stream_signal_counts"] = WINDOWS
 SQL["signal_counts"] = WINDOWS
-SQL["run_extractor"] = with_("notes", "SELECT id AS source_doc, 'fact' AS ko_type, title, 'probable' AS confidence FROM notes")
+SQL["run_extractor"] = with_("notes", "SELECT id AS source_doc, 'fact' AS ko_type, title, 'probable' AS confidence, md5(body) AS digest FROM notes")

@@ -155,9 +155,9 @@ SELECT e.id, e.name, e.entity_type AS type, coalesce(d.degree, 0) AS degree, p.n
 FROM entities e LEFT JOIN degree d ON d.id = e.id LEFT JOIN pinned p ON p.name = e.name
 UNION ALL SELECT id, title, 'decision', 2, false, CAST(date AS VARCHAR) FROM kos WHERE ko_type = 'decision'""")
 SQL["graph_links"] = with_(["edges", "kos"], f"""
-SELECT source, type, count(*) AS n, CAST(min(valid_from) AS VARCHAR) AS first FROM (
-  SELECT source_id AS source, rel_type AS type, valid_from FROM edges
-  UNION ALL SELECT source, type, valid_from FROM ({LINKS}) UNION ALL SELECT source, type, valid_from FROM ({CHAIN})) GROUP BY ALL""")
+SELECT source, target, type, CAST(valid_from AS VARCHAR) AS valid_from, CAST(valid_to AS VARCHAR) AS valid_to FROM (
+  SELECT source_id AS source, target_id AS target, rel_type AS type, valid_from, valid_to FROM edges
+  UNION ALL SELECT source, target, type, valid_from, NULL FROM ({LINKS}) UNION ALL SELECT source, target, type, valid_from, NULL FROM ({CHAIN}))""")
 
 SQL["person_signals"] = with_("person_signals", """
 SELECT name, degree, recent, upcoming, mail, pinned, role, score,

@@ -276,7 +276,7 @@ def graph_nodes(t: Tables) -> DataFrame:
 @query
 def graph_links(t: Tables) -> DataFrame:
     links = G.graph_tables(t.entities(), t.edges(), t.kos(), t.pinned())[1]
-    return links.groupBy("source", "type").agg(F.count(F.lit(1)).alias("n"), F.min("valid_from").alias("first"))
+    return links.select("source", "target", "type", "valid_from", "valid_to")
 
 
 # -- people -------------------------------------------------------------------------------
