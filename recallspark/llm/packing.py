@@ -116,7 +116,9 @@ def pack(pieces: DataFrame, size: int = 2048, id_col: str = "doc_id") -> DataFra
     plan = slots(counts, size)
     order = [id_col, "piece", "start", "ids_crc32"]
     n_buckets = max(partitions(spark), sum(counts.values()) // 100_000)
-    dealt = pieces.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(n_buckets)))
+    # equal rows are interchangeable and are dealt by their place, so they never fill one bucket
+    place = F.pmod(F.xxhash64(*order, F.monotonically_increasing_id()), F.lit(n_buckets))
+    dealt = stored(pieces.withColumn("__bucket", place), "dealt")
     sizes = dealt.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("length", "__bucket", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))

@@ -5,8 +5,10 @@ of the index vectors of its neighbours over all documents. A document is the mea
 context and index vectors with three counts, and a two-layer network turns it into a probability
 whose temperature is set on labelled rows that the fit did not see.
 
-The context sums cover every document. Only the fit takes a bounded number of labelled rows
-(``max_labelled``, those with the smallest hash of their id). Neither ids, sources, languages nor
+The context sums cover every document. Words share ``WORDS`` rows: in a corpus of more distinct words
+the rarer ones blend with others, and the frequent ones keep most of their row. Only the fit takes a
+bounded number of labelled rows (``max_labelled``, those with the smallest hash of their id; of several
+texts of one id the one with the smallest hash). Neither ids, sources, languages nor
 labels are inputs of a score.
 
 Defined cases: a null text is the empty text and is scored as one without words; repeated label rows
@@ -79,7 +81,7 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def run(rows):
         total = np.zeros(WORDS * DIMS, np.int64)
         for batch in rows:
-            for part in slices([t or "" for t in batch.column(text_col).to_pylist()], 2_000_000):
+            for part in slices([t or "" for t in batch.column(text_col).to_pylist()]):
                 word, _, offsets = words_of(part)
                 if len(word) < 2:
                     continue
@@ -184,8 +186,10 @@ def quality_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def vector(text: pd.Series) -> pd.Series:
         return pd.Series(list(features([t or "" for t in text], context)))
 
-    sample = docs.join(F.broadcast(known), id_col).select(id_col, "__y", vector(text_col).alias("x")).toPandas()
-    sample = sample.sort_values(id_col, kind="stable").drop_duplicates(id_col)
+    picked = F.min_by(F.struct("__y", F.col(text_col).alias("__text")), F.struct(F.xxhash64(text_col), text_col))
+    sample = docs.join(F.broadcast(known), id_col).groupBy(id_col).agg(picked.alias("__s"))  # at most max_labelled rows
+    sample = sample.select(id_col, F.col("__s.__y").alias("__y"), vector("__s.__text").alias("x")).toPandas()
+    sample = sample.sort_values(id_col, kind="stable")
     net = Network(np.stack(sample["x"]).astype(np.float32), sample["__y"].to_numpy(float)) if len(sample) else None
 
     @F.pandas_udf("double")

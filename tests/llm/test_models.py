@@ -106,3 +106,42 @@ def test_stages_keep_columns_and_agree_with_run(spark):
     good = [i for i, q in labels.items() if q == 1]
     first = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, SMALL).collect()}
     assert sum(i in first for i in good) >= 0.9 * len(good)
+
+
+def test_features_against_plain_sums(spark):
+    """Context vectors and document features, word by word in Python."""
+    texts = [t for _, t in odd_texts()] + ["a b a, c", "a  b\nb b!", ""]
+    d = quality.DIMS
+    sums = np.zeros((quality.WORDS, d))
+    rows = []
+    for t in texts:
+        word, sign, offsets = quality.words_of([t or ""])
+        rows.append((word.tolist(), sign.tolist()))
+        assert offsets.tolist() == [0, len(word)]
+        for i, w in enumerate(word):
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(word):
+                    for k in range(quality.NONZERO):
+                        sums[w, quality.INDEX_AT[word[j], k]] += quality.INDEX_SIGN[word[j], k]
+    context = quality.context_sums(frame(spark, list(enumerate(texts))).repartition(2))
+    want = sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1)
+    assert np.allclose(context, want, atol=1e-6)
+    got = quality.features([t or "" for t in texts], context)
+    for x, (word, sign) in zip(got, rows):
+        n = len(word)
+        plain = np.zeros(2 * d + 4)
+        if n:
+            plain[:d] = np.mean([want[w] for w in word], axis=0)
+            plain[d:2 * d] = np.mean([quality.INDEX[w] for w in word], axis=0)
+            plain[-4:] = [sum(a == b for a, b in zip(word, word[1:])) / n, np.log1p(n), len(set(word)) / n, sum(sign) / n]
+        assert np.allclose(x, plain, atol=1e-4)
+
+
+def test_a_sampled_id_with_several_texts(spark):
+    """One text per id is learned, the same one whatever the order of the rows."""
+    docs = [(i % 7, f"text {i} " + "good " * (i % 7)) for i in range(60)] + [(None, "x")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, quality int")
+    key = lambda rows: sorted((r.doc_id or -1, round(r.score, 12)) for r in rows)
+    a = quality.score_documents(frame(spark, docs), labels).collect()
+    b = quality.score_documents(frame(spark, docs[::-1]).repartition(3), labels).collect()
+    assert key(a) == key(b) and len(a) == 61
