@@ -257,7 +257,7 @@ SQL["stream_dedup_docs"] = "SELECT DISTINCT sha256(text) AS body_hash FROM docum
 SQL["stream_extract"] = with_(["note_kos", "notes"], """
 SELECT ko_type, project, count(*) AS n, CAST(min(date) AS VARCHAR) AS first FROM (
   SELECT ko_type, project, date FROM note_kos UNION ALL SELECT 'event', project, date FROM notes WHERE doc_type = 'meeting') GROUP BY ALL""")
-SQL["stream_triage"] = with_("triage", "SELECT id, score, priority FROM triage")
+SQL["stream_triage"] = with_("triage", "SELECT id, score, priority FROM triage WHERE ts > TIMESTAMP '2001-07-08 12:00:00'")
 WINDOWS = """
 SELECT days, strftime(d, '%Y-%m-%d') AS start, event_type, count(*) AS n FROM (
   SELECT days, event_type, unnest(generate_series(CAST(CAST(ts AS DATE) AS TIMESTAMP) - to_days(days - 1), CAST(CAST(ts AS DATE) AS TIMESTAMP), INTERVAL 1 DAY)) AS d

@@ -155,10 +155,13 @@ def stream_signal_counts(events: DataFrame, key: str, time: str, late_days: int
 
 
 def triage_each_batch(mail: DataFrame, people: DataFrame, pinned: DataFrame, as_of: dt.datetime, table: str,
-                      checkpoint: str) -> StreamingQuery:
-    """Mail scored batch by batch; the senders of each batch are matched with the known people then, so
-    one that was never seen before can match too."""
+                      checkpoint: str, newest_days: int | None = 7) -> StreamingQuery:
+    """Mail scored batch by batch, that of the ``newest_days`` days up to ``as_of`` (all with None); the
+    senders of each batch are matched with the known people then, so one that was never seen before can
+    match too."""
     def write(batch: DataFrame, batch_id: int) -> None:
+        if newest_days is not None:
+            batch = batch.where(F.col("date") > F.lit(as_of - dt.timedelta(days=newest_days)))
         scored = score_mail(batch, match_senders(batch, people, pinned), as_of)
         scored.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
