@@ -145,3 +145,17 @@ def test_a_sampled_id_with_several_texts(spark):
     a = quality.score_documents(frame(spark, docs), labels).collect()
     b = quality.score_documents(frame(spark, docs[::-1]).repartition(3), labels).collect()
     assert key(a) == key(b) and len(a) == 61
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null ids and texts, repeated rows, extra columns with names used inside; and an empty table."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, node string, length long, piece int, keep_id long"
+    rows = [(i, t, "en", "s", 1, "n", 2, 3, 4) for i, t in odd_texts()]
+    for name, own in (("odd", rows), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(own, kind).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, folder).collect()
+        assert bool(out) == bool(own)
+        kept = {r.doc_id for r in out}
+        assert kept <= {i for i, _ in odd_texts()}
