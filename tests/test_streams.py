@@ -144,3 +144,15 @@ def test_null_keys_and_edges(spark, tmp_path):
     removed = TB.delete_derived_from(kos, table, spark.createDataFrame([("d1",), ("d1",)], "id string"))
     assert sorted(map(tuple, removed.collect())) == [("kos", 1), ("relationships", 1)]
     assert [r.id for r in kos.rows().collect()] == ["k2"] and table.rows().count() == 3
+
+
+def test_old_mail_is_triaged_too(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    now = dt.datetime(2026, 1, 31)
+    row = "id string, `from` string, subject string, snippet string, date timestamp, labels array<string>"
+    spark.createDataFrame([("new", "Ana <a@x>", "s", "", now, []), ("old", "Ana <a@x>", "s", "", dt.datetime(2020, 1, 1), [])], row).write.parquet(src)
+    people = spark.createDataFrame([("ana", "Ana", 1)], "low string, name string, degree long")
+    pinned = spark.createDataFrame([], "name string")
+    mail = S.file_stream(spark, src, spark.read.parquet(src).schema)
+    S.triage_each_batch(mail, people, pinned, now, out, str(tmp_path / "ck"))
+    assert {r.id: r.score for r in spark.read.parquet(out).collect()} == {"new": 52, "old": 42}
