@@ -69,6 +69,12 @@ def test_scan_files_reads_only(spark, tmp_path):
     assert sorted(p.name for p in root.iterdir()) == ["a.txt", "i.jpg", "p.html"]
 
 
+def test_character_references_need_their_semicolon(spark):
+    pages = {1: "<h1>a&amp</h1><p>b &amp; c &copy d</p>", 2: "x&#233;y &amp z &ampx; &Eacute;&#39", 3: "&am &lt;&amp;lt;"}
+    got = {r.id: r.text for r in FS.html_to_text(spark.createDataFrame(list(pages.items()), "id long, html string")).collect()}
+    assert got == {1: "a&amp\nb & c &copy d", 2: "xéy &amp z &ampx; É&#39", 3: "&am <&lt;"}
+
+
 def test_positions_and_lag_with_one_hot_group(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("g"),
                                   (F.col("id") * 7919 % 5003).alias("v"))
