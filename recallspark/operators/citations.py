@@ -46,22 +46,23 @@ def title_share(title: Column, raw: Column) -> Column:
     return F.size(F.array_intersect(own, F.split(_words(raw), " "))) / F.size(own)
 
 
-def similar_titles(refs: DataFrame, titles: DataFrame, percent: int = round(100 * fixed.TITLE_RATIO_MIN)) -> DataFrame:
+def similar_titles(refs: DataFrame, titles: DataFrame, percent: int = round(100 * fixed.TITLE_RATIO_MIN),
+                   size: Column | None = None) -> DataFrame:
     """Every pair of a citation (columns and ``words``) and a title (columns and ``title_words``) whose words
     stand in the citation to ``percent`` in a hundred, with ``shared``; a pair may come more than once.
+    ``size`` counts the words of a title, if ``title_words`` has not all of them.
 
     A title that needs m of its n words must share one of its n - m + 1 rarest, so titles are found by
     those alone, and only by citations with as many words as the title needs. Work follows the titles that
     share a rare word, not all of them.
     """
-    need = F.floor((F.size("title_words") * percent + 99) / 100).cast("int")
-    titles = titles.where(F.size("title_words") > 0)
+    need = _needed(F.size("title_words") if size is None else size, percent)
+    titles = titles.withColumn("need", need).where((F.size("title_words") > 0) & (F.size("title_words") >= F.col("need")))
     often = titles.select(F.explode("title_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("often"))
     rows = titles.withColumn("word", F.explode("title_words")).join(written(often, "title-words"), "word")
     keep = [c for c in titles.columns if c != "title_words"]
     rows = rows.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("w"))
-    rows = rows.withColumn("title_words", F.transform("w", lambda x: x["word"])).drop("w")
-    rows = written(rows.withColumn("need", need), "titles")
+    rows = written(rows.withColumn("title_words", F.transform("w", lambda x: x["word"])).drop("w"), "titles")
     by_word = rows.withColumn("word", F.explode(F.slice("title_words", 1, F.size("title_words") - F.col("need") + 1)))
     asked = refs.withColumn("word", F.explode("words"))
     shared = F.size(F.array_intersect("title_words", "words"))
@@ -69,6 +70,62 @@ def similar_titles(refs: DataFrame, titles: DataFrame, percent: int = round(100
     return pairs.withColumn("shared", shared).where(F.col("shared") >= F.col("need")).drop("word", "need")
 
 
+def _needed(size: Column, percent: int) -> Column:
+    return F.floor((size * percent + 99) / 100).cast("int")
+
+
+RARE = 20  # a word of so many titles at most is looked up title by title
+
+
+def most_similar_title(refs: DataFrame, titles: DataFrame, key: list[str], percent: int = round(100 * fixed.TITLE_RATIO_MIN)) -> DataFrame:
+    """(*key, ntitle): the title with the greatest share of its words in the citation (*key, words), at least
+    ``percent`` in a hundred; then the longest, then the last one. ``titles`` has one row per ``ntitle``, and
+    ``title_words``.
+
+    Titles that share a rare word with the citation are few and each is looked at. The share of any other
+    follows from its frequent words and its number of words, so of titles alike in both only the best one is
+    kept. It meets the distinct sets of frequent words of the citations, not each citation: titles that differ
+    in a number alone make no pair of their own.
+    """
+    titles = titles.select("ntitle", "title_words", F.size("title_words").alias("n")).where("n > 0")
+    word = F.explode("title_words").alias("word")
+    often = written(titles.select(word).groupBy("word").agg(F.count(F.lit(1)).alias("often")), "title-words")
+    own = titles.select("ntitle", "n", word).join(often, "word")
+    own = own.groupBy("ntitle", "n").agg(
+        F.collect_list(F.when(F.col("often") <= RARE, F.col("word"))).alias("rare"),
+        F.sort_array(F.collect_list(F.when(F.col("often") > RARE, F.col("word")))).alias("title_words"))
+    own = written(own.withColumn("need", _needed(F.col("n"), percent)), "titles")
+    asked = refs.select(*key, "words")
+    best = F.struct("share", F.length("ntitle"), "ntitle")
+
+    by_word = own.select("ntitle", "n", "need", F.concat("rare", "title_words").alias("all"), F.explode("rare").alias("word"))
+    near = asked.withColumn("word", F.explode("words")).join(by_word, "word")
+    near = near.withColumn("shared", F.size(F.array_intersect("all", "words"))).where("shared >= need")
+    near = near.select(*key, "ntitle", (F.col("shared") / F.col("n")).alias("share"))
+
+    alike = own.where(F.size("title_words") >= F.col("need")).groupBy("title_words", "n").agg(
+        F.max_by("ntitle", F.struct(F.length("ntitle"), "ntitle")).alias("ntitle"))
+    frequent = (asked.select(*key, F.explode("words").alias("word")).join(often.where(F.col("often") > RARE).select("word"), "word")
+                .groupBy(*key).agg(F.sort_array(F.collect_list("word")).alias("words")))
+    frequent = written(frequent, "frequent")
+    pairs = similar_titles(frequent.select("words").distinct(), alike, percent, F.col("n"))
+    pairs = pairs.withColumn("share", F.col("shared") / F.col("n")).groupBy("words").agg(F.max(best).alias("best"))
+    common = frequent.join(pairs, "words").select(*key, "best.ntitle", "best.share")
+    return near.unionByName(common).groupBy(*key).agg(F.max_by("ntitle", best).alias("ntitle"))
+
+
+def verbatim_titles(refs: DataFrame, titles: DataFrame, key: list[str]) -> DataFrame:
+    """(*key, ntitle) where the words of a title stand in ``nraw`` in a row. Both hold words with one space
+    between; runs of as many words as some title has are matched by equality."""
+    count = F.size(F.split("ntitle", " "))
+    titles = titles.select("ntitle").where("ntitle <> ''")
+    lengths = titles.agg(F.collect_set(count)).first()[0]
+    sizes = F.array(*(F.lit(n) for n in sorted(lengths))).cast("array<int>")
+    rows = refs.select(*key, F.split("nraw", " ").alias("w")).select(*key, "w", F.explode(sizes).alias("n")).where(F.col("n") <= F.size("w"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))
+    return rows.select(*key, F.explode(F.array_distinct(runs)).alias("ntitle")).join(titles, "ntitle").select(*key, "ntitle")
+
+
 def doi_join(refs: DataFrame, works: DataFrame) -> DataFrame:
     """Adds the registered work of every citation: (work_doi, work_title, work_family, work_year).
 
@@ -85,25 +142,22 @@ def doi_join(refs: DataFrame, works: DataFrame) -> DataFrame:
     direct = (refs.where("doi is not null").withColumn("low", F.lower("doi"))
               .join(by_doi, "low", "left").drop("low"))
 
-    rest = (refs.where("doi is null").withColumn("nraw", _words(F.col("raw")))
-            .withColumn("nfamily", plain_ascii(F.coalesce("author", F.lit("")))))
-    per_title = first_per_key(w.select("ntitle", "work"), ["ntitle"], [F.col("work.work_doi")])
+    rest = written(refs.where("doi is null").withColumn("nraw", _words(F.col("raw")))
+                   .withColumn("nfamily", plain_ascii(F.coalesce("author", F.lit("")))), "without-doi")
+    per_title = written(first_per_key(w.select("ntitle", "work"), ["ntitle"], [F.col("work.work_doi")]), "per-title")
     per_all = first_per_key(w.select("ntitle", "nfamily", "year", "work"), ["ntitle", "nfamily", "year"], [F.col("work.work_doi")])
     per_author = first_per_key(w.select("nfamily", "year", "work"), ["nfamily", "year"], [F.col("work.work_doi")])
     distinct_words = lambda c: F.array_remove(F.array_distinct(F.split(c, " ")), "")
-    pairs = similar_titles(rest.select("doc_id", "pos", "nraw", distinct_words("nraw").alias("words")),
-                           per_title.select("ntitle", "work", distinct_words("ntitle").alias("title_words")))
     key = ["doc_id", "pos"]
-    long_title, verbatim = F.struct(F.length("ntitle"), "ntitle"), F.contains(F.concat(F.lit(" "), "nraw", F.lit(" ")),
-                                                                              F.concat(F.lit(" "), "ntitle", F.lit(" ")))
-    pairs = written(pairs.select(*key, "ntitle", "work", (F.col("shared") / F.size("title_words")).alias("share"), verbatim.alias("verbatim"))
-                    .dropDuplicates([*key, "ntitle"]), "pairs")
-    similar = pairs.groupBy(*key).agg(
-        F.max_by(F.when(F.col("verbatim"), F.col("work")), F.when(F.col("verbatim"), long_title)).alias("titled"),
-        F.max_by("work", F.struct("share", F.length("ntitle"), "ntitle")).alias("similar"))
-    mine = pairs.where("verbatim").select(*key, "ntitle").join(rest.select(*key, "nfamily", "year"), key)
-    exact = mine.join(per_all, ["ntitle", "nfamily", "year"]).groupBy(*key).agg(F.max_by("work", long_title).alias("exact"))
-    found = (rest.join(exact, key, "left").join(similar, key, "left")
+    similar = most_similar_title(rest.select(*key, distinct_words("nraw").alias("words")),
+                                 per_title.select("ntitle", distinct_words("ntitle").alias("title_words")), key)
+    similar = similar.join(per_title, "ntitle").select(*key, F.col("work").alias("similar"))
+    long_title = F.struct(F.length("ntitle"), "ntitle")
+    mine = written(verbatim_titles(rest, per_title, key).join(per_title, "ntitle"), "verbatim")
+    titled = mine.groupBy(*key).agg(F.max_by("work", long_title).alias("titled"))
+    exact = (mine.drop("work").join(rest.select(*key, "nfamily", "year"), key).join(per_all, ["ntitle", "nfamily", "year"])
+             .groupBy(*key).agg(F.max_by("work", long_title).alias("exact")))
+    found = (rest.join(exact, key, "left").join(titled, key, "left").join(similar, key, "left")
              .join(per_author.withColumnRenamed("work", "by_author"), ["nfamily", "year"], "left"))
     found = found.withColumn("work", F.coalesce("exact", "titled", "similar", "by_author"))
     return direct.unionByName(found.select(*direct.columns)).select(*refs.columns, "work.*")

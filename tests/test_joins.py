@@ -24,6 +24,41 @@ def test_all_similar_titles_are_found(spark):
     assert {(x.rid, x.tid, x.shared) for x in got.collect()} == want and len(want) > 200
 
 
+@pytest.mark.parametrize("rare", [0, 3, 1000])
+def test_the_most_similar_title(spark, monkeypatch, rare):
+    monkeypatch.setattr(C, "RARE", rare)
+    rng = random.Random(7)
+    vocabulary = ["the", "of", "a"] * 20 + [f"w{i}" for i in range(40)]
+    titles = {" ".join(rng.choices(vocabulary, k=rng.randint(1, 9))) for _ in range(300)}
+    titles |= {f"study of the {w} {k}" for w in ("ring", "bolt") for k in range(40)}
+    refs = [(i, " ".join(rng.choices(vocabulary, k=3) + rng.choice(sorted(titles)).split() + rng.choices(vocabulary, k=2))) for i in range(150)]
+    refs += [(1000 + k, f"x study of one {w} {k}") for k in range(50) for w in ("ring",)] + [(2000, ""), (2001, "nothing here")]
+    r = spark.createDataFrame(refs, "rid long, nraw string").withColumn("words", F.array_remove(F.array_distinct(F.split("nraw", " ")), ""))
+    t = spark.createDataFrame([(x,) for x in titles], "ntitle string").withColumn("title_words", F.array_distinct(F.split("ntitle", " ")))
+    share = lambda x, c: len(set(x.split()) & set(c.split())) / len(set(x.split()))
+    want = {i: max((share(x, c), len(x), x) for x in titles) for i, c in refs}
+    got = {x.rid: x.ntitle for x in C.most_similar_title(r, t, ["rid"]).collect()}
+    assert got == {i: w[2] for i, w in want.items() if w[0] >= 0.55}
+    inside = {(i, x) for i, c in refs for x in titles if f" {x} " in f" {c} "}
+    assert {(x.rid, x.ntitle) for x in C.verbatim_titles(r, t, ["rid"]).collect()} == inside and len(inside) > 150
+
+
+def test_titles_alike_but_for_a_number_make_few_pairs(spark, monkeypatch):
+    """Titles and citations that differ in a number meet as one set of words, not each with each."""
+    met, plain = [], C.similar_titles
+
+    def counted(refs, titles, *more):
+        met.append((refs.count(), titles.count()))
+        return plain(refs, titles, *more)
+
+    monkeypatch.setattr(C, "similar_titles", counted)
+    words = lambda c: F.split(c, " ").alias
+    r = spark.range(300).select(F.col("id").alias("rid"), F.concat(F.lit("a study of the ring "), "id").alias("c")).select("rid", words("c")("words"))
+    t = spark.range(400).select(F.concat(F.lit("study of the ring "), "id").alias("ntitle")).select("ntitle", words("ntitle")("title_words"))
+    got = {x.rid: x.ntitle for x in C.most_similar_title(r, t, ["rid"]).collect()}
+    assert got == {i: f"study of the ring {i}" for i in range(300)} and met == [(1, 1)]
+
+
 def test_a_title_that_is_not_verbatim(spark):
     works = spark.createDataFrame([("10.1/a", "Deep learning for protein folding", "Li", "2020"), ("10.1/b", "Deep sea fishing", "Mar", "2019"),
                                    ("10.1/c", "Protein folding", "Li", "2020")], "doi string, title string, family string, year string")
