@@ -217,12 +217,14 @@ def term_overlap_search(texts: DataFrame, queries: DataFrame, k: int) -> DataFra
     return top_per_group(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
 
 
-def prefix_hits(texts: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id) where the text holds the six-letter start of a word of the question."""
-    starts = queries.select("query_id", F.explode(TX.prefixes(F.col("text"))).alias("needle"))
-    low = texts.select("id", F.lower("text").alias("text"))
-    hits = substring_hits(low, starts.select("needle"))
-    return hits.join(starts, "needle").select("query_id", "id").distinct()
+def question_starts(queries: DataFrame) -> DataFrame:
+    """(query_id, needle): the six-letter starts of the words of a question."""
+    return queries.select("query_id", F.explode(TX.prefixes(F.col("text"))).alias("needle")).distinct()
+
+
+def start_hits(texts: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, needle) where the text holds a word start, once for all questions that ask for it."""
+    return substring_hits(texts.select("id", F.lower("text").alias("text")), starts.select("needle"))
 
 
 def prefix_text(kos: DataFrame, with_people: bool = True) -> DataFrame:
@@ -233,8 +235,13 @@ def prefix_text(kos: DataFrame, with_people: bool = True) -> DataFrame:
 
 
 def prefix_search(kos: DataFrame, queries: DataFrame, k: int, with_people: bool = True) -> DataFrame:
-    """Newest objects that match a word start of the question."""
-    hits = prefix_hits(prefix_text(kos, with_people), queries).join(kos.select("id", "date"), "id")
+    """Newest objects that match a word start of the question. The newest ``k`` of a question are among the
+    newest ``k`` of its word starts, so only those meet the questions."""
+    starts = question_starts(queries)
+    dated = prefix_text(kos.withColumn("id", F.struct("date", "id")), with_people)
+    hits = start_hits(dated, starts).select("needle", "id.date", "id.id")
+    hits = top_per_group(hits, ["needle"], [newest(), F.asc("id")], k, "__r").drop("__r")
+    hits = hits.join(starts, "needle").select("query_id", "id", "date").distinct()
     return top_per_group(hits, ["query_id"], [newest(), F.asc("id")], k)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import fixed
 from ..operators.graph import incident_edges
 from ..operators.retrieval import (best_text_decision, best_texts, bm25_documents, classify_intent, decision_neighbours, doc_text,
-                                   ko_text, newest, prefix_hits, prefix_text, query_entities, same_source_items)
+                                   ko_text, newest, prefix_text, query_entities, question_starts, same_source_items, start_hits)
 from ..operators.scale import contains_pairs, first_per_key, top_per_group
 from ..session import materialize
 
@@ -110,12 +110,18 @@ def topic_hits(topics: DataFrame, texts: DataFrame, start_texts: DataFrame, item
     text, wish): by text, else by word starts, newest first, else the newest of the area that the topic wishes."""
     key = ["query_id", *within]
     every = F.lit(None).cast("string")
-    places = items.select("id", *within, F.explode(F.array_distinct(F.array(every, "area"))).alias("wish"))  # once for all topics, once for its area
+    places = items.select("id", "date", *within, F.explode(F.array_distinct(F.array(every, F.col("area")))).alias("wish"))  # once for all topics, once for its area
     asked = topics.withColumn("wish", F.coalesce("wish", F.lit("")))
-    text = materialize(best_texts(texts, asked, k, places.withColumn("wish", F.coalesce("wish", F.lit(""))), ["wish"], within, "ord")
+    text = materialize(best_texts(texts, asked, k, places.drop("date").withColumn("wish", F.coalesce("wish", F.lit(""))), ["wish"], within, "ord")
                        .select(*key, "id", "ord"))
-    starts = (prefix_hits(start_texts, topics).join(items, "id").join(topics.select("query_id", "wish"), "query_id")
-              .where("wish is null or wish <=> area").select(*key, "id", (-F.datediff("date", F.lit("1970-01-01"))).alias("ord")))
+    asked_starts = question_starts(topics).join(topics.select("query_id", "wish"), "query_id")
+    # of each word start only as many as a topic can need, newest first
+    starts = start_hits(start_texts, asked_starts).join(places, "id").withColumn(
+        "ord", -F.datediff("date", F.lit("1970-01-01")))
+    starts = top_per_group(starts, ["needle", *within, "wish"], [F.asc("ord"), F.asc("id")], k, "__r")
+    starts = starts.withColumnRenamed("needle", "__needle").withColumnRenamed("wish", "__wish")
+    starts = starts.join(asked_starts, (F.col("__needle") == F.col("needle")) & F.col("__wish").eqNullSafe(F.col("wish")))
+    starts = starts.select(*key, "id", "ord").distinct()
     left = lambda more, have: more.join(have.select(*key).distinct(), key, "left_anti")
     starts = materialize(top_per_group(left(starts, text), key, [F.asc("ord"), F.asc("id")], k, "__r").drop("__r"))
     hits = text.unionByName(starts)

@@ -1,5 +1,6 @@
 """Ranked search with score bounds: exact, and without a pair for every text that holds a word."""
 
+import datetime as dt
 import math
 import random
 import re
@@ -81,3 +82,22 @@ def test_a_word_of_all_texts_makes_few_pairs(spark, alike):
     _, pairs = R.contenders(index, R.asked_terms(index, terms), k, None, [], [])
     assert pairs.count() <= 26 * k * 50  # at most k texts for each way to hold the asked words; the product is 200000
     assert R.best_texts(texts, queries, k).count() == 50 * k
+
+
+def test_word_starts_keep_the_newest(spark, monkeypatch):
+    """Every object holds a start: the newest are exact and a question meets few objects."""
+    rng = random.Random(3)
+    words = ["pedido", "urgente", "factura", "Pedidos", "contrato"]
+    kos = [(f"k{i:03}", "pedido x", " ".join(rng.choices(words, k=2)), None, [], dt.date(2026, 1, 1 + rng.randint(0, 20)) if i % 9 else None) for i in range(400)]
+    asked = [(f"q{i}", " ".join(rng.choices(words + ["nada"], k=2))) for i in range(60)]
+    df = spark.createDataFrame(kos, "id string, title string, statement string, project string, people array<string>, date date")
+    rows = []
+    plain = R.top_per_group
+    monkeypatch.setattr(R, "top_per_group", lambda d, group, *more: rows.append(d.count() if group == ["query_id"] else 0) or plain(d, group, *more))
+    got = {(r.query_id, r["rank"]): r.id for r in R.prefix_search(df, spark.createDataFrame(asked, "query_id string, text string"), 5).collect()}
+    want = {}
+    for q, text in asked:
+        hits = [k for k in kos if any(w.lower()[:6] in f"{k[1]} {k[2]}".lower() for w in text.split() if len(w) > 3)]
+        hits.sort(key=lambda k: (-(k[5] or dt.date(1, 1, 1)).toordinal(), k[0]))
+        want |= {(q, n + 1): k[0] for n, k in enumerate(hits[:5])}
+    assert got == want and max(rows) <= 60 * 2 * 5
