@@ -164,27 +164,32 @@ def normalise_extractor_output(outputs: DataFrame, docs: DataFrame, title_chars:
              .withColumn("id", entity_id(F.col("name"), F.col("entity_type"))))
     entities = (named.select("id", "name", "entity_type").distinct()
                 .withColumn("aliases", empty_strings()).select(*ENTITY_COLUMNS))
-    rels = (parsed.select("source_doc", F.explode("relationships").alias("r"))
-            .select("source_doc", F.col("r.source").alias("source"), F.col("r.target").alias("target"),
-                    F.coalesce("r.rel_type", F.lit("related_to")).alias("rel_type"))
-            .join(head.select("source_doc", "date"), "source_doc"))
-    return _finish(kos), entities, remap_extracted_ids(rels, named)
+    return _finish(kos), entities, remap_extracted_ids(parsed, head.select("source_doc", "date"))
 
 
-def remap_extracted_ids(rels: DataFrame, named: DataFrame) -> DataFrame:
+def remap_extracted_ids(parsed: DataFrame, dates: DataFrame) -> DataFrame:
     """Entity names inside a document to ids; an edge with an unknown end is dropped.
 
-    A name listed twice in one document means its last listing.
+    A name listed twice in one document means its last listing. ``parsed`` (source_doc, entities,
+    relationships) and ``dates`` (source_doc, date) are each grouped by document once, and the names of a
+    document are looked up in its own row.
     """
-    index = named.groupBy("source_doc", "name").agg(F.max_by("id", "n").alias("id"))
-    src = index.select("source_doc", F.col("name").alias("source"), F.col("id").alias("source_id"))
-    dst = index.select("source_doc", F.col("name").alias("target"), F.col("id").alias("target_id"))
-    return (rels.join(src, ["source_doc", "source"]).join(dst, ["source_doc", "target"])
+    no_names, no_rels = (F.array().cast(parsed.schema[c].dataType) for c in ("entities", "relationships"))
+    listed = F.transform(F.coalesce("entities", no_names), lambda e, n: F.struct(
+        n.alias("n"), e["name"].alias("name"), entity_id(e["name"], F.coalesce(e["entity_type"], F.lit("concept"))).alias("id")))
+    held = parsed.groupBy("source_doc").agg(F.sort_array(F.flatten(F.collect_list(listed))).alias("names"),
+                                            F.flatten(F.collect_list(F.coalesce("relationships", no_rels))).alias("rels"))
+    known = lambda name: F.try_element_at(F.filter("names", lambda x: x["name"] == name), F.lit(-1))["id"]
+    ends = F.transform("rels", lambda r: F.struct(known(r["source"]).alias("source_id"), known(r["target"]).alias("target_id"),
+                                                  F.coalesce(r["rel_type"], F.lit("related_to")).alias("rel_type")))
+    rows = held.join(dates.groupBy("source_doc").agg(F.min("date").alias("date")), "source_doc")
+    rows = rows.select("source_doc", "date", F.explode(F.array_distinct(ends)).alias("r")).select("source_doc", "date", "r.*")
+    return (rows.where("source_id is not null and target_id is not null")
             .withColumn("id", natural_id("rel", F.col("source_id"), F.col("target_id"),
                                          F.col("rel_type"), F.col("source_doc")))
             .withColumn("valid_from", F.col("date")).withColumn("valid_to", F.lit(None).cast("date"))
             .withColumn("confidence", F.lit("probable"))
-            .select(*EDGE_COLUMNS).dropDuplicates(["source_id", "target_id", "rel_type", "source_doc"]))
+            .select(*EDGE_COLUMNS))
 
 
 def allowed_areas(requested: DataFrame, never: DataFrame) -> DataFrame:

@@ -300,6 +300,22 @@ def test_enrichment_labels_areas_and_keeps_stored_entities(spark):
         old = (got["kos"], None, got["relationships"])
 
 
+def test_names_are_looked_up_inside_their_document(spark):
+    """The last listing of a name counts, unknown and null ends are dropped, and few shuffles are planned."""
+    kind = "source_doc string, " + X.EXTRACTOR_OUTPUT
+    rel = lambda s, t, k=None: (s, t, k)
+    rows = [("a", None, [("Ana", "person"), ("P", None), ("Ana", "project"), (None, "x")], [rel("Ana", "P", "leads"), rel("Ana", "P", "leads"), rel("Ana", "B"), rel(None, "P")]),
+            ("b", None, [("B", "person")], [rel("B", "B"), rel("Ana", "B")]), ("c", None, None, [rel("B", "B")]), ("d", None, [("B", "x")], None),
+            ("e", None, [("B", None)], [rel("B", "B")])]
+    dates = spark.createDataFrame([(x, dt.date(2026, 1, 1)) for x in "abcd"] + [("a", dt.date(2026, 1, 1))], "source_doc string, date date")
+    edges = X.remap_extracted_ids(spark.createDataFrame(rows, kind), dates)
+    ent = lambda n, k: spark.range(1).select(X.entity_id(F.lit(n), F.lit(k))).first()[0]
+    got = sorted((r.source_doc, r.source_id, r.target_id, r.rel_type) for r in edges.collect())
+    assert got == [("a", ent("Ana", "project"), ent("P", "concept"), "leads"), ("b", ent("B", "person"), ent("B", "person"), "related_to")]
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") <= 2
+
+
 def test_a_task_that_left_the_plan_leaves_the_table(spark):
     row = "file string, sheet string, row int, activity string, phase string, week int, start date, due date, status string, responsible string, deliverable string, priority string"
     plans = spark.createDataFrame([("f", "doc-f", dt.date(2026, 1, 1), "p", "P", ["Ana"], "a")],
