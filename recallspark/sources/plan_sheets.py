@@ -8,7 +8,7 @@ from ..functions import fixed
 from ..functions.text import empty_strings, parse_flexible_date, strip
 from ..schemas import KO_COLUMNS
 from ..operators.tables import delete_derived, upsert_kos
-from ..session import materialize
+from ..session import materialize, written
 
 
 def load_project_dim(raw: DataFrame) -> DataFrame:
@@ -54,6 +54,7 @@ def scan_plan_rows(sheets: DataFrame, starts: DataFrame | None = None) -> DataFr
     cols = materialize(sheets.where(hinted).select("file", "sheet", "row", header_columns(F.col("cells")).alias("cols")))
     heads = (cols.where(is_header(F.col("cols"))).groupBy("file", "sheet")
              .agg(F.min_by("cols", "row").alias("cols"), F.min("row").alias("head_row")))
+    heads = written(heads, "heads")  # one row per sheet, of known size: the cells are not shuffled by their few sheets
     clean = sheets.withColumn("cells", F.transform("cells", strip))
     rows = clean.join(heads, ["file", "sheet"]).where(F.col("row") > F.col("head_row"))
 
@@ -77,7 +78,7 @@ def scan_plan_rows(sheets: DataFrame, starts: DataFrame | None = None) -> DataFr
     title_only = (F.upper(a) == a) & (F.lower(a) != a) & (F.size(F.split(a, r"\s+")) > 2)
     out = out.where(~title_only)
     if starts is not None:
-        out = out.join(starts, "file", "left")
+        out = out.join(written(starts, "starts"), "file", "left")
         by_week = F.when(F.col("week") > 0, F.date_add("plan_start", F.col("week") * 7 - 1))
         out = out.withColumn("due", F.coalesce("due", by_week)).drop("plan_start")
     return out
@@ -100,7 +101,7 @@ def import_plan_tasks(rows: DataFrame, plans: DataFrame) -> DataFrame:
 
     Ids follow from project, activity and week, so a second import gives the same rows.
     """
-    r = rows.join(plans, "file")
+    r = rows.join(written(plans, "plans"), "file")
     digest = F.substring(F.sha1(F.concat_ws("|", "project_id", "activity", F.coalesce(F.col("week").cast("string"), F.lit("None")))), 1, 12)
     tags = F.filter(F.array(F.col("phase"), F.concat(F.lit("prioridad:"), F.lower("priority"))), lambda x: x.isNotNull())
     own = F.coalesce("responsible", F.lit("")).isin("", "IP")
