@@ -112,9 +112,10 @@ def import_plan_tasks(rows: DataFrame, plans: DataFrame) -> DataFrame:
         F.when(own, F.col("people")).otherwise(empty_strings()).alias("people"), "project", "status",
         F.lit("confirmed").alias("confidence"), F.col("doc_id").alias("source_doc"), tags.alias("tags"),
         F.col("start").alias("valid_from"), F.col("due").alias("valid_to"), "area", "row")
-    # the last row of a repeated activity stays, as with replace-by-id
+    # the last row of a repeated activity stays, as with replace-by-id; dealt by id first, so that no task
+    # sorts all whole rows of its input before the shuffle
     packed = F.struct(*[c for c in KO_COLUMNS if c != "id"])
-    return out.groupBy("id").agg(F.max_by(packed, F.struct("row", "statement")).alias("k")).select("id", "k.*").select(*KO_COLUMNS)
+    return out.repartition("id").groupBy("id").agg(F.max_by(packed, F.struct("row", "statement")).alias("k")).select("id", "k.*").select(*KO_COLUMNS)
 
 
 def replace_plan(kos: DataFrame, edges: DataFrame, rows: DataFrame, plans: DataFrame) -> tuple[DataFrame, DataFrame]:

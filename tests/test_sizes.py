@@ -22,3 +22,13 @@ def test_cells_are_not_shuffled_by_sheet(spark):
     rows = PS.scan_plan_rows(*sheets(spark))
     assert "Exchange hashpartitioning" not in plan_of(rows)
     assert rows.count() == 60 and rows.where("due is null").isEmpty()
+
+
+def test_plan_tasks_are_sorted_after_they_are_dealt(spark):
+    """No task sorts the whole rows of its input; the last row of a repeated activity stays."""
+    rows = PS.scan_plan_rows(*sheets(spark))
+    plans = spark.createDataFrame([("p", "d", dt.date(2024, 1, 1), "x", "X", ["Luz"], "A")],
+                                  "file string, doc_id string, doc_date date, project_id string, project string, people array<string>, area string")
+    tasks = PS.import_plan_tasks(rows, plans)
+    assert plan_of(tasks).count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_COL" in plan_of(tasks)
+    assert tasks.count() == 20
