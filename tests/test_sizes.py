@@ -2,6 +2,10 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
+from recallspark.adapters import Tables
+from recallspark.catalog import streams as CS
 
 from recallspark.sources import plan_sheets as PS
 
@@ -32,3 +36,14 @@ def test_plan_tasks_are_sorted_after_they_are_dealt(spark):
     tasks = PS.import_plan_tasks(rows, plans)
     assert plan_of(tasks).count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_COL" in plan_of(tasks)
     assert tasks.count() == 20
+
+
+def test_every_task_writes_its_own_part_of_a_stream(spark, tmp_path):
+    """The rows of many tasks are not gathered in four; each row comes back once, in few batches."""
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    t = Tables(spark, str(tmp_path))
+    for tasks, least in ((12, 12), (1, 4)):
+        stream = CS._parts(t, spark.range(0, 1000, 1, tasks), "numbers", "lineitem")
+        kept = CS._drain(t, stream.withColumn("file", F.input_file_name()), "kept")
+        sizes = [r["n"] for r in kept.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(sizes) == 1000 == kept.select("id").distinct().count() and len(sizes) >= least and max(sizes) <= 250
