@@ -412,7 +412,7 @@ def cited_documents(t: Tables) -> DataFrame:
 
 def _snapshot(t: Tables) -> dict[str, DataFrame]:
     path = run_dir(t.spark, "snapshot")
-    SN.export_snapshot(SN.snapshot_tables(t.docs(), t.kos(), t.entities(), t.edges(), include_bodies=False), path)
+    SN.export_memory(t.docs(), t.kos(), t.entities(), t.edges(), path, include_bodies=False)
     return SN.read_snapshot(t.spark, path)
 
 

@@ -32,6 +32,17 @@ def export_snapshot(tables: dict[str, DataFrame], path: str, fmt: str = "parquet
         df.write.mode("overwrite").format(fmt).save(f"{path}/{name}")
 
 
+def export_memory(docs: DataFrame, kos: DataFrame, entities: DataFrame, edges: DataFrame, path: str,
+                  include_bodies: bool = True, fmt: str = "parquet") -> None:
+    """The snapshot of the memory tables. Objects, entities and relationships are exported first; nodes,
+    links and the cited documents follow from the exported rows, so each table is made once."""
+    stored = {"entities": entities, "relationships": edges, "kos": kos}
+    export_snapshot(stored, path, fmt)
+    read = {name: docs.sparkSession.read.format(fmt).schema(df.schema).load(f"{path}/{name}") for name, df in stored.items()}
+    tables = snapshot_tables(docs, read["kos"], read["entities"], read["relationships"], include_bodies)
+    export_snapshot({name: df for name, df in tables.items() if name not in stored}, path, fmt)
+
+
 def read_snapshot(spark: SparkSession, path: str, schemas: dict[str, str] | None = None,
                   fmt: str = "parquet") -> dict[str, DataFrame]:
     """The exported tables; every job runs on them as on the live ones."""

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from recallspark.adapters import Tables
 from recallspark.catalog import streams as CS
 
-from recallspark.sources import plan_sheets as PS
+from recallspark.operators import tables as TB
+from recallspark.sinks import BucketTable
+from recallspark.sources import plan_sheets as PS, snapshot as SN
 
 
 def plan_of(df):
@@ -47,3 +49,38 @@ def test_every_task_writes_its_own_part_of_a_stream(spark, tmp_path):
         kept = CS._drain(t, stream.withColumn("file", F.input_file_name()), "kept")
         sizes = [r["n"] for r in kept.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()]
         assert sum(sizes) == 1000 == kept.select("id").distinct().count() and len(sizes) >= least and max(sizes) <= 250
+
+
+def test_stored_rows_are_written_where_they_are(spark, tmp_path):
+    """A bucket is not gathered in one task, and nothing is written beside the table."""
+    rows = spark.range(0, 400, 1, 4).select(F.col("id").cast("string").alias("id"), F.lit("old").alias("area"))
+    table = BucketTable.create(rows, str(tmp_path / "t"), ["id"], 2)
+    files = lambda: {b.name: len(list(b.glob("*.parquet"))) for b in (tmp_path / "t").glob("__bucket=*")}
+    assert set(files()) == {"__bucket=0", "__bucket=1"} and min(files().values()) >= 4
+    seen = []
+
+    def classify(docs):
+        seen.append(docs)
+        return docs.withColumn("area", F.when(F.col("id").cast("int") < 300, F.lit("new")))
+
+    assert TB.assign_areas_into(table, classify) == [0, 1]
+    assert sorted((r.area or "", int(r.id)) for r in table.rows().collect()) == sorted([("new", i) for i in range(300)] + [("", i) for i in range(300, 400)])
+    assert "Exchange hashpartitioning" not in plan_of(classify(seen[-1])) and TB.assign_areas_into(table, classify) == []
+
+
+def test_a_snapshot_makes_each_table_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def once(x):
+        made.add(1)
+        return x
+
+    edges = spark.createDataFrame([("e1", "a", "b"), ("e2", "a", "c")], "id string, source_id string, target_id string").select(
+        "id", F.udf(once)("source_id").alias("source_id"), "target_id", F.lit("r").alias("rel_type"), F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    entities = spark.createDataFrame([("a", "A", "person"), ("b", "B", "person"), ("d", "D", "person")], "id string, name string, entity_type string")
+    docs = spark.createDataFrame([("d1", "x"), ("d2", "y")], "id string, body string")
+    SN.export_memory(docs, spark.createDataFrame([("k", "d1")], "id string, source_doc string"), entities, edges, str(tmp_path / "s"), include_bodies=False)
+    got = SN.read_snapshot(spark, str(tmp_path / "s"))
+    assert made.value == 2 and set(got) == set(SN.TABLES)
+    assert sorted((r.id, r.degree) for r in got["nodes"].collect()) == [("a", 2), ("b", 1), ("d", 0)]
+    assert got["links"].count() == got["relationships"].count() == 2 and [tuple(r) for r in got["documents"].collect()] == [("d1", "")]
