@@ -209,9 +209,8 @@ def hybrid_search(t: Tables) -> DataFrame:
 # -- enrichment ------------------------------------------------------------------------------
 
 
-def _outputs(t: Tables) -> DataFrame:
-    """Extractor output as a table: one JSON text per order document, built from its columns."""
-    n = t.notes()
+def _outputs(n: DataFrame) -> DataFrame:
+    """Extractor output as a table: one JSON text per note, built from its columns."""
     fact = F.struct(F.lit("fact").alias("ko_type"), F.concat(F.lit("Dato "), "id").alias("title"), F.col("body").alias("statement"),
                     F.col("people"), F.lit(None).cast("string").alias("project"), F.lit("tentative").alias("confidence"),
                     F.array(F.lit("x")).alias("tags"))
@@ -229,13 +228,13 @@ def _outputs(t: Tables) -> DataFrame:
 
 @query
 def normalise_extractor_output(t: Tables) -> DataFrame:
-    kos, _, _ = X.normalise_extractor_output(_outputs(t), t.notes())
+    kos, _, _ = X.normalise_extractor_output(_outputs(t.notes()), t.notes())
     return kos.select("source_doc", "ko_type", "title", "statement", "people", "project", "confidence")
 
 
 @query
 def remap_extracted_ids(t: Tables) -> DataFrame:
-    _, _, edges = X.normalise_extractor_output(_outputs(t), t.notes())
+    _, _, edges = X.normalise_extractor_output(_outputs(t.notes()), t.notes())
     return edges.select("source_id", "target_id", "rel_type", "source_doc", "valid_from")
 
 
@@ -257,10 +256,11 @@ def pending_enrichment(t: Tables) -> DataFrame:
 
 @query
 def replace_with_enriched(t: Tables) -> DataFrame:
-    notes = t.notes()
-    kos = X.extract_marked_lines(notes)
-    out = X.replace_with_enriched(notes.where("doc_type = 'meeting'"), kos, X.link_people_projects(notes),
-                                  X.extract_entities(notes), _outputs(t).join(notes.where("doc_type = 'meeting'").select("id"), "id", "left_semi"), "Model")
+    """The notes are written once; the extractor's output is that of the meetings among them."""
+    notes = t.written("notes")
+    meetings = notes.where("doc_type = 'meeting'")
+    out = X.replace_with_enriched(meetings, X.extract_marked_lines(notes), X.link_people_projects(notes), X.extract_entities(notes),
+                                  _outputs(meetings), "Model")
     counts = out["kos"].groupBy("ko_type").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("ko:"), "ko_type").alias("what"), "n")
     rels = out["relationships"].groupBy("rel_type").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("rel:"), "rel_type").alias("what"), "n")
     gone = out["removed"].select(F.concat(F.lit("removed:"), "what").alias("what"), F.col("removed").alias("n"))

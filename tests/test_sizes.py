@@ -5,9 +5,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from recallspark.adapters import Tables
-from recallspark.catalog import streams as CS
+from recallspark.catalog import search as CQ, streams as CS
 
-from recallspark.operators import tables as TB
+from recallspark.operators import extract as X, tables as TB
 from recallspark.sinks import BucketTable
 from recallspark.sources import plan_sheets as PS, snapshot as SN
 
@@ -84,3 +84,36 @@ def test_a_snapshot_makes_each_table_once(spark, tmp_path):
     assert made.value == 2 and set(got) == set(SN.TABLES)
     assert sorted((r.id, r.degree) for r in got["nodes"].collect()) == [("a", 2), ("b", 1), ("d", 0)]
     assert got["links"].count() == got["relationships"].count() == 2 and [tuple(r) for r in got["documents"].collect()] == [("d1", "")]
+
+
+def shuffles(df):
+    return plan_of(df).split("Initial Plan")[0].count("Exchange hashpartitioning")
+
+
+def test_links_are_dealt_by_document_once(spark):
+    """Links that meet documents afterwards are not dealt out again; a person named twice is one link."""
+    docs = spark.createDataFrame([("d1", ["Ana", "Ana", None, ""], "P", dt.date(2026, 1, 1)), ("d1", ["Ana"], "P", dt.date(2026, 1, 1)), ("d2", ["Ana"], None, None)],
+                                 "id string, people array<string>, project string, date date")
+    links = X.link_people_projects(docs)
+    assert links.count() == 2 == links.select("id").distinct().count()
+    spread = spark.range(0, 20, 1, 4).select(F.concat(F.lit("d"), F.col("id") % 3).alias("id"), F.array(F.lit("Ana")).alias("people"), F.lit("P").alias("project"),
+                                             F.lit(dt.date(2026, 1, 1)).alias("date"))
+    gone = spark.range(0, 9, 1, 3).select(F.concat(F.lit("d"), F.col("id")).alias("source_doc"))
+    links = X.link_people_projects(spread).hint("merge")
+    assert links.count() == 3 and shuffles(links.join(gone, "source_doc", "left_anti")) == 2
+
+
+def test_enriched_notes_are_made_once(spark):
+    """No part of the swap joins orders and line items again."""
+    out = CQ.replace_with_enriched(Tables(spark, "/root/testdata/sf0.001"))
+    assert "lineitem.parquet" not in plan_of(out) and out.where("what like 'removed:%'").count() == 2
+
+
+def test_rows_to_delete_and_to_keep_come_from_one_join(spark):
+    kos = spark.createDataFrame([("a", "d1"), ("b", "d2"), ("c", None)], "id string, source_doc string")
+    gone = spark.createDataFrame([("d1",), ("d1",), (None,)], "id string")
+    left, edges, removed = TB.delete_derived(kos, kos, gone)
+    for df in (left, edges):
+        assert df.columns == kos.columns and sorted(r.id for r in df.collect()) == ["b", "c"]
+    assert {r.what: r.removed for r in removed.collect()} == {"kos": 1, "relationships": 1}
+    assert "LeftSemi" not in plan_of(removed) and TB.delete_derived(left, edges, gone)[2].isEmpty()
