@@ -148,7 +148,9 @@ def normalise_extractor_output(outputs: DataFrame, docs: DataFrame, title_chars:
     parsed = (outputs.withColumn("p", F.from_json(strip_fences(F.col("output")), EXTRACTOR_OUTPUT))
               .select(F.col("id").alias("source_doc"), "p.*"))
     head = docs.select(F.col("id").alias("source_doc"), "date", F.col("project").alias("doc_project"))
-    kos = (parsed.select("source_doc", F.posexplode("knowledge_objects").alias("n", "k"))
+    # The outer explode keeps the optimizer from adding a size test, which would travel below the output's own
+    # expression and make and parse every text again.
+    kos = (parsed.select("source_doc", F.posexplode_outer("knowledge_objects").alias("n", "k")).where("n is not null")
            .join(head, "source_doc")
            .select(natural_id("ko", F.col("source_doc"), F.lit("x"), F.col("n")).alias("id"),
                    F.coalesce("k.ko_type", F.lit("fact")).alias("ko_type"),
@@ -159,7 +161,7 @@ def normalise_extractor_output(outputs: DataFrame, docs: DataFrame, title_chars:
                    F.coalesce("k.confidence", F.lit("probable")).alias("confidence"), "source_doc",
                    F.coalesce("k.tags", empty_strings()).alias("tags"),
                    F.lit(None).cast("string").alias("area")))
-    named = (parsed.select(F.explode("entities").alias("e"))
+    named = (parsed.select(F.explode_outer("entities").alias("e"))
              .where("e.name is not null")
              .select(F.col("e.name").alias("name"), F.coalesce("e.entity_type", F.lit("concept")).alias("entity_type"))
              .withColumn("id", entity_id(F.col("name"), F.col("entity_type"))))

@@ -117,3 +117,14 @@ def test_rows_to_delete_and_to_keep_come_from_one_join(spark):
         assert df.columns == kos.columns and sorted(r.id for r in df.collect()) == ["b", "c"]
     assert {r.what: r.removed for r in removed.collect()} == {"kos": 1, "relationships": 1}
     assert "LeftSemi" not in plan_of(removed) and TB.delete_derived(left, edges, gone)[2].isEmpty()
+
+
+def test_extractor_output_is_parsed_once(spark):
+    """A size test below the output's own expression would make and parse every text twice; null items stay, empty lists go."""
+    item = F.struct(F.lit("fact").alias("ko_type"), F.concat(F.lit("t"), F.col("id")).alias("title"))
+    docs = spark.range(4).select(F.col("id").cast("string").alias("id"), F.lit(dt.date(2026, 1, 1)).alias("date"), F.lit("P").alias("project"))
+    made = docs.select("id", F.to_json(F.struct(F.array(item).alias("knowledge_objects"))).alias("output"))
+    kos, _, _ = X.normalise_extractor_output(made, docs)
+    assert kos.count() == 4 and plan_of(kos).split("Initial Plan")[0].count("from_json") == 1
+    odd = spark.createDataFrame([("0", '{"knowledge_objects": [null, {}]}'), ("1", '{"knowledge_objects": []}'), ("2", "no"), ("3", None)], "id string, output string")
+    assert [r.ko_type for r in X.normalise_extractor_output(odd, docs)[0].collect()] == ["fact", "fact"]
