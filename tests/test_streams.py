@@ -7,10 +7,13 @@ import re
 
 from pyspark.sql import functions as F, types as T
 
+from recallspark.adapters import Tables
+from recallspark.catalog import streams as CS
 from recallspark.operators import tables as TB
 from recallspark.registry import all_queries
 from recallspark.sinks import BucketTable
 from recallspark.sources import accounts as AC
+from recallspark.sources.files import readable_files
 from recallspark.streaming import jobs as S
 
 
@@ -156,3 +159,40 @@ def test_old_mail_is_triaged_too(spark, tmp_path):
     mail = S.file_stream(spark, src, spark.read.parquet(src).schema)
     S.triage_each_batch(mail, people, pinned, now, out, str(tmp_path / "ck"))
     assert {r.id: r.score for r in spark.read.parquet(out).collect()} == {"new": 52, "old": 42}
+
+
+def test_new_files_are_listed_by_few_tasks(spark, tmp_path):
+    """Many folders of one file each: a run does not start a task for every folder, and the session keeps its setting."""
+    root = tmp_path / "files"
+    for i in range(300):
+        (root / f"key={i}").mkdir(parents=True)
+        (root / f"key={i}" / ("a.html" if i % 3 == 0 else "a.md")).write_text(f"<p>{i} &amp; &rarr;</p>" if i % 6 == 0 else f"<b>{i}</b> &lt;" if i % 3 == 0 else f"<{i}>")
+    before = spark.conf.get(S.LISTING)
+    sc = spark.sparkContext
+    sc.setJobGroup("listing", "")
+    with S.listed_together(spark):
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root)).count()
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= 4 * sc.defaultParallelism and spark.conf.get(S.LISTING) == before
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    S.read_new_files(spark, str(root), str(tmp_path / "out"), str(tmp_path / "ck"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    got = {int(r.path.split("key=")[1].split("/")[0]): r.body for r in out.collect()}
+    assert got == {i: f"{i} & →" if i % 6 == 0 else f"{i}\n<" if i % 3 == 0 else f"<{i}>" for i in range(300)}
+
+
+def test_files_are_opened_once(spark):
+    """Pages and plain texts come from one pass over the contents."""
+    raw = spark.range(3).select(F.concat(F.lit("d/"), F.col("id"), F.element_at(F.array(F.lit(".md"), F.lit(".htm"), F.lit(".exe")), (F.col("id") + 1).cast("int"))).alias("path"),
+                                F.current_timestamp().alias("modificationTime"), F.col("id").alias("length"), F.lit("<i>a</i> &copy; ").cast("binary").alias("content"))
+    text = readable_files(raw)
+    assert "Union" not in text._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.path: r.body for r in text.collect()} == {"d/0.md": "<i>a</i> &copy; ", "d/1.htm": "a\n©"}
+
+
+def test_odd_sources_come_back_from_their_files(spark, tmp_path):
+    rows = [(1, "a\nb", "s/1 =x", "en"), (0, "c", "s/1 =x", "en"), (1002, "d", None, "es"), (-3, "e", "ñ-n", None), (5, " ", "n", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.source, r.lang, r.block, r.length) for r in CS.incremental_files(Tables(spark, str(tmp_path))).collect()}
+    assert got == {("s/1 =x", "en", 0, 6), (None, "es", 1, 2), ("ñ-n", None, -1, 2)}
