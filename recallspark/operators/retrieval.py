@@ -141,6 +141,8 @@ def contenders(index: SearchIndex, asked: DataFrame, k: int, places: DataFrame |
       cannot reach it together, such as a word that all texts hold, make no pair.
     * The postings of the other terms lie in blocks of similar weight; a question meets only the blocks
       whose greatest weight, with all its other terms at their greatest, can reach the bound.
+    * What a text of those blocks adds up to is no more than its score, so the k-th greatest such sum is a
+      better bound, and only texts that can reach it are scored.
     """
     cell = [*scope, *within]
     held = index.postings.groupBy("id", "dl").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("held"))
@@ -166,7 +168,10 @@ def contenders(index: SearchIndex, asked: DataFrame, k: int, places: DataFrame |
     pairs = rows.join(wanted.select("query_id", *cell, "term", "block", "coef", "rest", "least"), [*cell, "term", "block"])
     pairs = pairs.groupBy("query_id", *cell, "id").agg(
         F.sum(F.col("coef") * F.col("weight")).alias("part"), F.first("rest").alias("rest"), F.first("least").alias("least"))
-    return rows, pairs.where("part + rest >= least").select("query_id", *cell, "id")
+    best = top_per_group(pairs.select("query_id", *cell, "part"), ["query_id", *cell], [F.desc("part")], k)
+    best = best.groupBy("query_id", *cell).agg(F.when(F.count(F.lit(1)) >= k, F.min("part") - SLACK).otherwise(0.0).alias("__kth"))
+    pairs = pairs.join(best, ["query_id", *cell]).where("part + rest >= greatest(least, __kth)")
+    return rows, pairs.select("query_id", *cell, "id")
 
 
 def best_texts(texts: DataFrame, queries: DataFrame, k: int, places: DataFrame | None = None, scope: list[str] | None = None,

@@ -101,3 +101,18 @@ def test_word_starts_keep_the_newest(spark, monkeypatch):
         hits.sort(key=lambda k: (-(k[5] or dt.date(1, 1, 1)).toordinal(), k[0]))
         want |= {(q, n + 1): k[0] for n, k in enumerate(hits[:5])}
     assert got == want and max(rows) <= 60 * 2 * 5
+
+
+def test_long_questions_meet_few_texts(spark):
+    """No single word of a question tells much; what several words add up to keeps most texts out."""
+    rng = random.Random(5)
+    strong = " " + " ".join(["ww1 ww2 ww3 ww4 ww5 ww6 ww7 ww8"] * 3)
+    texts = [(f"t{i:04}", " ".join(f"ww{rng.randint(0, 59)}" for _ in range(20 + i % 7)) + (strong if i % 100 == 0 else "")) for i in range(1500)]
+    asked = [(f"q{j}", " ".join(f"ww{(i + j) % 10}" for i in range(8))) for j in range(6)]
+    docs, queries = spark.createDataFrame(texts, "id string, text string"), spark.createDataFrame(asked, "query_id string, text string")
+    terms = R.question_terms(queries)
+    index = R.index_for(docs, terms)
+    _, pairs = R.contenders(index, R.asked_terms(index, terms), 5, None, [], [])
+    assert pairs.count() <= 6 * 100
+    got = R.best_texts(docs, queries, 5)
+    assert sorted((r.query_id, r["rank"], r.id) for r in got.collect()) == sorted((q, r, i) for q, i, r, _ in plain(texts, asked, 5))
