@@ -128,3 +128,16 @@ def test_extractor_output_is_parsed_once(spark):
     assert kos.count() == 4 and plan_of(kos).split("Initial Plan")[0].count("from_json") == 1
     odd = spark.createDataFrame([("0", '{"knowledge_objects": [null, {}]}'), ("1", '{"knowledge_objects": []}'), ("2", "no"), ("3", None)], "id string, output string")
     assert [r.ko_type for r in X.normalise_extractor_output(odd, docs)[0].collect()] == ["fact", "fact"]
+
+
+def test_ingest_counts_travel_without_texts(spark):
+    """New documents are told by the hash of their text; what they yield goes with it as numbers."""
+    rows = [("b", "- [ ] uno\nDECISIÓN: dos\nnada: x", ["Ana", "Ana", None], "P", "s"), ("a", "- [ ] uno\nDECISIÓN: dos\nnada: x", ["Ana"], "P", "t"),
+            ("c", "idea: tres", None, "P", "s"), ("d", None, ["Ana"], None, None), ("e", None, ["Ana"], "P", None), ("f", "x", [], "P", None)]
+    docs = spark.createDataFrame(rows, "id string, body string, people array<string>, project string, source string").withColumns(
+        {"title": F.lit("t"), "date": F.lit(dt.date(2026, 1, 1)), "doc_type": F.lit("note"), "tags": F.array(F.lit("g")), "area": F.lit(None).cast("string")})
+    got = TB.ingest_summary(docs, {"knowledge_objects": X.number_of_marks(), "relationships": X.number_of_links()})
+    assert {tuple(r) for r in got.collect()} == {("s", 1, 1, 1, 0), ("t", 1, 0, 2, 1), (None, 2, 1, 0, 0)}
+    kept = TB.dedup_documents(docs)
+    assert X.extract_marked_lines(kept).count() == 3 and X.link_people_projects(kept).count() == 1
+    assert shuffles(got) <= 4  # by hash, twice by source and by source over both
