@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from recallspark.adapters import Tables
 from recallspark.catalog import search as CQ, streams as CS
 
+from recallspark.functions import fixed
 from recallspark.operators import extract as X, tables as TB
 from recallspark.sinks import BucketTable
 from recallspark.sources import plan_sheets as PS, snapshot as SN
@@ -141,3 +142,24 @@ def test_ingest_counts_travel_without_texts(spark):
     kept = TB.dedup_documents(docs)
     assert X.extract_marked_lines(kept).count() == 3 and X.link_people_projects(kept).count() == 1
     assert shuffles(got) <= 4  # by hash, twice by source and by source over both
+
+
+def test_copies_are_told_by_bytes(spark):
+    """The hash travels in 32 bytes and rows without maps carry their id once; the result is the same as with one."""
+    docs = spark.createDataFrame([("b", "x", None), ("a", "x", 1), ("c", None, 2), ("d", None, 3)], "id string, body string, n int")
+    plain, mapped = TB.keep_first_by_hash(docs), TB.keep_first_by_hash(docs.withColumn("m", F.create_map(F.lit("k"), F.col("id"))))
+    want = [("a", 1), ("c", 2)]
+    for got in (plain, mapped):
+        assert sorted((r.id, r.n) for r in got.collect()) == want
+    assert plain.columns == ["body_hash", "id", "body", "n"]
+    assert {r.body_hash for r in plain.collect()} == {r[0] for r in docs.select(F.sha2("body", 256)).collect()}
+    assert "unhex" in plan_of(plain) and "min_by" not in plan_of(plain)
+
+
+def test_lines_without_a_sign_are_not_searched(spark):
+    """Every pattern of a mark holds one of the signs that a line is looked over for first."""
+    lines = ["DECISIÓN: a", "decision : b", " - [ ] c", "* [ ] d", "open: e", "Idea:f", "hipotesis: g", "- [x] h", "nada", "", "a: b", "[ ] z"]
+    docs = spark.createDataFrame([("\n".join(lines),)], "body string")
+    got = [(m.line_no, m.mark.ko_type, m.mark.text) for m in docs.select(X.marks_in(F.col("body")).alias("m")).first().m]
+    assert got == [(0, "decision", "a"), (1, "decision", "b"), (2, "task", "c"), (3, "task", "d"), (4, "question", "e"), (5, "idea", "f"), (6, "hypothesis", "g")]
+    assert all(any(s in p.replace("\\[ \\]", "[ ]").replace("(?:", "") for s in fixed.MARK_SIGNS) for _, p in fixed.LINE_MARKS)
