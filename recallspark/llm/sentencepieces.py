@@ -216,29 +216,42 @@ def encode_giants(giants: DataFrame, model_path: str, chunk_chars: int = 1 << 14
     return chunks.join(stored(states, "states"), ["uid", "chunk"]).mapInPandas(trace, "uid long, part long, ids array<int>")
 
 
+def _whole_ids(rows, model_path: str, text_col: str):
+    """Batches of rows, each with the ids of its texts and where those of a text start."""
+    bpe = tokenizer(SentencePieceBpe, model_path)
+    for batch, texts in batches(rows, text_col, 500_000):
+        ids, offsets = bpe.ids_of(texts)
+        yield batch, ids, offsets
+
+
+def _schema(df: DataFrame, columns: list[str], *more: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([*(df.schema[c] for c in columns), *(T.StructField(*m) for m in more)])
+
+
+def _giant_parts(docs: DataFrame, keep: tuple[str, ...], text_col: str, model_path: str, giant_chars: int, chunk_chars: int) -> DataFrame:
+    """(keep, uid, part, ids) of the documents of more than ``giant_chars``."""
+    giants = docs.where(F.length(text_col) > giant_chars).withColumn("uid", F.monotonically_increasing_id())
+    giants = stored(giants, "giants")
+    parts = encode_giants(giants.select("uid", F.col(text_col).alias("text")), model_path, chunk_chars)
+    return giants.drop(text_col).join(parts, "uid").select(*keep, "uid", "part", "ids")
+
+
 def encode(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text",
            giant_chars: int = 1 << 16, chunk_chars: int = 1 << 14) -> DataFrame:
     """The columns ``keep`` of ``docs`` with uid, part and ids. A giant document has several parts, in
     the order of ``part``; ``uid`` tells repeated rows apart (null where there is one part)."""
     docs, others = docs.select(*keep, text_col), list(keep)
-    schema = T.StructType([*(docs.schema[c] for c in others), T.StructField("uid", T.LongType()), T.StructField("part", T.LongType()),
-                           T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    size = F.coalesce(F.length(text_col), F.lit(0))
+    schema = _schema(docs, others, ("uid", T.LongType()), ("part", T.LongType()), ("ids", T.ArrayType(T.IntegerType())))
 
     def whole(rows):
-        bpe = tokenizer(SentencePieceBpe, model_path)
-        for batch, texts in batches(rows, text_col, 500_000):
-            ids, offsets = bpe.ids_of(texts)
-            n = len(texts)
+        for batch, ids, offsets in _whole_ids(rows, model_path, text_col):
+            n = len(batch)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in others), pa.nulls(n, pa.int64()), pa.array(np.zeros(n, np.int64)),
                  pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))], names=schema.names)
 
-    small = docs.where(size <= giant_chars).mapInArrow(whole, schema)
-    giants = docs.where(size > giant_chars).withColumn("uid", F.monotonically_increasing_id())
-    giants = stored(giants, "giants")
-    parts = encode_giants(giants.select("uid", F.col(text_col).alias("text")), model_path, chunk_chars)
-    return small.unionByName(giants.drop(text_col).join(parts, "uid").select(*schema.names))
+    small = docs.where(F.coalesce(F.length(text_col), F.lit(0)) <= giant_chars).mapInArrow(whole, schema)
+    return small.unionByName(_giant_parts(docs, keep, text_col, model_path, giant_chars, chunk_chars))
 
 
 def _slices(batch: pa.RecordBatch, most: int = 200_000):
@@ -251,34 +264,65 @@ def _slices(batch: pa.RecordBatch, most: int = 200_000):
         a = b
 
 
+def _texts(ids: np.ndarray, offsets: np.ndarray, first: list[bool], model_path: str) -> list[str]:
+    """The texts of ids that start at ``offsets``; a ``first`` part loses the space put in front."""
+    at, size, chars = tokenizer(PieceBytes, model_path).arrays
+    flat = chars[_ranges(at[ids], size[ids])].tobytes()
+    ends = np.append(0, np.cumsum(size[ids]))[offsets].tolist()
+    texts = (flat[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:]))
+    return [t[1:] if f else t for t, f in zip(texts, first)]
+
+
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """``encoded`` with the text of each part in place of its ids."""
     others = [c for c in encoded.columns if c != "ids"]
-    schema = T.StructType([*(encoded.schema[c] for c in others), T.StructField("text", T.StringType())])
+    schema = _schema(encoded, others, ("text", T.StringType()))
 
     def run(rows):
-        at, size, chars = tokenizer(PieceBytes, model_path).arrays
         for batch in (part for whole in rows for part in _slices(whole)):
             column = batch.column("ids")
-            ids = column.flatten().to_numpy(zero_copy_only=False)
-            counts = np.asarray(column.value_lengths().fill_null(0))
-            flat = chars[_ranges(at[ids], size[ids])].tobytes()
-            ends = np.append(0, np.cumsum(size[ids]))[np.append(0, np.cumsum(counts))].tolist()
-            texts = [flat[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
-            texts = [t[1:] if p == 0 else t for t, p in zip(texts, batch.column("part").to_pylist())]  # the space put in front
+            offsets = np.append(0, np.cumsum(np.asarray(column.value_lengths().fill_null(0))))
+            texts = _texts(column.flatten().to_numpy(zero_copy_only=False), offsets, [p == 0 for p in batch.column("part").to_pylist()], model_path)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.mapInArrow(run, schema)
 
 
-def whole_documents(decoded: DataFrame) -> DataFrame:
-    """``decoded`` parts (with n_pieces) as one row per document."""
-    others = [c for c in decoded.columns if c not in ("uid", "part", "text", "n_pieces")]
-    one = decoded.where("uid is null").select(*others, "n_pieces", "text")
-    parts = decoded.where("uid is not null").groupBy("uid").agg(
+def _joined(parts: DataFrame) -> DataFrame:
+    """Decoded parts of giant documents (with n_pieces) as one row per document."""
+    others = [c for c in parts.columns if c not in ("uid", "part", "text", "n_pieces")]
+    return parts.groupBy("uid").agg(
         *(F.first(c).alias(c) for c in others), F.sum("n_pieces").alias("n_pieces"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "").alias("text"))
-    return one.unionByName(parts.select(*others, "n_pieces", "text"))
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"]), "").alias("text")
+    ).select(*others, "n_pieces", "text")
+
+
+def whole_documents(decoded: DataFrame) -> DataFrame:
+    """``decoded`` parts (with n_pieces) as one row per document. ``decoded`` is made once for whole documents
+    and once for parts; ``round_trip`` makes each only once."""
+    one = decoded.where("uid is null").drop("uid", "part")
+    parts = _joined(decoded.where("uid is not null"))
+    return one.select(*parts.columns).unionByName(parts)
+
+
+def round_trip(docs: DataFrame, model_path: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text",
+               giant_chars: int = 1 << 16, chunk_chars: int = 1 << 14) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with n_pieces and the text that its pieces decode to, one row per document.
+
+    The same as ``whole_documents(decode(encode(docs)))``, but a whole document is encoded once and decoded in the
+    worker that encoded it, so its ids are not sent on and only parts of giant documents meet in a group."""
+    docs, others = docs.select(*keep, text_col), list(keep)
+    schema = _schema(docs, others, ("n_pieces", T.LongType()), ("text", T.StringType()))
+
+    def both(rows):
+        for batch, ids, offsets in _whole_ids(rows, model_path, text_col):
+            texts = _texts(ids, offsets, [True] * len(batch), model_path)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(np.diff(offsets), pa.int64()), pa.array(texts, pa.string())],
+                                             names=schema.names)
+
+    small = docs.where(F.coalesce(F.length(text_col), F.lit(0)) <= giant_chars).mapInArrow(both, schema)
+    parts = _giant_parts(docs, keep, text_col, model_path, giant_chars, chunk_chars).withColumn("n_pieces", F.size("ids").cast("long"))
+    return small.unionByName(_joined(decode(parts, model_path)))
 
 
 class PieceBytes:

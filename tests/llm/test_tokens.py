@@ -9,7 +9,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from recallspark.llm import packing, sentencepieces, token_counts
+from recallspark.llm import packing, queries as llm_queries, sentencepieces, token_counts
 from recallspark.llm.queries import BYTE_BPE, PIECES
 from recallspark.llm.units import ByteBpe, SentencePieceBpe
 from tests.llm.rows import frame, odd_texts
@@ -95,6 +95,19 @@ def test_encode_and_decode(spark, pieces, giant):
         sorted([(i, len(w), (t or "").replace("▁", " ")) for (i, t), (_, w) in zip(texts, want)], key=str)
 
 
+@pytest.mark.parametrize("giant", [1 << 16, 30])
+def test_round_trip_makes_every_document_once(spark, pieces, giant):
+    texts = odd_texts() + list(enumerate(fuzz(40, 120, 3), 100)) + [(98, "ab" * 500)]
+    back = sentencepieces.round_trip(frame(spark, texts), PIECES, giant_chars=giant, chunk_chars=32)
+    assert sorted([(r.doc_id, r.n_pieces, r.text) for r in back.collect()], key=str) == \
+        sorted([(i, len(pieces.encode(t or "")), (t or "").replace("▁", " ")) for i, t in texts], key=str)
+
+
+def test_sentencepiece_query_encodes_once(spark):
+    plan = llm_queries.op2_sentencepieces(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # whole documents; parts of giant ones, which are encoded in MapInPandas
+
+
 def checked_packing(rows, size):
     """Every sequence is gapless from 0 and not longer than ``size``; returns the number of sequences."""
     by = {}
