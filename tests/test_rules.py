@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,34 @@ def test_note_pipeline(spark):
     assert X.link_people_projects(docs).count() == 2
 
 
+def test_header_values_are_cleaned_once(spark):
+    values = ["", " ", "[", "]", "[]", '"', "''", "[ a ]", '["a", b]', "a]]", 'a]"', '"[a', "a\" ", ' "a b" ', '"""', "[['x']]", "x\t", "é: y"]
+    clean = lambda v: re.sub(r"^[\"']|[\"']$", "", re.sub(r"^\[|\]$", "", v.strip()))
+    items = lambda v: [i for i in (re.sub(r"^[\"']|[\"']$", "", x.strip()) for x in clean(v).split(",")) if i]
+    text = lambda v: f"---\r\n\nproject: no\r\n people: no\npeople:{v}\r\n2x: no\nproject:{v}\n---\n \n\n body {v}\n---\nproject: no\n"
+    raw = [(f"v/{i}.md", text(v)) for i, v in enumerate(values)] + [("v/n.md", "project: no\n---\n"), ("v/o.md", "---\nproject: no\n--")]
+    got = {r.path: r for r in N.parse_notes(spark.createDataFrame(raw, "path string, text string"), dt.date(2020, 1, 1)).collect()}
+    for i, v in enumerate(values):
+        r, raw_value = got[f"v/{i}.md"], v.lstrip(" \t")
+        assert (r.project, r.people, r.metadata) == (clean(v) or None, items(v), {"project": raw_value, "people": raw_value}), v
+        assert r.body == f"body {v}\n---\nproject: no"
+    assert [(got[p].body, got[p].metadata, got[p].project) for p in ("v/n.md", "v/o.md")] == \
+        [("project: no\n---", {}, None), ("---\nproject: no\n--", {}, None)]
+    days = {"2001-07-15": "2001-07-15", "2001-07-15T10:00": "2001-07-15", "'2001-07-15'": "2001-07-15", "2001-7-15": None, "2001-02-30": None, "x": None}
+    raw = [(f"{i}.md", f"---\ndate: {d}\n---\n") for i, d in enumerate(days)]
+    got = N.parse_notes(spark.createDataFrame(raw, "path string, text string"), dt.date(2020, 1, 1)).collect()
+    assert [str(r.date) for r in sorted(got, key=lambda r: r.path)] == [d or "2020-01-01" for d in days.values()]
+    paths = {"a.md": True, "x/templates/a.md": False, "templates\\a.md": False, "x/mytemplates/a.md": True, "README.md": False, "v/README.md": False,
+             "v/xREADME.md": True, "v/_a.md": False, ".md": False, "v/.a.md": False, "_v/a.md": True, "v/a.md/": False, "a.mdx": False, "templates.md": True}
+    tested = spark.createDataFrame([(p,) for p in paths], "path string").select("path", N.is_note(F.col("path")).alias("ok"), TX.infer_doc_type(F.col("path")).alias("t"))
+    assert {r.path: r.ok for r in tested.collect()} == paths
+    kinds = {"v/Meetings/a": "meeting", "meetings": "meeting", "x\\decisions\\a": "decision", "PAPERS/a": "paper", "a/research": "paper", "mypapers/a": "note"}
+    typed = spark.createDataFrame([(p,) for p in kinds], "path string").select("path", TX.infer_doc_type(F.col("path")).alias("t"))
+    assert {r.path: r.t for r in typed.collect()} == kinds
+    plan = N.parse_notes(spark.createDataFrame(raw, "path string, text string"), dt.date(2020, 1, 1))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") + plan.count("split(") <= 20  # 61 when every test of a value made it anew
+
+
 def test_scan_notes_reads_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "x.md").write_text(NOTE, encoding="utf-8")
