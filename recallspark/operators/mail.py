@@ -67,12 +67,17 @@ def score_mail(mail: DataFrame, senders: DataFrame, as_of: dt.datetime) -> DataF
         score = score + F.when(F.col(f"__r{i}"), points).otherwise(0)
         reasons.append(F.when(F.col(f"__r{i}"), reason))
     found = F.filter(F.array(*reasons), lambda r: r.isNotNull())
-    priority = None
-    for level, floor in fixed.PRIORITY_FLOORS:
-        hit = F.col("score") >= floor
-        priority = F.when(hit, level) if priority is None else priority.when(hit, level)
+    def level(points: Column) -> Column:
+        out = None
+        for number, floor in fixed.PRIORITY_FLOORS:
+            out = F.when(points >= floor, number) if out is None else out.when(points >= floor, number)
+        return out.otherwise(fixed.LOWEST_PRIORITY)
+
+    # A filter on the priority is moved below the score. Named inside a function, the score is made once there too,
+    # and not anew for each floor.
+    priority = F.get(F.transform(F.array("score"), level), 0)
     return (with_sender.withColumn("score", score.cast("int"))
-            .withColumn("priority", priority.otherwise(fixed.LOWEST_PRIORITY))
+            .withColumn("priority", priority)
             .withColumn("reasons", F.when(F.size(found) == 0, F.array(F.lit("sin señales fuertes"))).otherwise(found))
             .drop(*[f"__r{i}" for i in range(len(rules))], "person", "degree", "is_pinned", "sender"))
 

@@ -104,6 +104,18 @@ def test_character_references_need_their_semicolon(spark):
     assert got == {1: "a&amp\nb & c &copy d", 2: "xéy &amp z &ampx; É&#39", 3: "&am <&lt;"}
 
 
+def test_priority_filter_scores_mail_once(spark):
+    mail = spark.createDataFrame([(f"m{i}", "Ana <a@x.org>", subject, "favor confirmar", [], None) for i, subject in enumerate(["urgente", "x"])],
+                                 "id string, `from` string, subject string, snippet string, labels array<string>, date timestamp")
+    senders = spark.createDataFrame([("ana", "ana", 3, True)], "sender string, person string, degree long, is_pinned boolean")
+    scored = M.score_mail(mail, senders, dt.datetime(2020, 1, 1))
+    assert sorted((r.id, r.priority) for r in scored.collect()) == [("m0", 1), ("m1", 1)]
+    alone = M.score_mail(mail, senders.where("false"), dt.datetime(2020, 1, 1))
+    assert sorted((r.id, r.priority) for r in alone.collect()) == [("m0", 2), ("m1", 4)]
+    plan = scored.where("priority <= 2").select("subject")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 4  # one for the name of the sender, three for the score
+
+
 def test_positions_and_lag_with_one_hot_group(spark):
     df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("g"),
                                   (F.col("id") * 7919 % 5003).alias("v"))
