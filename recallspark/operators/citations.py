@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed
 from ..functions.text import is_title_case, plain_ascii, strip
 from ..session import written
-from .scale import first_per_key
+from .scale import dealt, first_per_key
 
 UNFOUND, OK, DIFFERS = "no_encontrado", "verificado", "discrepancia"
 
@@ -34,7 +34,7 @@ def extract_references(docs: DataFrame) -> DataFrame:
              .withColumn("doi", _trim_doi(F.col("doi"))).withColumn("low", F.lower("doi")))
     first_seen = found.groupBy("doc_id", "low").agg(F.min(F.struct("pos", "doi")).alias("f"))
     used = numbered.where("doi is not null").select("doc_id", F.lower("doi").alias("low")).distinct()
-    loose = first_seen.join(used, ["doc_id", "low"], "left_anti").select(
+    loose = first_seen.join(dealt(used), ["doc_id", "low"], "left_anti").select(
         "doc_id", (F.col("f.pos") + 1_000_000).alias("pos"), F.col("f.doi").alias("raw"), F.col("f.doi").alias("doi"),
         none.alias("year"), none.alias("author"))
     return numbered.unionByName(loose)
@@ -59,14 +59,14 @@ def similar_titles(refs: DataFrame, titles: DataFrame, percent: int = round(100
     need = _needed(F.size("title_words") if size is None else size, percent)
     titles = titles.withColumn("need", need).where((F.size("title_words") > 0) & (F.size("title_words") >= F.col("need")))
     often = titles.select(F.explode("title_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("often"))
-    rows = titles.withColumn("word", F.explode("title_words")).join(written(often, "title-words"), "word")
+    rows = titles.withColumn("word", F.explode("title_words")).join(dealt(written(often, "title-words")), "word")
     keep = [c for c in titles.columns if c != "title_words"]
     rows = rows.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("w"))
     rows = written(rows.withColumn("title_words", F.transform("w", lambda x: x["word"])).drop("w"), "titles")
     by_word = rows.withColumn("word", F.explode(F.slice("title_words", 1, F.size("title_words") - F.col("need") + 1)))
     asked = refs.withColumn("word", F.explode("words"))
     shared = F.size(F.array_intersect("title_words", "words"))
-    pairs = asked.join(by_word, (asked["word"] == by_word["word"]) & (F.size(asked["words"]) >= by_word["need"]))
+    pairs = asked.join(dealt(by_word), (asked["word"] == by_word["word"]) & (F.size(asked["words"]) >= by_word["need"]))
     return pairs.withColumn("shared", shared).where(F.col("shared") >= F.col("need")).drop("word", "need")
 
 
@@ -90,7 +90,7 @@ def most_similar_title(refs: DataFrame, titles: DataFrame, key: list[str], perce
     titles = titles.select("ntitle", "title_words", F.size("title_words").alias("n")).where("n > 0")
     word = F.explode("title_words").alias("word")
     often = written(titles.select(word).groupBy("word").agg(F.count(F.lit(1)).alias("often")), "title-words")
-    own = titles.select("ntitle", "n", word).join(often, "word")
+    own = titles.select("ntitle", "n", word).join(dealt(often), "word")
     own = own.groupBy("ntitle", "n").agg(
         F.collect_list(F.when(F.col("often") <= RARE, F.col("word"))).alias("rare"),
         F.sort_array(F.collect_list(F.when(F.col("often") > RARE, F.col("word")))).alias("title_words"))
@@ -99,18 +99,18 @@ def most_similar_title(refs: DataFrame, titles: DataFrame, key: list[str], perce
     best = F.struct("share", F.length("ntitle"), "ntitle")
 
     by_word = own.select("ntitle", "n", "need", F.concat("rare", "title_words").alias("all"), F.explode("rare").alias("word"))
-    near = asked.withColumn("word", F.explode("words")).join(by_word, "word")
+    near = asked.withColumn("word", F.explode("words")).join(dealt(by_word), "word")
     near = near.withColumn("shared", F.size(F.array_intersect("all", "words"))).where("shared >= need")
     near = near.select(*key, "ntitle", (F.col("shared") / F.col("n")).alias("share"))
 
     alike = own.where(F.size("title_words") >= F.col("need")).groupBy("title_words", "n").agg(
         F.max_by("ntitle", F.struct(F.length("ntitle"), "ntitle")).alias("ntitle"))
-    frequent = (asked.select(*key, F.explode("words").alias("word")).join(often.where(F.col("often") > RARE).select("word"), "word")
+    frequent = (asked.select(*key, F.explode("words").alias("word")).join(dealt(often.where(F.col("often") > RARE).select("word")), "word")
                 .groupBy(*key).agg(F.sort_array(F.collect_list("word")).alias("words")))
     frequent = written(frequent, "frequent")
     pairs = similar_titles(frequent.select("words").distinct(), alike, percent, F.col("n"))
     pairs = pairs.withColumn("share", F.col("shared") / F.col("n")).groupBy("words").agg(F.max(best).alias("best"))
-    common = frequent.join(pairs, "words").select(*key, "best.ntitle", "best.share")
+    common = frequent.join(dealt(pairs), "words").select(*key, "best.ntitle", "best.share")
     return near.unionByName(common).groupBy(*key).agg(F.max_by("ntitle", best).alias("ntitle"))
 
 
@@ -123,7 +123,7 @@ def verbatim_titles(refs: DataFrame, titles: DataFrame, key: list[str]) -> DataF
     sizes = F.array(*(F.lit(n) for n in sorted(lengths))).cast("array<int>")
     rows = refs.select(*key, F.split("nraw", " ").alias("w")).select(*key, "w", F.explode(sizes).alias("n")).where(F.col("n") <= F.size("w"))
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice("w", i, F.col("n")), " "))
-    return rows.select(*key, F.explode(F.array_distinct(runs)).alias("ntitle")).join(titles, "ntitle").select(*key, "ntitle")
+    return rows.select(*key, F.explode(F.array_distinct(runs)).alias("ntitle")).join(dealt(titles), "ntitle").select(*key, "ntitle")
 
 
 def doi_join(refs: DataFrame, works: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def doi_join(refs: DataFrame, works: DataFrame) -> DataFrame:
          .withColumn("ntitle", _words(F.col("title"))).withColumn("nfamily", plain_ascii(F.col("family"))))
     by_doi = first_per_key(w.select("low", "work"), ["low"], [F.col("work.work_doi")])
     direct = (refs.where("doi is not null").withColumn("low", F.lower("doi"))
-              .join(by_doi, "low", "left").drop("low"))
+              .join(dealt(by_doi), "low", "left").drop("low"))
 
     rest = written(refs.where("doi is null").withColumn("nraw", _words(F.col("raw")))
                    .withColumn("nfamily", plain_ascii(F.coalesce("author", F.lit("")))), "without-doi")
@@ -151,14 +151,14 @@ def doi_join(refs: DataFrame, works: DataFrame) -> DataFrame:
     key = ["doc_id", "pos"]
     similar = most_similar_title(rest.select(*key, distinct_words("nraw").alias("words")),
                                  per_title.select("ntitle", distinct_words("ntitle").alias("title_words")), key)
-    similar = similar.join(per_title, "ntitle").select(*key, F.col("work").alias("similar"))
+    similar = similar.join(dealt(per_title), "ntitle").select(*key, F.col("work").alias("similar"))
     long_title = F.struct(F.length("ntitle"), "ntitle")
-    mine = written(verbatim_titles(rest, per_title, key).join(per_title, "ntitle"), "verbatim")
+    mine = written(verbatim_titles(rest, per_title, key).join(dealt(per_title), "ntitle"), "verbatim")
     titled = mine.groupBy(*key).agg(F.max_by("work", long_title).alias("titled"))
-    exact = (mine.drop("work").join(rest.select(*key, "nfamily", "year"), key).join(per_all, ["ntitle", "nfamily", "year"])
+    exact = (mine.drop("work").join(dealt(rest.select(*key, "nfamily", "year")), key).join(dealt(per_all), ["ntitle", "nfamily", "year"])
              .groupBy(*key).agg(F.max_by("work", long_title).alias("exact")))
-    found = (rest.join(exact, key, "left").join(titled, key, "left").join(similar, key, "left")
-             .join(per_author.withColumnRenamed("work", "by_author"), ["nfamily", "year"], "left"))
+    found = (rest.join(dealt(exact), key, "left").join(dealt(titled), key, "left").join(dealt(similar), key, "left")
+             .join(dealt(per_author.withColumnRenamed("work", "by_author")), ["nfamily", "year"], "left"))
     found = found.withColumn("work", F.coalesce("exact", "titled", "similar", "by_author"))
     return direct.unionByName(found.select(*direct.columns)).select(*refs.columns, "work.*")
 

@@ -4,6 +4,7 @@
 * ``with_previous`` is ``lag`` over groups of any size.
 * ``contains_pairs`` / ``substring_hits`` answer "text contains term" with equi-joins.
 * ``first_per_key`` keeps one row per key with map-side combining.
+* ``dealt`` marks a table that grows with the input, so that it is never sent whole through the driver.
 """
 
 from __future__ import annotations
@@ -65,6 +66,13 @@ def with_previous(df: DataFrame, group: str, order: list[str], value: str, name:
     return rows.withColumn(name, before).select(*df.columns, name)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is dealt out by its key. The planner takes a table for as large as its
+    files, and columnar files of repeated words are many times smaller than their rows: without this it
+    collects some of them at the driver."""
+    return df.hint("merge")
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key, the first in ``order``; combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

@@ -8,7 +8,7 @@ from recallspark.adapters import Tables
 from recallspark.catalog import search as CQ, streams as CS
 
 from recallspark.functions import fixed
-from recallspark.operators import extract as X, tables as TB
+from recallspark.operators import citations as C, extract as X, tables as TB
 from recallspark.sinks import BucketTable
 from recallspark.sources import plan_sheets as PS, snapshot as SN
 
@@ -163,3 +163,17 @@ def test_lines_without_a_sign_are_not_searched(spark):
     got = [(m.line_no, m.mark.ko_type, m.mark.text) for m in docs.select(X.marks_in(F.col("body")).alias("m")).first().m]
     assert got == [(0, "decision", "a"), (1, "decision", "b"), (2, "task", "c"), (3, "task", "d"), (4, "question", "e"), (5, "idea", "f"), (6, "hypothesis", "g")]
     assert all(any(s in p.replace("\\[ \\]", "[ ]").replace("(?:", "") for s in fixed.MARK_SIGNS) for _, p in fixed.LINE_MARKS)
+
+
+def test_citations_and_works_are_never_collected(spark, monkeypatch):
+    """Files of repeated words are small beside their rows: their size must not make the driver collect them."""
+    plans, write = [], C.written
+    monkeypatch.setattr(C, "written", lambda df, name: plans.append(plan_of(df)) or write(df, name))
+    docs = spark.createDataFrame([(f"d{i}", f"1. Ring K, et al. Estudio de ring {i}. Revista. 2001;\nVer 10.1000/p{i}") for i in range(30)],
+                                 "id string, body string")
+    works = spark.createDataFrame([(f"10.1000/P{i}", f"Estudio de ring {i}", "Ring", "2001") for i in range(30)],
+                                  "doi string, title string, family string, year string")
+    verified = C.verify_references(C.extract_references(docs), works)
+    plans.append(plan_of(C.reference_summary(verified)))
+    assert len(plans) > 5 and "SortMergeJoin" in plans[-1] and not any("Broadcast" in p for p in plans)
+    assert {(r.verdict, r.work_doi == "10.1000/P" + r.doc_id[1:]) for r in verified.collect()} == {(C.OK, True)}
