@@ -177,3 +177,20 @@ def test_citations_and_works_are_never_collected(spark, monkeypatch):
     plans.append(plan_of(C.reference_summary(verified)))
     assert len(plans) > 5 and "SortMergeJoin" in plans[-1] and not any("Broadcast" in p for p in plans)
     assert {(r.verdict, r.work_doi == "10.1000/P" + r.doc_id[1:]) for r in verified.collect()} == {(C.OK, True)}
+
+
+def test_stored_edges_are_met_by_their_keys(spark, tmp_path, monkeypatch):
+    """Edges that are stored once are not dealt out with their rows to take in others; copies of a key still go."""
+    kind = "id string, source_id string, target_id string, rel_type string, source_doc string"
+    row = lambda i, doc=None: (f"e{i}", "s", f"t{i}", "r", doc)
+    incoming = spark.createDataFrame([("x9", *row(9)[1:]), row(9), ("x1", *row(1)[1:]), row(1, "d")], kind)
+    plans, write = [], BucketTable._write
+    monkeypatch.setattr(BucketTable, "_write", lambda self, rows, touched: plans.append(plan_of(rows)) or write(self, rows, touched))
+    for stored, want in (([row(1), row(2)], ["e1", "e1", "e2", "e9"]), ([row(1), row(1), row(2)], None)):
+        table = BucketTable.create(spark.createDataFrame(stored, kind), str(tmp_path / str(len(stored))), TB.EDGE_KEY, 1)
+        held = table.rows()
+        whole = sorted(map(tuple, TB.merge_relationships(held, incoming).collect()), key=str)
+        assert TB.merge_relationships_into(table, incoming) == [0] and TB.merge_relationships_into(table, incoming) == []
+        spark.catalog.refreshByPath(table.path)
+        assert sorted(map(tuple, table.rows().collect()), key=str) == whole and (want is None or [w[0] for w in whole] == want)
+    assert "hashpartitioning" not in plans[1] and "hashpartitioning" in plans[3]
