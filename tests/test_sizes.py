@@ -194,3 +194,11 @@ def test_stored_edges_are_met_by_their_keys(spark, tmp_path, monkeypatch):
         spark.catalog.refreshByPath(table.path)
         assert sorted(map(tuple, table.rows().collect()), key=str) == whole and (want is None or [w[0] for w in whole] == want)
     assert "hashpartitioning" not in plans[1] and "hashpartitioning" in plans[3]
+
+
+def test_only_asked_columns_travel_to_find_copies(spark):
+    docs = spark.createDataFrame([("b", "x", 3), ("a", "x", 1), ("c", None, 2), ("d", None, 3)], "id string, body string, n int")
+    docs = docs.withColumn("m", F.create_map(F.lit("k"), F.col("id")))
+    got = TB.keep_first_by_hash(docs, columns=["n", "id"])
+    assert got.columns == ["body_hash", "n", "id"] and sorted((r.id, r.n) for r in got.collect()) == [("a", 1), ("c", 2)]
+    assert "struct(id, id#" in plan_of(got) and ", body, body#" not in plan_of(got) and "map(" not in plan_of(got)
