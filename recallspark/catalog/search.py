@@ -9,6 +9,7 @@ from ..functions import text as TX
 from ..operators import extract as X, retrieval as R
 from ..plans import packs as K
 from ..registry import query
+from ..session import written
 
 
 @query
@@ -228,7 +229,9 @@ def _outputs(n: DataFrame) -> DataFrame:
 
 @query
 def normalise_extractor_output(t: Tables) -> DataFrame:
-    kos, _, _ = X.normalise_extractor_output(_outputs(t.notes()), t.notes())
+    """The notes are written once, for the extractor's output and for what it is joined with."""
+    notes = written(t.notes().select("id", "date", "project", "people", "body"), "notes", packed=True)
+    kos, _, _ = X.normalise_extractor_output(_outputs(notes), notes)
     return kos.select("source_doc", "ko_type", "title", "statement", "people", "project", "confidence")
 
 

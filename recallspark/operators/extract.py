@@ -11,6 +11,7 @@ from ..functions import fixed
 from ..functions.text import empty_strings, natural_id
 from ..schemas import EDGE_COLUMNS, ENTITY_COLUMNS, KO_COLUMNS
 from .areas import classify_documents, ko_inherit_area
+from .scale import dealt
 from .tables import delete_derived, mark_extractor, merge_relationships, upsert_entities
 
 EXTRACTOR_OUTPUT = (
@@ -166,8 +167,9 @@ def normalise_extractor_output(outputs: DataFrame, docs: DataFrame, title_chars:
     head = docs.select(F.col("id").alias("source_doc"), "date", F.col("project").alias("doc_project"))
     # The outer explode keeps the optimizer from adding a size test, which would travel below the output's own
     # expression and make and parse every text again.
-    kos = (parsed.select("source_doc", F.posexplode_outer("knowledge_objects").alias("n", "k")).where("n is not null")
-           .join(head, "source_doc")
+    # A document meets its head before its objects are taken apart, so its id travels once and not with each of them.
+    kos = (parsed.select("source_doc", "knowledge_objects").join(dealt(head), "source_doc")
+           .select("source_doc", "date", "doc_project", F.posexplode_outer("knowledge_objects").alias("n", "k")).where("n is not null")
            .select(natural_id("ko", F.col("source_doc"), F.lit("x"), F.col("n")).alias("id"),
                    F.coalesce("k.ko_type", F.lit("fact")).alias("ko_type"),
                    title.alias("title"),

@@ -202,3 +202,14 @@ def test_only_asked_columns_travel_to_find_copies(spark):
     got = TB.keep_first_by_hash(docs, columns=["n", "id"])
     assert got.columns == ["body_hash", "n", "id"] and sorted((r.id, r.n) for r in got.collect()) == [("a", 1), ("c", 2)]
     assert "struct(id, id#" in plan_of(got) and ", body, body#" not in plan_of(got) and "map(" not in plan_of(got)
+
+
+def test_objects_are_taken_apart_after_they_met_their_document(spark):
+    """One row a document travels, not one an object; every output of a document meets every row of it."""
+    docs = spark.createDataFrame([("d", dt.date(2026, 1, 1), "P"), ("d", dt.date(2026, 1, 2), "Q"), ("e", None, None)], "id string, date date, project string")
+    outputs = spark.createDataFrame([("d", '{"knowledge_objects": [{"title": "a"}, {"title": "b", "project": "R"}]}'), ("d", '{"knowledge_objects": [{"title": "c"}]}'),
+                                     ("x", '{"knowledge_objects": [{"title": "y"}]}'), ("e", '{"knowledge_objects": []}')], "id string, output string")
+    kos = X.normalise_extractor_output(outputs, docs)[0]
+    assert sorted((r.title, r.project) for r in kos.collect()) == [("a", "P"), ("a", "Q"), ("b", "R"), ("b", "R"), ("c", "P"), ("c", "Q")]
+    plan = plan_of(kos)
+    assert plan.index("Generate posexplode") < plan.index("SortMergeJoin") and "Broadcast" not in plan
