@@ -213,3 +213,13 @@ def test_objects_are_taken_apart_after_they_met_their_document(spark):
     assert sorted((r.title, r.project) for r in kos.collect()) == [("a", "P"), ("a", "Q"), ("b", "R"), ("b", "R"), ("c", "P"), ("c", "Q")]
     plan = plan_of(kos)
     assert plan.index("Generate posexplode") < plan.index("SortMergeJoin") and "Broadcast" not in plan
+
+
+def test_many_small_files_have_no_checksum_files(spark, tmp_path, monkeypatch):
+    """Each would be a file more to make and to set modes of; the texts are read as they are."""
+    spark.createDataFrame([(1, "a\nb", "en", "s", 3), (2, "c", "de", None, 1)], "doc_id long, text string, lang string, source string, n_chars int").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(CS, "run_dir", lambda _, name: str(tmp_path / name))
+    got = CS.incremental_files(Tables(spark, str(tmp_path)))
+    assert {(r.source, r.lang, r.block, r.length) for r in got.collect()} == {("s", "en", 0, 4), (None, "de", 0, 2)}
+    assert not [p for p in (tmp_path / "files").rglob("key=*/.*.crc")] and len(list((tmp_path / "files").rglob("key=*/*.txt"))) == 2
